@@ -1,96 +1,55 @@
 """Date parsing from mixed text, and the parts taken from a timestamp.
 
-All date shapes are rewritten to ISO text with string functions and then cast, so one
-table of shapes serves every call and a bad value costs a null, not an exception.
+Every accepted shape is rewritten to ISO order by one ``regexp_replace`` and then cast, so a
+bad value costs a null, not an exception, and the expression stays small enough to compile.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CLOCK = r"(?:[ T]+(\d{1,2}):(\d{2})(?::(\d{2})(\.\d{1,6})?)?)?"
+CLOCK = r"((?:[ T]+\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?)"
 ISO_SHAPE = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + CLOCK + r"(Z|[+-]\d{2}:?\d{2})?$"
 NUMERIC_SHAPE = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})" + CLOCK + "$"
-DAY_NAME_SHAPE = r"^(\d{1,2})[ -]([A-Za-z]{3,9})[ -,]+(\d{4})" + CLOCK + "$"
+DAY_NAME_SHAPE = r"^(\d{1,2})[ -]([A-Za-z]{3,9})(?:[ -]|, ?)(\d{4})" + CLOCK + "$"
 NAME_DAY_SHAPE = r"^([A-Za-z]{3,9})[ -](\d{1,2})(?:,? +|-)(\d{4})" + CLOCK + "$"
-MONTH_LETTERS = "janfebmaraprmayjunjulaugsepoctnovdec"
-MONTH_WORD = (
-    "^(jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|june?|july?|aug(ust)?|sep(t|tember)?"
-    "|oct(ober)?|nov(ember)?|dec(ember)?)$"
-)
-CENTURY_PIVOT = 69  # two-digit years from here on belong to the 1900s
 
+# Month names by number; the first three letters or the whole word may stand.
+MONTHS = ["jan(uary)?", "feb(ruary)?", "mar(ch)?", "apr(il)?", "may", "june?", "july?", "aug(ust)?",
+          "sep(t|tember)?", "oct(ober)?", "nov(ember)?", "dec(ember)?"]
 
-def _group(c: Column, shape: str, i: int) -> Column:
-    return F.regexp_extract(c, shape, i)
 
+def _with_century(c: Column) -> Column:
+    """Two-digit years of a numeric date: 69 and later are 19xx, earlier ones 20xx."""
+    head = r"^(\d{1,2}[-/.]\d{1,2}[-/.])"
+    old = F.regexp_replace(c, head + r"(69|[7-9]\d)( .*|T.*)?$", "$119$2$3")
+    return F.regexp_replace(old, head + r"([0-6]\d)( .*|T.*)?$", "$120$2$3")
 
-def _two(text: Column) -> Column:
-    return F.lpad(text, 2, "0")
 
+def _month_words(c: Column) -> Column:
+    for number, word in enumerate(MONTHS, 1):
+        c = F.regexp_replace(c, f"(?i)-{word}-", f"-{number}-")
+    return c
 
-def _stamp(year: Column, month: Column, day: Column, clock: str) -> Column:
-    return F.concat(year, F.lit("-"), _two(month), F.lit("-"), _two(day), clock).try_cast("timestamp")
 
-
-def _clock(c: Column, shape: str, first: int) -> Column:
-    hour, minute = _group(c, shape, first), _group(c, shape, first + 1)
-    second, fraction = _group(c, shape, first + 2), _group(c, shape, first + 3)
-    return F.when(hour == "", F.lit("")).otherwise(
-        F.concat(
-            F.lit(" "), _two(hour), F.lit(":"), minute, F.lit(":"),
-            F.when(second == "", "00").otherwise(second), fraction,
-        )
-    )
-
-
-def _year(text: Column) -> Column:
-    short = text.try_cast("int")
-    century = F.when(short >= CENTURY_PIVOT, F.lit("19")).otherwise(F.lit("20"))
-    return F.when(F.length(text) == 2, F.concat(century, text)).otherwise(text)
-
-
-def _month_number(word: Column) -> Column:
-    word = F.lower(word)
-    place = F.position(F.substring(word, 1, 3), F.lit(MONTH_LETTERS))
-    return F.when(word.rlike(MONTH_WORD), (F.floor((place + 2) / 3)).cast("string"))
-
-
-def parse_date(c: Column, dayfirst: bool = False, cleaned: bool = True) -> Column:
+def parse_date(c: Column, dayfirst: bool = False) -> Column:
     """Timestamp from ISO, numeric and month-name dates, each with an optional clock.
 
-    Numeric dates are read day first or month first as asked and in the other order when
-    that fails. Bare digits are never dates. ISO text is never flipped.
+    Numeric dates are read day first or month first as asked, and in the other order when
+    that fails. Bare digits are never dates, and ISO text is never flipped.
     """
-    if not cleaned:
-        from tabwright.functions.text import normalize
-
-        c = normalize(c, lower=False)
-    zone = _group(c, ISO_SHAPE, 8)
-    iso = F.concat(
-        _group(c, ISO_SHAPE, 1), F.lit("-"), _two(_group(c, ISO_SHAPE, 2)), F.lit("-"), _two(_group(c, ISO_SHAPE, 3)),
-        _clock(c, ISO_SHAPE, 4),
-        F.when(zone.rlike(r"^[+-]\d{4}$"), F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, 4, 2))).otherwise(zone),
-    ).try_cast("timestamp")
-    first, second = _group(c, NUMERIC_SHAPE, 1), _group(c, NUMERIC_SHAPE, 2)
-    year, clock = _year(_group(c, NUMERIC_SHAPE, 3)), _clock(c, NUMERIC_SHAPE, 4)
-    day_month = _stamp(year, second, first, clock)
-    month_day = _stamp(year, first, second, clock)
+    iso = F.regexp_replace(c, r"^(\d{4})[/.](\d{1,2})[/.]", "$1-$2-")
+    iso = F.regexp_replace(iso, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    long_year = _with_century(c)
+    day_month = F.regexp_replace(long_year, NUMERIC_SHAPE, "$3-$2-$1$4").try_cast("timestamp")
+    month_day = F.regexp_replace(long_year, NUMERIC_SHAPE, "$3-$1-$2$4").try_cast("timestamp")
     numeric = F.coalesce(day_month, month_day) if dayfirst else F.coalesce(month_day, day_month)
-    day_name = _stamp(
-        _group(c, DAY_NAME_SHAPE, 3), _month_number(_group(c, DAY_NAME_SHAPE, 2)), _group(c, DAY_NAME_SHAPE, 1),
-        _clock(c, DAY_NAME_SHAPE, 4),
-    )
-    name_day = _stamp(
-        _group(c, NAME_DAY_SHAPE, 3), _month_number(_group(c, NAME_DAY_SHAPE, 1)), _group(c, NAME_DAY_SHAPE, 2),
-        _clock(c, NAME_DAY_SHAPE, 4),
-    )
     return (
-        F.when(c.rlike(ISO_SHAPE), iso)
+        F.when(c.rlike(ISO_SHAPE), iso.try_cast("timestamp"))
         .when(c.rlike(NUMERIC_SHAPE), numeric)
-        .when(c.rlike(DAY_NAME_SHAPE), day_name)
-        .when(c.rlike(NAME_DAY_SHAPE), name_day)
+        .when(c.rlike(DAY_NAME_SHAPE), _month_words(F.regexp_replace(c, DAY_NAME_SHAPE, "$3-$2-$1$4")).try_cast("timestamp"))
+        .when(c.rlike(NAME_DAY_SHAPE), _month_words(F.regexp_replace(c, NAME_DAY_SHAPE, "$3-$1-$2$4")).try_cast("timestamp"))
     )
 
 
@@ -110,7 +69,7 @@ def date_parts(ts: Column) -> dict[str, Column]:
     }
 
 
-def expand_datetime(df, column: str, style: str = "clean"):
+def expand_datetime(df: DataFrame, column: str, style: str = "clean") -> DataFrame:
     """Replace a timestamp column by its parts.
 
     ``clean`` names them ``<c>__year`` to ``<c>__minute``; ``upload`` names them

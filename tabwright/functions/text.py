@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,6 +33,7 @@ CATEGORY_ALIASES = {
 
 ZERO_WIDTH = "[\\u200B\\u200C\\u200D\\uFEFF]"
 WHITESPACE_RUN = "[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]+"
+NESTED_TEXT = r"(?s)^(\{.*\}|\[.*\])$"
 REPLACEMENT_CHAR = "\ufffd"
 
 
@@ -46,15 +49,16 @@ def nfkc(c: Column) -> Column:
     return F.coalesce(_nfkc(F.when(foreign, c)), c)
 
 
+def squeeze(c: Column) -> Column:
+    """Drop zero-width and broken characters, collapse whitespace, trim."""
+    c = F.replace(F.regexp_replace(c, ZERO_WIDTH, ""), F.lit(REPLACEMENT_CHAR), F.lit(""))
+    return F.trim(F.regexp_replace(c, WHITESPACE_RUN, " "))
+
+
 def clean_text(c: Column, lower: bool = False, compose: bool = False) -> Column:
-    """Drop zero-width and broken characters, collapse whitespace, trim; empty becomes null."""
+    """Squeezed text; empty becomes null."""
     c = c.cast("string")
-    if compose:
-        c = nfkc(c)
-    c = F.regexp_replace(c, ZERO_WIDTH, "")
-    c = F.replace(c, F.lit(REPLACEMENT_CHAR), F.lit(""))
-    c = F.trim(F.regexp_replace(c, WHITESPACE_RUN, " "))
-    c = F.nullif(c, F.lit(""))
+    c = F.nullif(squeeze(nfkc(c) if compose else c), F.lit(""))
     return F.lower(c) if lower else c
 
 
@@ -64,16 +68,32 @@ def null_placeholders(c: Column) -> Column:
 
 def canonical_json(c: Column) -> Column:
     """Objects and arrays written as text get sorted keys and fixed spacing; the rest is kept."""
-    looks_nested = (c.startswith("{") & c.endswith("}")) | (c.startswith("[") & c.endswith("]"))
-    return F.when(looks_nested, F.coalesce(F.to_json(F.try_parse_json(c)), c)).otherwise(c)
+    return F.when(c.rlike(NESTED_TEXT), F.coalesce(F.to_json(F.try_parse_json(c)), c)).otherwise(c)
 
 
 def normalize(c: Column, lower: bool = True, compose: bool = False) -> Column:
     """The full text rule: clean, drop placeholders, canonicalise embedded JSON, lower-case."""
-    text = canonical_json(null_placeholders(clean_text(c, compose=compose)))
+    text = canonical_json(null_placeholders(squeeze(nfkc(c) if compose else c.cast("string"))))
     return F.lower(text) if lower else text
 
 
+def normalized(df: DataFrame, columns: Sequence[str], lower: bool = True, compose: bool = False) -> DataFrame:
+    """``normalize`` for whole columns, one projection per step.
+
+    Each step uses its input more than once; as one nested expression that multiplies, as
+    stacked projections every value is computed once and the code stays compilable.
+    """
+    steps = [lambda c: c.cast("string")]
+    if compose:
+        steps.append(nfkc)
+    steps += [squeeze, null_placeholders, canonical_json]
+    if lower:
+        steps.append(F.lower)
+    for step in steps:
+        df = df.withColumns({c: step(F.col(f"`{c}`")) for c in columns}) if columns else df
+    return df
+
+
 def decode_text(c: Column) -> Column:
     """Bytes to text: UTF-8 when valid, else Latin-1."""
     return F.coalesce(F.try_validate_utf8(c.cast("string")), F.decode(c, "ISO-8859-1"))
@@ -114,6 +134,4 @@ def safe_extract(c: Column, pattern: str, group: int = 1) -> Column:
 
 def name_tokens(name: str) -> list[str]:
     """Lower-case words of a column name, split at underscores, digits and case changes."""
-    import re
-
     return [t.lower() for t in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", name)]

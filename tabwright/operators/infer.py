@@ -10,12 +10,14 @@ from pyspark.sql import types as T
 
 from tabwright.functions.dates import parse_date, time_of_day
 from tabwright.functions.numbers import NUMBER, finite, is_integral, parse_bool, parse_number, parse_number_loose, to_int
-from tabwright.functions.text import PLACEHOLDERS, clean_text, name_tokens, normalize
+from tabwright.functions.text import PLACEHOLDERS, clean_text, name_tokens, normalized
 from tabwright.functions.units import CLOCK_SHAPE, DURATION_SHAPE
 from tabwright.operators.profile import per_column
 from tabwright.operators.scale import col, local_frame
-from tabwright.operators.valuecounts import distinct_counts, is_numeric, is_time
+from tabwright.operators.valuecounts import distinct_counts, is_numeric, is_time, long_values
 
+MONEY_SHAPE = r"^[$€£₹¥]\s*-?[0-9][0-9,]*(\.[0-9]+)?$"
+PERCENT_SHAPE = r"^-?[0-9][0-9,]*(\.[0-9]+)?\s*%$"
 DATE_WORDS = ["date", "time", "timestamp", "dt"]
 ID_WORDS = ["id", "ids", "key", "phone", "mobile", "zip", "zipcode", "postcode", "pincode", "account"]
 
@@ -26,14 +28,12 @@ TARGET_PRIORITY = ["target", "label", "class", "outcome", "price", "sales", "amo
 TASKS = ["regression", "classification", "clustering"]
 
 
-def _text_parse_stats(c: Column) -> dict[str, Column]:
-    loose = parse_number_loose(c)
-    return {
-        "filled": F.count(c),
-        "numeric": F.count(loose),
-        "integral": F.coalesce(is_integral(loose), F.lit(False)),
-        "dates": F.count(parse_date(clean_text(c), dayfirst=True)),
-    }
+def text_stats(long: DataFrame, stats: dict[str, Column]) -> DataFrame:
+    """Aggregate statistics of a long (column, value) table per column.
+
+    The parse rules then compile once, on one value column, however many columns there are.
+    """
+    return long.groupBy("column").agg(*[e.alias(k) for k, e in stats.items()])
 
 
 def recommend_types(df: DataFrame, rules: str = "basic") -> DataFrame:
@@ -44,70 +44,88 @@ def recommend_types(df: DataFrame, rules: str = "basic") -> DataFrame:
     leading zeros, identifiers, durations and numbers mixed with words; currency and percent
     text is float, yes/no text is boolean.
     """
-    stats = {}
+    spark = df.sparkSession
+    known, numeric, text = [], [], []
+    ids = [c for c in df.columns if rules == "rich" and set(name_tokens(c)) & set(ID_WORDS)]
     for f in df.schema.fields:
-        c = col(f.name)
-        if isinstance(f.dataType, T.BooleanType) or is_time(f.dataType):
-            s = {"filled": F.count(c), "numeric": F.count_if(F.lit(False)), "integral": F.bool_and(F.lit(False)), "dates": F.count(c)}
+        if isinstance(f.dataType, T.BooleanType):
+            known.append((f.name, "boolean"))
+        elif is_time(f.dataType):
+            known.append((f.name, "date"))
         elif is_numeric(f.dataType):
-            v = finite(c)
-            s = {"filled": F.count(c), "numeric": F.count(v), "integral": F.coalesce(is_integral(v), F.lit(False)), "dates": F.count_if(F.lit(False))}
+            known.append((f.name, "object")) if f.name in ids else numeric.append(f.name)
+        elif f.name in ids:
+            known.append((f.name, "object"))
         else:
-            text = c.cast("string")
-            if rules == "rich":
-                text = F.when(~F.lower(F.trim(text)).isin(PLACEHOLDERS), F.trim(text))
-            s = _text_parse_stats(text)
-        if rules == "rich":
-            s.update(_rich_stats(c, f.dataType))
-        stats[f.name] = s
-    found = per_column(df, stats)
-    boolean = [f.name for f in df.schema.fields if isinstance(f.dataType, T.BooleanType)]
-    timed = [f.name for f in df.schema.fields if is_time(f.dataType)]
-    enough = F.col("filled") > 0
-    dtype = (
-        F.when(F.col("column").isin(boolean), "boolean")
-        .when(F.col("column").isin(timed), "date")
-    )
+            text.append(f.name)
+    out = local_frame(spark, known, "column string, dtype string")
+    if numeric:
+        whole = per_column(df, {
+            c: {"n": F.count(finite(col(c))), "whole": F.coalesce(is_integral(finite(col(c))), F.lit(False))} for c in numeric
+        })
+        dtype = F.when(F.col("n") == 0, "object").when(F.col("whole"), "integer").otherwise("float")
+        out = out.unionByName(whole.select("column", dtype.alias("dtype")))
+    if text:
+        out = out.unionByName(_text_types(long_values(df, text), rules))
+    return out
+
+
+def _text_types(long: DataFrame, rules: str) -> DataFrame:
+    share = lambda name: F.col(name) / F.greatest(F.col("filled"), F.lit(1)) >= 0.9
+    v = F.col("value")
     if rules == "rich":
-        ids = [c for c in df.columns if set(name_tokens(c)) & set(ID_WORDS)]
+        trimmed = long.select("column", F.trim("value").alias("value"))
+        long = trimmed.withColumn("value", F.when(~F.lower("value").isin(PLACEHOLDERS), v)).withColumn("low", F.lower("value"))
+        low = F.col("low")
+        found = text_stats(long, {
+            "filled": F.count("value"),
+            "flags": F.count(parse_bool(low, cleaned=True)),
+            "money": F.count_if(low.rlike(MONEY_SHAPE) | low.rlike(PERCENT_SHAPE)),
+            "zero_led": F.count_if(low.rlike("^0[0-9]+$")),
+            "durations": F.count_if(low.rlike(CLOCK_SHAPE) | low.rlike(DURATION_SHAPE)),
+            "strict": F.count_if(F.replace(low, F.lit(","), F.lit("")).rlike(NUMBER)),
+            "integral": F.coalesce(is_integral(parse_number_loose(F.when(~low.contains("e"), low))), F.lit(False)) & (F.count_if(low.contains("e")) == 0),
+            "dates": F.count(parse_date(v, dayfirst=True)),
+        })
         dtype = (
-            dtype.when(enough & (F.col("flags") == F.col("filled")), "boolean")
-            .when(F.col("column").isin(ids) & (F.col("numeric") > 0), "object")
-            .when(enough & (F.col("money") / F.col("filled") >= 0.9), "float")
+            F.when(F.col("filled") == 0, "object")
+            .when(F.col("flags") == F.col("filled"), "boolean")
             .when((F.col("zero_led") > 0) | (F.col("durations") > 0), "object")
-            .when(enough & (F.col("strict") / F.col("filled") >= 0.9) & F.col("integral"), "integer")
-            .when(enough & (F.col("strict") / F.col("filled") >= 0.9), "float")
+            .when(share("money"), "float")
+            .when(share("strict"), F.when(F.col("integral"), "integer").otherwise("float"))
+            .when(share("dates"), "date")
         )
     else:
+        staged = long.select("column", "value", parse_number_loose(v).alias("loose"), clean_text(v).alias("clean"))
+        found = text_stats(staged, {
+            "filled": F.count("value"), "numeric": F.count("loose"),
+            "integral": F.coalesce(is_integral(F.col("loose")), F.lit(False)),
+            "dates": F.count(parse_date(F.col("clean"), dayfirst=True)),
+        })
         dtype = (
-            dtype.when(enough & (F.col("numeric") / F.col("filled") >= 0.9) & F.col("integral"), "integer")
-            .when(enough & (F.col("numeric") / F.col("filled") >= 0.9), "float")
+            F.when(F.col("filled") == 0, "object")
+            .when(share("numeric"), F.when(F.col("integral"), "integer").otherwise("float"))
+            .when(share("dates"), "date")
         )
-    return found.select("column", dtype.when(enough & (F.col("dates") / F.col("filled") >= 0.9), "date").otherwise("object").alias("dtype"))
-
-
-def _rich_stats(c: Column, t: T.DataType) -> dict[str, Column]:
-    zero = F.count_if(F.lit(False))
-    if is_numeric(t):
-        v = finite(c)
-        return {"flags": zero, "money": zero, "zero_led": zero, "durations": zero, "strict": F.count(v)}
-    if isinstance(t, T.BooleanType) or is_time(t):
-        return {"flags": zero, "money": zero, "zero_led": zero, "durations": zero, "strict": zero}
-    text = F.lower(F.trim(c.cast("string")))
-    return {
-        "flags": F.count(parse_bool(F.when(~text.isin(PLACEHOLDERS), text), cleaned=True)),
-        "money": F.count_if(text.rlike(r"^[$€£₹¥]\s*-?[0-9][0-9,]*(\.[0-9]+)?$") | text.rlike(r"^-?[0-9][0-9,]*(\.[0-9]+)?\s*%$")),
-        "zero_led": F.count_if(text.rlike("^0[0-9]+$")),
-        "durations": F.count_if(text.rlike(CLOCK_SHAPE) | text.rlike(DURATION_SHAPE)),
-        "strict": F.count_if(F.replace(text, F.lit(","), F.lit("")).rlike(NUMBER)),
-    }
+    return found.select("column", dtype.otherwise("object").alias("dtype"))
 
 
 def infer_kinds(
     df: DataFrame, bool_ratio: float = 0.98, date_ratio: float = 0.9, number_ratio: float = 0.9, hinted_date_ratio: float = 0.5
 ) -> DataFrame:
     """(column, kind): boolean, numeric, datetime or categorical, by type or by what the text reads as."""
-    fixed, stats = [], {}
+    fixed, text = fixed_kinds(df)
+    out = local_frame(df.sparkSession, fixed, "column string, kind string")
+    if not text:
+        return out
+    clean = normalized(long_values(df, text), ["value"], lower=False)
+    found = text_stats(clean, kind_stats(F.lit(1)))
+    return out.unionByName(found.select("column", kind_rule(text, bool_ratio, date_ratio, number_ratio, hinted_date_ratio).alias("kind")))
+
+
+def fixed_kinds(df: DataFrame) -> tuple[list[tuple[str, str]], list[str]]:
+    """Kinds that follow from the column type, and the columns whose text must be read."""
+    fixed, text = [], []
     for f in df.schema.fields:
         if isinstance(f.dataType, T.BooleanType):
             fixed.append((f.name, "boolean"))
@@ -116,16 +134,18 @@ def infer_kinds(
         elif is_time(f.dataType):
             fixed.append((f.name, "datetime"))
         else:
-            text = normalize(col(f.name).cast("string"), lower=False)
-            stats[f.name] = {
-                "filled": F.count(text), "flags": F.count(parse_bool(text, cleaned=True)),
-                "numbers": F.count(parse_number(text, cleaned=True)), "dates": F.count(parse_date(text)),
-            }
-    out = local_frame(df.sparkSession, fixed, "column string, kind string")
-    if not stats:
-        return out
-    found = per_column(df, stats)
-    return out.unionByName(found.select("column", kind_rule(list(stats), bool_ratio, date_ratio, number_ratio, hinted_date_ratio).alias("kind")))
+            text.append(f.name)
+    return fixed, text
+
+
+def kind_stats(weight: Column) -> dict[str, Column]:
+    """Weighted counts of cleaned ``value`` text that is present and reads as flag, number, date."""
+    v = F.col("value")
+    count = lambda e: F.coalesce(F.sum(F.when(e.isNotNull(), weight)), F.lit(0)).cast("bigint")
+    return {
+        "filled": count(v), "flags": count(parse_bool(v, cleaned=True)),
+        "numbers": count(parse_number(v, cleaned=True)), "dates": count(parse_date(v)),
+    }
 
 
 def kind_rule(columns: Sequence[str], bool_ratio: float, date_ratio: float, number_ratio: float, hinted_date_ratio: float) -> Column:

@@ -207,7 +207,7 @@ def hash_part(
     # a cut whose rank is 0 leaves no row below it and has no entry; all its rows lie above
     part = F.lit(0)
     for i in range(len(cut_ranks)):
-        at = F.filter(F.col("_cuts"), lambda e, i=i: e["_i"] == i)
+        at = F.expr(f"filter(_cuts, e -> e._i = {i})")
         part = part + F.when(F.size(at) > 0, (F.col("_h") > F.get(at, F.lit(0))["_h"]).cast("int")).otherwise(F.lit(1))
     return joined.withColumn(name, part).drop("_h", "_g", "_s", "_cuts")
 

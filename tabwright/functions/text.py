@@ -99,12 +99,14 @@ def decode_text(c: Column) -> Column:
     return F.coalesce(F.try_validate_utf8(c.cast("string")), F.decode(c, "ISO-8859-1"))
 
 
-def flatten_nested(df: DataFrame) -> DataFrame:
+def flatten_nested(df: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
     """Structs, arrays and maps become JSON text with sorted keys; binary becomes text."""
     out = []
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        if field.name in skip:
+            pass
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
             text = F.to_json(c, {"ignoreNullFields": "false"})
             c = F.coalesce(F.to_json(F.try_parse_json(text)), text)
         elif isinstance(field.dataType, T.BinaryType):

@@ -32,6 +32,7 @@ from tabwright.operators.schema import align_schema, normalize_names
 from tabwright.operators.valuecounts import value_count_table
 
 OTHER = "__other__"
+BOX = "_carried"
 FUZZY_VALUES = 500       # columns with more distinct values are not merged
 FUZZY_ANCHORS = 150      # spellings a value is compared with
 FUZZY_LENGTH = 4         # shorter values must match exactly
@@ -94,6 +95,7 @@ class _CleanerParams(Params):
     clipHigh = Param(Params._dummy(), "clipHigh", "upper clip quantile", TypeConverters.toFloat)
     maxTextLength = Param(Params._dummy(), "maxTextLength", "characters of a category kept", TypeConverters.toInt)
     compose = Param(Params._dummy(), "compose", "apply Unicode compatibility composition", TypeConverters.toBoolean)
+    carry = Param(Params._dummy(), "carry", "columns passed through untouched", TypeConverters.toListString)
 
 
 class RobustCleaner(Estimator, _CleanerParams, DefaultParamsReadable, DefaultParamsWritable):
@@ -102,12 +104,12 @@ class RobustCleaner(Estimator, _CleanerParams, DefaultParamsReadable, DefaultPar
     @keyword_only
     def __init__(
         self, *, numericRatio=None, datetimeRatio=None, boolRatio=None, rareFreq=None, rareMinCount=None,
-        highCardinality=None, highCardinalityRatio=None, clipLow=None, clipHigh=None, maxTextLength=None, compose=None,
+        highCardinality=None, highCardinalityRatio=None, clipLow=None, clipHigh=None, maxTextLength=None, compose=None, carry=None,
     ):
         super().__init__()
         self._setDefault(
             numericRatio=0.9, datetimeRatio=0.9, boolRatio=0.98, rareFreq=0.01, rareMinCount=20,
-            highCardinality=250, highCardinalityRatio=0.7, clipLow=0.005, clipHigh=0.995, maxTextLength=5000, compose=True,
+            highCardinality=250, highCardinalityRatio=0.7, clipLow=0.005, clipHigh=0.995, maxTextLength=5000, compose=True, carry=[],
         )
         self._set(**self._input_kwargs)
 
@@ -115,7 +117,7 @@ class RobustCleaner(Estimator, _CleanerParams, DefaultParamsReadable, DefaultPar
         return self.getOrDefault(self.getParam(name))
 
     def _fit(self, dataset: DataFrame) -> RobustCleanerModel:
-        flat = normalize_names(flatten_nested(dataset))
+        flat = normalize_names(flatten_nested(dataset.drop(*self._get("carry"))))
         if not flat.columns:
             raise ValueError("the table has no columns")
         rows = flat.count()
@@ -147,7 +149,9 @@ class RobustCleaner(Estimator, _CleanerParams, DefaultParamsReadable, DefaultPar
                 {"name": f.name, "type": f.dataType.simpleString(), "kind": kinds[f.name], **state[f.name]} for f in flat.schema.fields
             ],
         }
-        model = RobustCleanerModel(manifest=json.dumps(manifest), compose=self._get("compose"), maxTextLength=self._get("maxTextLength"))
+        model = RobustCleanerModel(
+            manifest=json.dumps(manifest), compose=self._get("compose"), maxTextLength=self._get("maxTextLength"), carry=self._get("carry"),
+        )
         if not model.output_columns():
             raise ValueError("no usable feature remains after cleaning")
         return model
@@ -238,9 +242,11 @@ def _written_dictionary(values: DataFrame) -> str:
     return path
 
 
-def base_table(df: DataFrame, kinds: dict[str, str], compose: bool = False, max_length: int = 5000) -> DataFrame:
+def base_table(
+    df: DataFrame, kinds: dict[str, str], compose: bool = False, max_length: int = 5000, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """The columns in ``kinds`` converted to their kind; what does not convert is null."""
-    df = df.select(*[col(c) for c in kinds])
+    df = df.select(*carry, *[col(c) for c in kinds])
     text = [c for c, k in kinds.items() if isinstance(df.schema[c].dataType, (T.StringType, T.NullType)) or k == "categorical"]
     clean = normalized(df, text, lower=False, compose=compose)
 
@@ -252,7 +258,7 @@ def base_table(df: DataFrame, kinds: dict[str, str], compose: bool = False, max_
             return v.cast("timestamp") if kind == "datetime" else finite(v)
         return {"boolean": lambda: parse_bool(v, cleaned=True), "numeric": lambda: parse_number(v, cleaned=True), "datetime": lambda: parse_date(v)}[kind]()
 
-    return clean.select(*[convert(c).alias(c) for c in kinds])
+    return clean.select(*carry, *[convert(c).alias(c) for c in kinds])
 
 
 class RobustCleanerModel(Model, DefaultParamsReadable, DefaultParamsWritable):
@@ -261,11 +267,12 @@ class RobustCleanerModel(Model, DefaultParamsReadable, DefaultParamsWritable):
     manifest = Param(Params._dummy(), "manifest", "fitted state as JSON", TypeConverters.toString)
     compose = Param(Params._dummy(), "compose", "apply Unicode compatibility composition", TypeConverters.toBoolean)
     maxTextLength = Param(Params._dummy(), "maxTextLength", "characters of a category kept", TypeConverters.toInt)
+    carry = Param(Params._dummy(), "carry", "columns passed through untouched", TypeConverters.toListString)
 
     @keyword_only
-    def __init__(self, *, manifest=None, compose=None, maxTextLength=None):
+    def __init__(self, *, manifest=None, compose=None, maxTextLength=None, carry=None):
         super().__init__()
-        self._setDefault(manifest="{}", compose=True, maxTextLength=5000)
+        self._setDefault(manifest="{}", compose=True, maxTextLength=5000, carry=[])
         self._set(**self._input_kwargs)
 
     @property
@@ -294,8 +301,12 @@ class RobustCleanerModel(Model, DefaultParamsReadable, DefaultParamsWritable):
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         compose, length = self.getOrDefault(self.compose), self.getOrDefault(self.maxTextLength)
-        aligned = align_schema(flatten_nested(dataset), [(c["name"], c["type"]) for c in self.kept()])
-        base = base_table(aligned, {c["name"]: c["kind"] for c in self.kept()}, compose, length)
+        carry = [c for c in self.getOrDefault(self.carry) if c in dataset.columns]
+        # one struct takes the carried columns past the renaming, whatever they are called
+        boxed = dataset.select(*[col(c) for c in dataset.columns if c not in carry], *([F.struct(*[col(c) for c in carry]).alias(BOX)] if carry else []))
+        fields = [(c["name"], c["type"]) for c in self.kept()]
+        aligned = align_schema(flatten_nested(boxed, (BOX,)), fields, (BOX,) if carry else ())
+        base = base_table(aligned, {c["name"]: c["kind"] for c in self.kept()}, compose, length, (BOX,) if carry else ())
         for i, c in enumerate(self.kept()):
             if c["kind"] == "categorical":
                 base = self._category(base, c, i)
@@ -312,7 +323,7 @@ class RobustCleanerModel(Model, DefaultParamsReadable, DefaultParamsWritable):
                 out.append(v.alias(c["name"]))
             if c.get("missing"):
                 out.append(missing_flag(v).alias(f"{c['name']}__missing"))
-        return base.select(*out)
+        return base.select(*[F.col(f"{BOX}.`{c}`").alias(c) for c in carry], *out)
 
     @staticmethod
     def _category(base: DataFrame, c: dict, i: int) -> DataFrame:

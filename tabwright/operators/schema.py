@@ -45,11 +45,13 @@ def normalize_names(df: DataFrame) -> DataFrame:
     return df.toDF(*normalized_names(df.columns))
 
 
-def align_schema(df: DataFrame, fields: Sequence[tuple[str, str]]) -> DataFrame:
+def align_schema(df: DataFrame, fields: Sequence[tuple[str, str]], carry: Sequence[str] = ()) -> DataFrame:
     """The fitted columns in fitted order: found by normalised name, null when absent, the rest dropped."""
-    named = normalize_names(df)
-    have = set(named.columns)
-    return named.select(*[(col(n) if n in have else F.lit(None).cast(t)).alias(n) for n, t in fields])
+    source = [c for c in df.columns if c not in carry]
+    have = dict(zip(normalized_names(source), source))
+    return df.select(
+        *[col(c) for c in carry], *[(col(have[n]) if n in have else F.lit(None).cast(t)).alias(n) for n, t in fields]
+    )
 
 
 def drop_cols(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabwright.operators.profile import corr_matrix, missing_pct, most_variable, num
+from tabwright.operators.profile import HEAVY, corr_matrix, missing_pct, most_variable, num, numbers, per_column
 from tabwright.operators.scale import col, exact_quantiles, local_frame, row_hash
 from tabwright.operators.valuecounts import cols_of_kind, distinct_counts, value_counts
 from tabwright.sources.tables import stable_sample
@@ -48,8 +48,8 @@ def widest_column(df: DataFrame) -> str | None:
     names = cols_of_kind(df, "numeric")
     if not names:
         return None
-    row = df.agg(*[F.stddev_samp(num(c)).alias(f"s{i}") for i, c in enumerate(names)]).first()
-    known = [(s, -i) for i, s in enumerate(row) if s is not None]
+    spread = per_column(numbers(df, names), {c: {"std": F.stddev_samp(col(c))} for c in names}, limit=HEAVY)
+    known = [(r["std"], -names.index(r["column"])) for r in spread.collect() if r["std"] is not None]
     return names[-max(known)[1]] if known else None
 
 

@@ -26,7 +26,7 @@ from tabwright.functions.dates import date_parts, parse_date
 from tabwright.functions.numbers import clip, finite, log1p_clipped, missing_flag, parse_bool, parse_number, unbiased_skew
 from tabwright.functions.text import apply_alias, flatten_nested, normalized, truncate
 from tabwright.operators.infer import fixed_kinds, kind_rule, kind_stats, text_stats
-from tabwright.operators.profile import per_column
+from tabwright.operators.profile import HEAVY, per_column
 from tabwright.operators.scale import col, exact_quantiles, local_frame, small_side
 from tabwright.operators.schema import align_schema, normalize_names
 from tabwright.operators.valuecounts import value_count_table
@@ -182,26 +182,27 @@ class RobustCleaner(Estimator, _CleanerParams, DefaultParamsReadable, DefaultPar
 
     def _fit_spellings(self, counts, columns, state):
         aliased = counts.groupBy("column", apply_alias(F.col("value")).alias("value")).agg(F.sum("n").alias("n"))
-        canonical = fuzzy_map(aliased)
-        moved = canonical.where("value <> canonical")  # at most 500 per column
+        moved = fuzzy_map(aliased).where("value <> canonical").collect()  # at most 500 per column
         for c in columns:
-            state[c].update(spellings={}, rare=0)
-        for r in moved.collect():
+            state[c].update(spellings={}, rare=0, categories=[])
+        for r in moved:
             state[r["column"]]["spellings"][r["value"]] = r["canonical"]
-        joined = aliased.join(small_side(moved), ["column", "value"], "left")
+        spelled = aliased.sparkSession.createDataFrame([tuple(r) for r in moved], "column string, value string, canonical string")
+        joined = aliased.join(F.broadcast(spelled), ["column", "value"], "left")
         merged = joined.groupBy("column", F.coalesce("canonical", "value").alias("value")).agg(F.sum("n").alias("n"))
-        judged = rare_table(merged, self._get("rareFreq"), self._get("rareMinCount"))
-        totals = judged.groupBy("column").agg(F.count_if("rare").alias("rare"), F.count_if(~F.col("rare")).alias("kept")).collect()
-        inline = [r["column"] for r in totals if r["kept"] <= INLINE_CATEGORIES]
-        for r in totals:
-            state[r["column"]].update(rare=r["rare"], categories=[])
-        for r in judged.where(~F.col("rare") & F.col("column").isin(inline)).select("column", "value").collect():
-            state[r["column"]]["categories"].append(r["value"])
-        for c in columns:
-            if c in inline:
-                state[c]["categories"].sort()
-            elif "categories" in state[c]:
-                state[c]["dictionary"] = _written_dictionary(judged.where(~F.col("rare") & (F.col("column") == c)))
+        judged = rare_table(merged, self._get("rareFreq"), self._get("rareMinCount")).persist()
+        try:
+            totals = judged.groupBy("column").agg(F.count_if("rare").alias("rare"), F.count_if(~F.col("rare")).alias("kept")).collect()
+            inline = [r["column"] for r in totals if r["kept"] <= INLINE_CATEGORIES]
+            for r in totals:
+                state[r["column"]]["rare"] = r["rare"]
+            for r in judged.where(~F.col("rare") & F.col("column").isin(inline)).select("column", "value").orderBy("value").collect():
+                state[r["column"]]["categories"].append(r["value"])
+            for c in columns:
+                if c not in inline:
+                    state[c]["dictionary"] = _written_dictionary(judged.where(~F.col("rare") & (F.col("column") == c)))
+        finally:
+            judged.unpersist()
 
     def _fit_measured(self, flat, columns, kinds, rows):
         compose = self._get("compose")
@@ -212,7 +213,7 @@ class RobustCleaner(Estimator, _CleanerParams, DefaultParamsReadable, DefaultPar
                 "n": F.count(v), "lo": F.min(v), "hi": F.max(v),
                 "skew": unbiased_skew(v) if kinds[c] == "numeric" else F.lit(None).cast("double") + F.max(F.lit(0.0)),
             } for c, v in as_number.items()
-        })
+        }, limit=HEAVY)
         found = {r["column"]: r for r in stats.collect()}
         state = {}
         for c in columns:

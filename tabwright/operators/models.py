@@ -104,7 +104,7 @@ def estimator(name: str, task: str, p: Mapping[str, Any], facts: Facts, seed: in
         if name == "ElasticNet":
             return linear_regression(alpha=p["alpha"], l1_ratio=p["l1_ratio"], facts=facts, **cols)
     if name == "LogisticRegression":
-        return LogisticRegression(regParam=1.0 / (p["C"] * facts.rows), elasticNetParam=0.0, standardization=False, maxIter=200, **cols, **weight)
+        return LogisticRegression(regParam=1.0 / (p["C"] * facts.rows), elasticNetParam=0.0, standardization=False, maxIter=100, **cols, **weight)
     if name == "SVC":
         svc = LinearSVC(regParam=1.0 / (p["C"] * facts.rows), standardization=False, maxIter=100, **cols, **weight)
         return svc if facts.classes == 2 else OneVsRest(classifier=svc, **cols, **weight)
@@ -368,7 +368,7 @@ def train(
 
     folds = effective_cv(train_rows, LABEL, cv, task)
     # the row number is the position of the key hash, so k-NN ties do not depend on partitioning
-    row_id = F.conv(F.substring(key_hash(key, seed), 1, 15), 16, 10).cast("bigint").alias(ROW)
+    row_id = F.conv(F.substring(key_hash(key, seed, "id"), 1, 15), 16, 10).cast("bigint").alias(ROW)
     keep = [LABEL, ROW, FOLD]
     folded = add_folds(train_rows, folds, key, LABEL if task == "classification" else None, seed).withColumnRenamed("fold", FOLD)
     folded = folded.select(row_id, LABEL, FOLD, *[col(c) for c in features])

@@ -5,13 +5,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.functions.numbers import finite, parse_number_loose, unbiased_skew
 from tabwright.operators.dedupe import duplicate_rows
-from tabwright.operators.scale import AGG_EXPRESSIONS, chunks, col, exact_quantiles, local_frame
+from tabwright.operators.scale import chunks, col, exact_quantiles, local_frame
 from tabwright.operators.valuecounts import (
     cols_of_kind,
     distinct_counts,
@@ -22,10 +24,22 @@ from tabwright.operators.valuecounts import (
 )
 
 
+HEAVY = 24            # moment aggregates per job; more make generated code too large for the JIT
+LIGHT = 160           # plain counts per job
+JVM_PAIRS = 12        # correlations worth single aggregates; more go through matrix products
+PRODUCT_TASKS = 4096  # each task of a matrix product returns one row per pair of columns
+
+
 def num(name: str) -> Column:
     return finite(col(name))
 
 
+def numbers(df: DataFrame, names: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """Numeric columns as doubles with NaN and infinities nulled, computed once per row."""
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    return df.select(*[col(c) for c in carry], *[(num(c) if c in floats else col(c).cast("double")).alias(c) for c in names])
+
+
 def _is_missing(df: DataFrame, name: str) -> Column:
     c = col(name)
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
@@ -33,14 +47,15 @@ def _is_missing(df: DataFrame, name: str) -> Column:
     return c.isNull()
 
 
-def per_column(df: DataFrame, exprs: dict[str, dict[str, Column]], label: str = "column") -> DataFrame:
+def per_column(df: DataFrame, exprs: dict[str, dict[str, Column]], label: str = "column", limit: int = LIGHT) -> DataFrame:
     """Aggregate per column, laid out long: ``exprs[column][stat]`` becomes a row per column.
 
-    All columns share one pass over the table per ``AGG_EXPRESSIONS`` aggregates.
+    Columns share passes of ``limit`` aggregates. A columnar source reads each column once all
+    the same, since every pass asks for other columns.
     """
     stats = list(next(iter(exprs.values())))
     out = None
-    for part in chunks(list(exprs), max(1, AGG_EXPRESSIONS // len(stats))):
+    for part in chunks(list(exprs), max(1, limit // len(stats))):
         wide = df.agg(*[exprs[c][s].alias(f"{i}_{s}") for i, c in enumerate(part) for s in stats])
         rows = F.array(*[
             F.struct(F.lit(c).alias(label), *[F.col(f"{i}_{s}").alias(s) for s in stats]) for i, c in enumerate(part)
@@ -72,14 +87,14 @@ def missing_pct(df: DataFrame, k: int | None = None, digits: int = 2, ascending:
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, count, mean, std, min, p25, p50, p75, max) with exact interpolated quartiles."""
     names = list(columns) if columns is not None else cols_of_kind(df, "numeric")
-    base = per_column(df, {
+    values = numbers(df, names)
+    base = per_column(values, {
         c: {
-            "count": F.count(num(c)), "mean": F.avg(num(c)), "std": F.stddev_samp(num(c)),
-            "min": F.min(num(c)), "max": F.max(num(c)),
+            "count": F.count(col(c)), "mean": F.avg(col(c)), "std": F.stddev_samp(col(c)),
+            "min": F.min(col(c)), "max": F.max(col(c)),
         } for c in names
-    }).collect()
-    numbers = df.select(*[num(c).alias(c) for c in names])
-    q = exact_quantiles(numbers, {c: [0.25, 0.5, 0.75] for c in names})
+    }, limit=HEAVY).collect()
+    q = exact_quantiles(values, {c: [0.25, 0.5, 0.75] for c in names})
     rows = [(r["column"], r["count"], r["mean"], r["std"], r["min"], *q[r["column"]], r["max"]) for r in base]
     return local_frame(
         df.sparkSession, rows,
@@ -146,23 +161,62 @@ def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None, digits: int
     if len(names) < 2:
         raise ValueError("a correlation matrix needs at least two numeric columns")
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    out = None
-    for part in chunks(pairs, AGG_EXPRESSIONS):
-        wide = df.agg(*[F.corr(num(a), num(b)).alias(f"r{i}") for i, (a, b) in enumerate(part)])
+    values = numbers(df, names)
+    if len(pairs) <= JVM_PAIRS:
+        wide = values.agg(*[F.corr(col(a), col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
         cells = F.array(*[
             F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"r{i}").alias("corr"))
-            for i, (a, b) in enumerate(part) for x, y in ([(a, b)] if a == b else [(a, b), (b, a)])
+            for i, (a, b) in enumerate(pairs) for x, y in ([(a, b)] if a == b else [(a, b), (b, a)])
         ])
-        long = wide.select(F.inline(cells))
-        out = long if out is None else out.unionByName(long)
+        out = wide.select(F.inline(cells))
+    else:
+        out = _product_corr(values, names)
     value = F.when(~F.isnan("corr"), F.col("corr"))
     return out.select("x", "y", (F.round(value, digits) if digits is not None else value).alias("corr"))
 
 
+def _product_corr(values: DataFrame, names: list[str]) -> DataFrame:
+    """Correlations of many pairs from matrix products of Arrow batches.
+
+    Each task adds up, for every pair, the sums over the rows where both values are present,
+    of columns centred on their means, and returns them once; a group-by adds the tasks.
+    """
+    mean = values.agg(*[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(names)]).first()
+    centre = np.array([m if m is not None else 0.0 for m in mean])
+
+    def products(batches):
+        total = None
+        for pdf in batches:
+            x = pdf.to_numpy(dtype="float64") - centre
+            there = ~np.isnan(x)
+            x, there = np.where(there, x, 0.0), there.astype("float64")
+            part = np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
+            total = part if total is None else total + part
+        if total is not None:
+            i, j = np.indices(total.shape[1:])
+            yield pd.DataFrame({
+                "i": i.ravel(), "j": j.ravel(), "n": total[0].ravel(), "a": total[1].ravel(), "b": total[1].T.ravel(),
+                "aa": total[2].ravel(), "bb": total[2].T.ravel(), "ab": total[3].ravel(),
+            })
+
+    schema = "i int, j int, n double, a double, b double, aa double, bb double, ab double"
+    sums = values.coalesce(PRODUCT_TASKS).mapInPandas(products, schema).groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("n", "a", "b", "aa", "bb", "ab")]
+    )
+    n, var_a, var_b = F.col("n"), F.col("aa") - F.col("a") ** 2 / F.col("n"), F.col("bb") - F.col("b") ** 2 / F.col("n")
+    corr = F.when((n > 1) & (var_a > 0) & (var_b > 0), (F.col("ab") - F.col("a") * F.col("b") / n) / F.sqrt(var_a * var_b))
+    label = F.array(*[F.lit(c) for c in names])
+    return sums.where(n > 0).select(
+        F.get(label, F.col("i")).alias("x"), F.get(label, F.col("j")).alias("y"), F.greatest(F.least(corr, F.lit(1.0)), F.lit(-1.0)).alias("corr")
+    )
+
+
 def most_variable(df: DataFrame) -> DataFrame:
     """(column, variance) of the numeric column with the highest variance; the first on a tie."""
     names = cols_of_kind(df, "numeric")
-    var = per_column(df, {c: {"variance": F.var_samp(num(c)), "position": F.max(F.lit(i))} for i, c in enumerate(names)})
+    var = per_column(numbers(df, names), {
+        c: {"variance": F.var_samp(col(c)), "position": F.max(F.lit(i))} for i, c in enumerate(names)
+    }, limit=HEAVY)
     return var.where("variance IS NOT NULL").orderBy(F.desc("variance"), "position").limit(1).select("column", "variance")
 
 
@@ -229,9 +283,9 @@ def sanity(df: DataFrame) -> DataFrame:
 def clip_bounds(df: DataFrame, low: float = 0.005, high: float = 0.995, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, low, high) of numeric columns with at least ten values and a spread between the bounds."""
     names = list(columns) if columns is not None else cols_of_kind(df, "numeric")
-    numbers = df.select(*[num(c).alias(c) for c in names])
-    counts = numbers.agg(*[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(names)]).first()
-    q = exact_quantiles(numbers, {c: [low, high] for i, c in enumerate(names) if counts[i] >= 10})
+    values = numbers(df, names)
+    counts = values.agg(*[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(names)]).first()
+    q = exact_quantiles(values, {c: [low, high] for i, c in enumerate(names) if counts[i] >= 10})
     rows = [(c, *v) for c, v in q.items() if v[0] is not None and v[0] < v[1]]
     return local_frame(df.sparkSession, rows, "column string, low double, high double")
 
@@ -239,7 +293,9 @@ def clip_bounds(df: DataFrame, low: float = 0.005, high: float = 0.995, columns:
 def log_columns(df: DataFrame, columns: Sequence[str] | None = None, min_rows: int = 20, min_skew: float = 2.0) -> DataFrame:
     """(column, skew) of non-negative numeric columns whose corrected skew is at least two in size."""
     names = list(columns) if columns is not None else cols_of_kind(df, "numeric")
-    stats = per_column(df, {c: {"n": F.count(num(c)), "low": F.min(num(c)), "skew": unbiased_skew(num(c))} for c in names})
+    stats = per_column(numbers(df, names), {
+        c: {"n": F.count(col(c)), "low": F.min(col(c)), "skew": unbiased_skew(col(c))} for c in names
+    }, limit=HEAVY)
     return stats.where(f"n >= {min_rows} AND low >= 0 AND abs(skew) >= {min_skew}").select("column", "skew")
 
 
@@ -298,25 +354,27 @@ def profile(df: DataFrame, top: int = 10, high_corr: float = 0.9) -> DataFrame:
             found.append((c, "alert_high_cardinality", float(n), None))
 
     if numeric:
-        numbers = df.select(*[num(c).alias(c) for c in numeric])
-        raw = {f.name: f.dataType for f in df.schema.fields}
-        is_float = [c for c in numeric if isinstance(raw[c], (T.DoubleType, T.FloatType))]
-        basic = per_column(df, {
+        values = numbers(df, numeric)
+        floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+        infinite = {}
+        if floats:
+            row = df.agg(*[F.count_if(F.abs(col(c)) == float("inf")).alias(f"i{i}") for i, c in enumerate(floats)]).first()
+            infinite = {c: row[i] for i, c in enumerate(floats)}
+        basic = per_column(values, {
             c: {
-                "n": F.count(num(c)), "n_zero": F.count_if(num(c) == 0), "n_negative": F.count_if(num(c) < 0),
-                "n_inf": F.count_if(F.abs(col(c)) == float("inf")) if c in is_float else F.count_if(F.lit(False)),
-                "mean": F.avg(num(c)), "std": F.stddev_samp(num(c)), "variance": F.var_samp(num(c)),
-                "min": F.min(num(c)), "max": F.max(num(c)), "sum": F.sum(num(c)),
-                "skewness": unbiased_skew(num(c)),
-                "kurtosis": F.when(F.min(num(c)) < F.max(num(c)), F.kurtosis(num(c))),
+                "n": F.count(col(c)), "n_zero": F.count_if(col(c) == 0), "n_negative": F.count_if(col(c) < 0),
+                "mean": F.avg(col(c)), "std": F.stddev_samp(col(c)), "variance": F.var_samp(col(c)),
+                "min": F.min(col(c)), "max": F.max(col(c)), "sum": F.sum(col(c)),
+                "skewness": unbiased_skew(col(c)),
+                "kurtosis": F.when(F.min(col(c)) < F.max(col(c)), F.kurtosis(col(c))),
             } for c in numeric
-        }).collect()
-        q = exact_quantiles(numbers, {c: list(QUANTILES.values()) for c in numeric}, rows=rows_total)
-        centred = numbers.select(*[F.abs(col(c) - F.lit(q[c][2])).alias(c) for c in numeric if q[c][2] is not None])
+        }, limit=HEAVY).collect()
+        q = exact_quantiles(values, {c: list(QUANTILES.values()) for c in numeric}, rows=rows_total)
+        centred = values.select(*[F.abs(col(c) - F.lit(q[c][2])).alias(c) for c in numeric if q[c][2] is not None])
         mad = exact_quantiles(centred, {c: [0.5] for c in centred.columns}, rows=rows_total)
         for r in basic:
             c = r["column"]
-            stats = {k: r[k] for k in r.asDict() if k not in ("column", "n")}
+            stats = {k: r[k] for k in r.asDict() if k not in ("column", "n")} | {"n_inf": infinite.get(c, 0)}
             if r["n"]:
                 stats.update(dict(zip(QUANTILES, q[c])))
                 stats.update(range=r["max"] - r["min"], iqr=q[c][3] - q[c][1], mad=mad[c][0])

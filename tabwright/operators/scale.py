@@ -22,7 +22,6 @@ SKETCH_K = 4000               # quantile sketch size, about 0.1 % rank error
 SKETCH_GROUPS = 256           # first level of the sketch merge tree
 HASH_DIGITS = 4               # 65,536 hash buckets for cuts
 RANK_ROWS = 1_000_000         # rows one window may rank without range partitioning
-AGG_EXPRESSIONS = 120         # aggregate expressions per job
 
 
 def col(name: str) -> Column:
@@ -156,9 +155,13 @@ def _narrow(df, brackets) -> bool:
 
 # --- hash-order cuts -----------------------------------------------------------------
 
-def key_hash(key: Sequence[str], seed: int = 42) -> Column:
-    """md5 of the key columns and a seed: the same order on every cluster and every run."""
-    return F.md5(F.concat_ws("#", *[col(k).cast("string") for k in key], F.lit(str(seed))))
+def key_hash(key: Sequence[str], seed: int = 42, purpose: str = "split") -> Column:
+    """md5 of the key columns, a purpose and a seed: the same order on every cluster and every run.
+
+    Each purpose has an order of its own: were samples and splits cut from the same order, the
+    rows of a small sample would all land on the same side of a split.
+    """
+    return F.md5(F.concat_ws("#", *[col(k).cast("string") for k in key], F.lit(purpose), F.lit(str(seed))))
 
 
 def row_hash(columns: Sequence[str]) -> Column:

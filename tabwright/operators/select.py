@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.functions.numbers import parse_number_loose
-from tabwright.operators.profile import corr_matrix, num, numeric_gate, per_column, prune_lists
+from tabwright.operators.profile import HEAVY, corr_matrix, num, numbers, numeric_gate, per_column, prune_lists
 from tabwright.operators.scale import RANK_ROWS, chunks, col, exact_quantiles, local_frame, running_totals, small_side
 from tabwright.operators.valuecounts import cols_of_kind, distinct_counts, is_numeric, long_values
 
 AGGREGATED_FEATURES = 100
+MOMENTS = 10  # correlations per job
 PCA_FEATURES = 5000  # the covariance matrix is square in this and sits on the driver
 LEAK_CORR = 0.999
 ID_RATIO = 0.98
@@ -23,7 +24,8 @@ ID_RATIO = 0.98
 def rank_by_corr(df: DataFrame, target: str, absolute: bool = False, features: Sequence[str] | None = None) -> DataFrame:
     """(feature, corr, rank) by correlation with the target, signed unless ``absolute``; nulls last."""
     names = [c for c in (features or cols_of_kind(df, "numeric")) if c != target]
-    found = per_column(df, {c: {"corr": F.corr(num(c), num(target))} for c in names}, "feature")
+    values = numbers(df, [*names, target])
+    found = per_column(values, {c: {"corr": F.corr(col(c), col(target))} for c in names}, "feature", limit=MOMENTS)
     value = F.when(~F.isnan("corr"), F.col("corr"))
     found = found.select("feature", value.alias("corr"))
     order = F.abs(F.col("corr")) if absolute else F.col("corr")
@@ -116,7 +118,7 @@ def mutual_info(df: DataFrame, target: str, bins: int = 32, features: Sequence[s
 def variance_filter(df: DataFrame, threshold: float = 0.01, columns: Sequence[str] | None = None) -> DataFrame:
     """(feature, variance, keep) by population variance."""
     names = list(columns) if columns is not None else cols_of_kind(df, "numeric")
-    found = per_column(df, {c: {"variance": F.var_pop(num(c))} for c in names}, "feature")
+    found = per_column(numbers(df, names), {c: {"variance": F.var_pop(col(c))} for c in names}, "feature", limit=HEAVY)
     return found.withColumn("keep", F.coalesce(F.col("variance") > threshold, F.lit(False)))
 
 

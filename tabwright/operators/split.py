@@ -27,4 +27,4 @@ def add_folds(df: DataFrame, k: int, key: Sequence[str], target: str | None = No
     if k < 2:
         raise ValueError("at least two folds are needed")
     cuts = [lambda n, j=j: F.round(n * F.lit(j) / F.lit(k)) for j in range(1, k)]
-    return hash_part(df, key_hash(key, seed), cuts, target, "fold")
+    return hash_part(df, key_hash(key, seed, "fold"), cuts, target, "fold")

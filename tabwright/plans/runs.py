@@ -7,7 +7,6 @@ from collections.abc import Callable, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tabwright.operators.infer import choose_target, fallback_target, validate_target
 from tabwright.operators.models import Trained, train
@@ -116,5 +115,4 @@ def _target(state, statement, target, task):
 def _trained(state, select, training):
     training.setdefault("skip_heavy", True)
     state["trained"] = train(state["df"], state["target"], state["task"], select=ranked_drop if select else None, **training)
-    models = state["trained"].leaderboard.orderBy("rank").select(F.concat_ws(", ", F.collect_list("Model")).alias("m"))
-    return models.first()["m"]
+    return ", ".join(r["Model"] for r in state["trained"].leaderboard.orderBy("rank").collect())

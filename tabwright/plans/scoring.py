@@ -19,7 +19,7 @@ CARRIED = "_input"
 def score(trained: Trained, df: DataFrame, model: str | None = None) -> DataFrame:
     """The input columns with ``prediction`` and, for classes, the ``confidence`` in it."""
     fitted = trained.models[model or trained.best()]
-    row_id = F.conv(F.substring(key_hash(df.columns), 1, 15), 16, 10).cast("bigint")
+    row_id = F.conv(F.substring(key_hash(df.columns, purpose="id"), 1, 15), 16, 10).cast("bigint")
     rows = df.select(F.struct(*[col(c) for c in df.columns]).alias(CARRIED), row_id.alias(ROW), *[col(c) for c in df.columns])
     rows = rows.drop(*trained.manifest["dropped_features"], trained.manifest["target"])
     cleaner, *rest = trained.preprocessing.stages

@@ -108,7 +108,7 @@ def stable_sample(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) ->
     """
     if n <= 0:
         return df
-    hashed = key_hash(key, seed)
+    hashed = key_hash(key, seed, "sample")
     if n <= BROADCAST_ROWS:
         return df.orderBy(hashed, *[col(k) for k in key]).limit(n)
     cut = hash_part(df, hashed, [lambda total: F.least(total, F.lit(n))], name="_part")

@@ -132,7 +132,7 @@ def test_regression_run_and_reports(spark, people, tmp_path):
 def test_staged_run_reports_the_failing_stage(spark, people):
     report, run = runs.run_stages(people, "classification of bought", prepared=True, select=True, cv=2, models=["DecisionTree"], grids=GRIDS)
     assert [r["status"] for r in report.collect()] == ["ok"] * 5 and run is not None
-    bad, none = runs.run_stages(people.withColumn("code", F.concat(F.lit("z"), F.col("age"))), "x", "code", "regression", prepared=True)
+    bad, none = runs.run_stages(people.withColumn("code", F.repeat("city", 2)), "x", "code", "regression", prepared=True)
     rows = {r["stage"]: r for r in bad.collect()}
     assert rows["check"]["status"] == "error" and "are numbers" in rows["check"]["detail"] and none is None
 

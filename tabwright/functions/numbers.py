@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabwright.functions.text import FALSE_WORDS, TRUE_WORDS, normalize
+from tabwright.functions.text import FALSE_WORDS, TRUE_WORDS, squeeze
 
 # Unit words that may trail a number, and the currency signs.
 TRAILING_UNITS = [
@@ -19,23 +19,26 @@ PLAIN_NUMBER = r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)$"
 
 
 def finite(c: Column) -> Column:
-    """NaN and infinities become null."""
+    """NaN and infinities become null; NaN is not below infinity in Spark's order."""
     c = c.cast("double")
-    return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    return F.when(F.abs(c) < float("inf"), c)
 
 
 def parse_bool(c: Column, cleaned: bool = False) -> Column:
     """1.0 for the true words, 0.0 for the false words, null for anything else."""
-    text = F.lower(c if cleaned else normalize(c.cast("string")))
+    text = F.lower(c if cleaned else squeeze(c.cast("string")))
     return F.when(text.isin(TRUE_WORDS), F.lit(1.0)).when(text.isin(FALSE_WORDS), F.lit(0.0))
 
 
 def parse_number(c: Column, cleaned: bool = False) -> Column:
-    """Strict number text: separators, percent and currency signs and one trailing unit go."""
-    text = F.lower(c) if cleaned else normalize(c)
+    """Strict number text: separators, percent and currency signs and one trailing unit go.
+
+    Placeholders and JSON need no step of their own, they do not look like a number.
+    """
+    text = F.lower(c if cleaned else squeeze(c.cast("string")))
     text = F.regexp_replace(text, f"[,%\\s{CURRENCY_SIGNS}]", "")
     text = F.regexp_replace(text, f"({'|'.join(TRAILING_UNITS)})$", "")
-    return finite(F.when(text.rlike(NUMBER), text).try_cast("double"))
+    return finite(F.regexp_extract(text, NUMBER, 0).try_cast("double"))
 
 
 def parse_number_loose(c: Column) -> Column:
@@ -44,7 +47,7 @@ def parse_number_loose(c: Column) -> Column:
     ``1e3`` therefore reads 13 and ``2h 50m`` reads 250.
     """
     text = F.regexp_replace(c.cast("string"), "[^0-9.\\-]+", "")
-    return finite(F.when(text.rlike(PLAIN_NUMBER), text).try_cast("double"))
+    return finite(F.regexp_extract(text, PLAIN_NUMBER, 0).try_cast("double"))
 
 
 def to_int(c: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.operators.scale import BROADCAST_ROWS, col, row_hash
+from tabwright.operators.scale import BROADCAST_ROWS, col, fingerprint
 
 SALTS = 32
 
@@ -29,13 +29,13 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def _shared(test: DataFrame, train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Fingerprints found on both sides, each once: copies are combined before any exchange."""
-    a = test.select(row_hash(columns).alias("_fp")).distinct()
-    b = train.select(row_hash(columns).alias("_fp")).distinct()
+    a = test.select(fingerprint(test, columns).alias("_fp")).distinct()
+    b = train.select(fingerprint(train, columns).alias("_fp")).distinct()
     return a.join(b, "_fp", "left_semi")
 
 
 def _match(test, train, columns, how, max_rows, salts):
-    tagged = test.withColumn("_fp", row_hash(columns))
+    tagged = test.withColumn("_fp", fingerprint(test, columns))
     shared = _shared(test, train, columns)
     found = shared.limit(max_rows + 1).collect()
     if len(found) <= max_rows:

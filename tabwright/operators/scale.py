@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 from tabwright.session import checkpointed
 
 BROADCAST_ROWS = 100_000      # a side is broadcast only up to this many rows
-EXACT_ROWS = 1_000_000        # values one task may hold for an exact percentile
+EXACT_ROWS = 1_000_000        # rows up to which one task may hold a column for an exact percentile
+EXACT_VALUES = 5_000_000      # values of all columns it may hold at once
 SKETCH_K = 4000               # quantile sketch size, about 0.1 % rank error
 SKETCH_GROUPS = 256           # first level of the sketch merge tree
 HASH_DIGITS = 4               # 65,536 hash buckets for cuts
@@ -69,7 +70,7 @@ def exact_quantiles(
     rows = df.count() if rows is None else rows
     if rows <= exact_rows:
         out: dict[str, list[float | None]] = {}
-        for part in chunks(list(wanted), 40):
+        for part in chunks(list(wanted), max(1, min(40, EXACT_VALUES // max(1, rows)))):
             row = df.agg(*[
                 F.percentile(col(c), F.array(*[F.lit(float(p)) for p in wanted[c]])).alias(f"q{i}")
                 for i, c in enumerate(part)
@@ -164,6 +165,16 @@ def key_hash(key: Sequence[str], seed: int = 42, purpose: str = "split") -> Colu
     return F.md5(F.concat_ws("#", *[col(k).cast("string") for k in key], F.lit(purpose), F.lit(str(seed))))
 
 
+def fingerprint(df: DataFrame, columns: Sequence[str]) -> Column:
+    """128-bit hash of a row's values. Null marks are hashed too, because a null by itself
+    leaves a hash as it is and (1, null) would equal (null, 1)."""
+    parts = []
+    for c in columns:
+        v = F.to_json(col(c)) if isinstance(df.schema[c].dataType, T.MapType) else col(c)
+        parts += [v.isNull(), v]
+    return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *reversed(parts)).alias("b"))
+
+
 def row_hash(columns: Sequence[str]) -> Column:
     """md5 of a whole row with nulls kept in place, so (1, null) and (null, 1) differ."""
     return F.md5(F.to_json(F.struct(*[col(c) for c in columns]), {"ignoreNullFields": "false"}))
@@ -181,9 +192,17 @@ def hash_part(
     ``cut_ranks`` are functions from a stratum's row count (Column) to a rank (Column): rows
     up to the first rank get 0, the next 1 and so on. Counting per hash bucket finds the bucket
     that holds each cut, only those buckets are sorted, and the cut hashes come back as a small
-    table, so the rows themselves are never shuffled or ranked. Equal hashes stay together.
+    table, so the rows themselves are never shuffled or ranked. A table short enough for one
+    task is ranked directly. Equal hashes stay together either way.
     """
     group = col(strata) if strata is not None else F.lit(0)
+    if df.count() <= RANK_ROWS:
+        whole = Window.partitionBy("_g")
+        ranked = df.withColumns({"_g": group, "_h": hashed}).withColumns({"_r": F.rank().over(whole.orderBy("_h")), "_n": F.count("*").over(whole)})
+        part = F.lit(0)
+        for r in cut_ranks:
+            part = part + (F.col("_r") > r(F.col("_n")).cast("bigint")).cast("int")
+        return ranked.withColumn(name, part).drop("_g", "_h", "_r", "_n")
     keyed = df.select(group.alias("_s"), hashed.alias("_h")).withColumn("_b", F.substring("_h", 1, HASH_DIGITS))
     per_bucket = keyed.groupBy("_s", "_b").agg(F.count("*").alias("_n"))
     w = Window.partitionBy("_s")

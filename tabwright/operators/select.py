@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,23 +88,28 @@ def chi2_scores(df: DataFrame, target: str, features: Sequence[str] | None = Non
     return out
 
 
+def bucket(c: Column, cuts: Sequence[float], first: int = 0) -> Column:
+    """How many of the sorted cuts lie below a value, found by halving; null stays null."""
+    if not cuts:
+        return F.when(c.isNotNull(), F.lit(first))
+    middle = len(cuts) // 2
+    right = bucket(c, cuts[middle + 1 :], first + middle + 1)
+    return F.when(c > F.lit(cuts[middle]), right).otherwise(bucket(c, cuts[:middle], first))
+
+
 def mutual_info(df: DataFrame, target: str, bins: int = 32, features: Sequence[str] | None = None) -> DataFrame:
     """(feature, mutual_info) in nats. Numbers fall in quantile bins, text values are their own bins."""
     names = [c for c in (features or df.columns) if c != target]
     numeric = [c for c in names if is_numeric(df.schema[c].dataType)]
-    rows = df.where(col(target).isNotNull())
-    edges = exact_quantiles(rows.select(*[num(c).alias(c) for c in numeric]), {c: [i / bins for i in range(1, bins)] for c in numeric})
+    text = [c for c in names if c not in numeric]
+    kept = df.where(col(target).isNotNull()).select(col(target).cast("string").alias("_y"), *[col(c) for c in names])
+    rows = numbers(kept, numeric, ["_y", *text])
+    edges = exact_quantiles(rows, {c: [i / bins for i in range(1, bins)] for c in numeric})
 
     def place(c: str):
-        if c not in numeric:
-            return col(c).cast("string")
-        cuts = sorted({e for e in edges[c] if e is not None})
-        above = F.lit(0)
-        for e in cuts:
-            above = above + (num(c) > F.lit(e)).cast("int")
-        return above.cast("string")
-
-    binned = rows.select(col(target).cast("string").alias("_y"), *[F.coalesce(place(c), F.lit("nan")).alias(c) for c in names])
+        return bucket(col(c), sorted({e for e in edges[c] if e is not None})) if c in numeric else col(c)
+
+    binned = rows.select("_y", *[F.coalesce(place(c).cast("string"), F.lit("nan")).alias(c) for c in names])
     joint = binned.unpivot(["_y"], [col(c) for c in names], "feature", "bin").groupBy("feature", "bin", "_y").agg(F.count("*").alias("n"))
     by_bin = joint.groupBy("feature", "bin").agg(F.sum("n").alias("n_bin"))
     by_class = joint.groupBy("feature", "_y").agg(F.sum("n").alias("n_class"))

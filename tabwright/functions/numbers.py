@@ -15,6 +15,7 @@ TRAILING_UNITS = [
 CURRENCY_SIGNS = "$€£₹¥"
 
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$"
+NUMBER_WITH_UNIT = NUMBER.replace("^", "^(", 1).removesuffix("$") + f")({'|'.join(TRAILING_UNITS)})?$"
 PLAIN_NUMBER = r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)$"
 
 
@@ -30,15 +31,20 @@ def parse_bool(c: Column, cleaned: bool = False) -> Column:
     return F.when(text.isin(TRUE_WORDS), F.lit(1.0)).when(text.isin(FALSE_WORDS), F.lit(0.0))
 
 
+def _as_double(found: Column) -> Column:
+    """A regex group as a number. No match is an empty string, which a cast would meet with an
+    exception per row, so it becomes null first."""
+    return finite(F.nullif(found, F.lit("")).try_cast("double"))
+
+
 def parse_number(c: Column, cleaned: bool = False) -> Column:
     """Strict number text: separators, percent and currency signs and one trailing unit go.
 
     Placeholders and JSON need no step of their own, they do not look like a number.
     """
     text = F.lower(c if cleaned else squeeze(c.cast("string")))
-    text = F.regexp_replace(text, f"[,%\\s{CURRENCY_SIGNS}]", "")
-    text = F.regexp_replace(text, f"({'|'.join(TRAILING_UNITS)})$", "")
-    return finite(F.regexp_extract(text, NUMBER, 0).try_cast("double"))
+    text = F.regexp_replace(text, f"[,%\\s{CURRENCY_SIGNS}]+", "")
+    return _as_double(F.regexp_extract(text, NUMBER_WITH_UNIT, 1))
 
 
 def parse_number_loose(c: Column) -> Column:
@@ -47,7 +53,7 @@ def parse_number_loose(c: Column) -> Column:
     ``1e3`` therefore reads 13 and ``2h 50m`` reads 250.
     """
     text = F.regexp_replace(c.cast("string"), "[^0-9.\\-]+", "")
-    return finite(F.regexp_extract(text, PLAIN_NUMBER, 0).try_cast("double"))
+    return _as_double(F.regexp_extract(text, PLAIN_NUMBER, 0))
 
 
 def to_int(c: Column) -> Column:

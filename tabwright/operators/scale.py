@@ -17,8 +17,7 @@ from pyspark.sql import types as T
 from tabwright.session import checkpointed
 
 BROADCAST_ROWS = 100_000      # a side is broadcast only up to this many rows
-EXACT_ROWS = 1_000_000        # rows up to which one task may hold a column for an exact percentile
-EXACT_VALUES = 5_000_000      # values of all columns it may hold at once
+EXACT_ROWS = 1_000_000        # values of a column one task may hold for an exact percentile
 SKETCH_K = 4000               # quantile sketch size, about 0.1 % rank error
 SKETCH_GROUPS = 256           # first level of the sketch merge tree
 HASH_DIGITS = 4               # 65,536 hash buckets for cuts
@@ -69,14 +68,17 @@ def exact_quantiles(
         return {}
     rows = df.count() if rows is None else rows
     if rows <= exact_rows:
-        out: dict[str, list[float | None]] = {}
-        for part in chunks(list(wanted), max(1, min(40, EXACT_VALUES // max(1, rows)))):
-            row = df.agg(*[
-                F.percentile(col(c), F.array(*[F.lit(float(p)) for p in wanted[c]])).alias(f"q{i}")
-                for i, c in enumerate(part)
-            ]).first()
-            for i, c in enumerate(part):
-                out[c] = list(row[i]) if row[i] is not None else [None] * len(wanted[c])
+        out: dict[str, list[float | None]] = {c: [None] * len(p) for c, p in wanted.items()}
+        by_probs: dict[tuple, list[str]] = {}
+        for c, p in wanted.items():
+            by_probs.setdefault(tuple(p), []).append(c)
+        for probs, names in by_probs.items():
+            # one group per column, so each column's values meet in a task of their own
+            long = df.select(*[col(c).cast("double").alias(c) for c in names]).unpivot([], [col(c) for c in names], "column", "value")
+            points = F.percentile("value", F.array(*[F.lit(float(p)) for p in probs]))
+            for r in long.groupBy("column").agg(points.alias("q")).collect():
+                if r["q"] is not None:
+                    out[r["column"]] = list(r["q"])
         return out
     out = {}
     for part in chunks(list(wanted), 10):

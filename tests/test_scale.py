@@ -62,13 +62,33 @@ def test_splits_do_not_depend_on_partitioning(lines):
     assert apply(lines.repartition(1)) == apply(lines.repartition(8))
 
 
+def test_bucket_cuts_equal_direct_ranks(lines, monkeypatch):
+    def rows(df):
+        return sorted(tuple(r[k] for k in (*KEY, "x")) for r in df.collect())
+
+    def apply():
+        return [
+            rows(split.split_stratified(lines, "l_returnflag", KEY).withColumn("x", F.col("is_test"))),
+            rows(split.add_folds(lines, 3, KEY, "l_returnflag").withColumn("x", F.col("fold"))),
+            rows(split.add_folds(lines, 5, KEY).withColumn("x", F.col("fold"))),
+            # copies share a hash, so a cut may not separate them
+            rows(split.add_folds(lines, 4, ["l_linenumber"]).withColumn("x", F.col("fold"))),
+        ]
+
+    direct = apply()
+    monkeypatch.setattr(scale, "RANK_ROWS", 0)
+    assert apply() == direct
+
+
 def test_split_sizes_are_exact_with_one_dominant_class(spark):
     rows = spark.range(1000).select("id", F.when(F.col("id") < 990, "a").otherwise("b").alias("y"))
     got = {r["y"]: r["n"] for r in split.split_stratified(rows, "y", ["id"]).where("is_test").groupBy("y").agg(F.count("*").alias("n")).collect()}
     assert got == {"a": 198, "b": 2}
 
 
-def test_small_class_may_have_no_test_row(spark):
+@pytest.mark.parametrize("direct", [0, 1000])
+def test_small_class_may_have_no_test_row(spark, monkeypatch, direct):
+    monkeypatch.setattr(scale, "RANK_ROWS", direct)
     rows = spark.range(20).select("id", F.when(F.col("id") < 18, "a").otherwise("b").alias("y"))
     got = {r["y"]: r["n"] for r in split.split_stratified(rows, "y", ["id"]).groupBy("y").agg(F.count_if("is_test").alias("n")).collect()}
     assert got == {"a": 4, "b": 0}

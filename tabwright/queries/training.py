@@ -93,6 +93,6 @@ def _score_saved(spark, folder):
 
 add("score_saved_run", _score_saved)
 add("baseline_run", on("line_sample", lambda df: runs.run_baseline(
-    df, "l_extendedprice", "regression", cv=2, models=["Ridge"], grids=SHORT)[0].drop("best_params")))
+    df, "l_extendedprice", "regression", cv=2, max_rows=0, models=["Ridge"], grids=SHORT)[0].drop("best_params")))
 add("staged_run", on("doc_quality", lambda df: runs.run_stages(
     df, "predict the quality class", "quality", "classification", prepared=True, cv=2, models=["DecisionTree"], grids=SHORT)[0]))

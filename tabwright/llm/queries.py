@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabwright.llm import ngram_join
+from tabwright.llm import langid, ngram_join
 from tabwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +41,11 @@ reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, min(r.y)) AS component_id
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN reach r ON r.x = d.doc_id GROUP BY d.doc_id, s.n
 """
+
+
+@query
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    learn = langid.training_rows(docs)
+    judged = docs.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), langid.identified(docs, langid.fit(docs.where(learn)), F.col("text")).alias("_j"))
+    return judged.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), F.col("_j.lang").alias("lang_pred"), F.col("_j.score").alias("score"), F.col("_j.loss").alias("loss"), F.col("_j.rejected").alias("rejected"))

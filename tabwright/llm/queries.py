@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import decontaminate, langid, ngram_join, packing
+from tabwright.llm import decontaminate, langid, ngram_join, packing, substring
 from tabwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ FROM words w LEFT JOIN hit_words h ON h.doc_id = w.doc_id LEFT JOIN hit_items k
 @query
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), packing.public_vocabulary())
+
+
+@query
+def op2_near_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.near_passages(table(spark, folder, "documents"))

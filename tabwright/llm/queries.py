@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import decontaminate, langid, ngram_join, packing, substring, suffix
+from tabwright.llm import decontaminate, langid, ngram_join, packing, substring, suffix, vptree
 from tabwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,8 @@ def op2_near_passages(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
+@query
+def op9_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vptree.nearest(table(spark, folder, "embeddings"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import decontaminate, langid, ngram_join, packing, substring, suffix, vptree
+from tabwright.llm import decontaminate, html, langid, ngram_join, packing, substring, suffix, vptree
 from tabwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,9 @@ def op4_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return vptree.nearest(table(spark, folder, "embeddings"))
+
+
+@query
+def op6_html_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return html.extract_pages(pages).select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))

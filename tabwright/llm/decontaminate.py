@@ -1,9 +1,10 @@
 """Benchmark decontamination with DataFrame functions only (operator 10).
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. A window is ten consecutive words of a
-benchmark item (all of a shorter item that has any). The items' distinct windows are hashed to 64 bits; the training texts'
-windows are hashed alike and joined with them (broadcast when the number of windows is counted and small, else shuffled).
-Hits are verified by their words, so a collision of hashes can't remove anything.
+benchmark item (all of a shorter item that has any). Every occurrence of a window of ten covers four words from a place that is a multiple of seven,
+so a training text is looked up at every seventh word only: its four words are hashed to 64 bits and joined with the hashes of
+the four words at each of the first seven places of each window (broadcast when their number is counted and small, else shuffled).
+Where they meet, the whole window is hashed and then compared word by word, so a collision of hashes can't remove anything.
 
 Texts are joined on 128 bits of their content and never on an id: repeated rows, equal texts and null ids need no rule of
 their own. Null and empty texts have no words and are never hit. Word order, spans and item lists are exact.
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 from tabwright.llm.common import shared_table
 
 WINDOW = 10
-#: Hashed windows that may be broadcast: 16 bytes each, 32 MB at most.
-BROADCAST_WINDOWS = 1 << 21
+#: Words that are looked up together.
+GRAM = 4
+#: Hashed rows that may be broadcast: about 40 bytes each, 20 MB.
+BROADCAST_ROWS = 1 << 19
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -39,36 +42,42 @@ def text_key(text: Column) -> tuple[Column, Column]:
 
 
 def benchmark_windows(benchmark: DataFrame, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
-    """(item_id, length, window, hash): distinct windows of each item; ``window`` holds its words joined by spaces."""
+    """(item_id, length, window): distinct windows of each item; ``window`` holds its words joined by spaces."""
     items = benchmark.select(F.col(id_column).alias("item_id"), folded(words_of(F.col(text_column))).alias("words")).where("size(words) > 0 and item_id is not null")
     length = F.least(F.size("words"), F.lit(WINDOW))
     starts = F.sequence(F.lit(1), F.size("words") - length + 1)
     cut = items.select("item_id", length.alias("length"), "words", F.explode(starts).alias("at"))
-    cut = cut.select("item_id", "length", F.expr("slice(words, at, length)").alias("cut")).distinct()
-    return cut.select("item_id", "length", F.array_join("cut", " ").alias("window"), F.xxhash64("length", F.transform("cut", F.lower)).alias("hash"))
+    return cut.select("item_id", "length", F.array_join(F.expr("slice(words, at, length)"), " ").alias("window")).distinct()
+
+
+def _lookup(words: str, at: str, gram: int) -> Column:
+    """Hash of ``gram`` words from place ``at`` (from 1), in lower case."""
+    return F.expr(f"xxhash64(lower(array_join(slice({words}, {at}, {gram}), ' ')))")
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """(k1, k2, at, length, window): verified occurrences, ``at`` counted in words from 0, once for equal texts."""
     windows = shared_table(benchmark_windows(benchmark, item_column, item_text))
     lengths = [r[0] for r in windows.select("length").distinct().collect()]  # ten values at most
-    known = windows.select("hash", "length", "window").distinct()
-    if known.count() <= BROADCAST_WINDOWS:
-        known = F.broadcast(known)
     k1, k2 = text_key(F.col("text"))
     texts = docs.select(F.col(text_column).alias("text")).where("text is not null").select(k1.alias("k1"), k2.alias("k2"), words_of(F.col("text")).alias("words"))
     found = None
     for length in sorted(lengths):
-        low = F.transform("words", F.lower)
-        grams = F.expr(f"transform(sequence(1, size(low) - {length - 1}), i -> xxhash64({length}, slice(low, i, {length})))")
-        rows = texts.where(F.size("words") >= length).withColumn("low", low).select("k1", "k2", "words", F.posexplode(grams).alias("at", "hash"))
-        met = rows.join(known.where(F.col("length") == length), "hash")
-        exact = F.array_join(folded(F.expr(f"slice(words, at + 1, {length})")), " ") == F.col("window")
-        met = met.where(exact).select("k1", "k2", "at", F.lit(length).alias("length"), "window")
+        gram = min(GRAM, length)
+        stride = length - gram + 1
+        own = windows.where(F.col("length") == length).select("window").distinct().select(F.split("window", " ").alias("w"), F.xxhash64("window").alias("whole"))
+        known = own.select("w", "whole", F.explode(F.sequence(F.lit(0), F.lit(stride - 1))).alias("shift")).select(_lookup("w", "shift + 1", gram).alias("hash"), "shift", "whole").distinct()
+        if known.count() <= BROADCAST_ROWS:
+            known = F.broadcast(known)
+        places = F.expr(f"transform(sequence(1, size(words) - {gram - 1}, {stride}), i -> xxhash64(lower(array_join(slice(words, i, {gram}), ' '))))")
+        rows = texts.where(F.size("words") >= length).select("k1", "k2", "words", F.posexplode(places).alias("step", "hash"))
+        met = rows.join(known, "hash").withColumn("at", F.col("step") * stride - F.col("shift")).where(f"at >= 0 and at + {length} <= size(words)")
+        met = met.withColumn("window", F.array_join(folded(F.expr(f"slice(words, at + 1, {length})")), " ")).where(F.xxhash64("window") == F.col("whole"))
+        met = met.select("k1", "k2", "at", F.lit(length).alias("length"), "window").distinct()
         found = met if found is None else found.union(met)
     if found is None:
         found = docs.sparkSession.createDataFrame([], "k1 long, k2 long, at int, length int, window string")
-    return shared_table(found.distinct())
+    return shared_table(found.join(windows.select("length", "window").distinct(), ["length", "window"], "left_semi").select("k1", "k2", "at", "length", "window"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -103,7 +112,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any benchmark window, with their columns as they are."""
     bad = find_hits(docs, benchmark).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
-    if bad.count() <= BROADCAST_WINDOWS:
+    if bad.count() <= BROADCAST_ROWS:
         bad = F.broadcast(bad)
     k1, k2 = text_key(docs["text"])
     return docs.join(bad, (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left_anti")

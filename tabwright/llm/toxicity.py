@@ -1,10 +1,11 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text (operator 1).
 
-*Dictionaries.* Of at most ``TOXIC`` toxic and ``ORDINARY`` other labelled texts (the smallest by hash of doc_id), words are counted by label.
-The toxic dictionary holds the words that toxic texts have far more often, the ordinary one the commonest words of the others,
-each with its most telling words last, where matches are cheapest. Both end with one preamble.
+*Dictionaries.* Of at most ``TOXIC`` toxic and ``ORDINARY`` other labelled texts (the smallest by hash of doc_id), words are counted by label,
+once for each word before them, so that copies of a text don't count again. The toxic dictionary holds the words that toxic texts have far
+more often, the ordinary one the commonest words of the others, each with its most telling words last, where matches are
+cheapest. Both end with one preamble.
 
-*Windows.* Every word of a text, between spaces and behind the preamble, is one window; both dictionaries compress it. A window's cell is its
+*Windows.* Every word of a text, between spaces and constant bytes, is one window; both dictionaries compress it. A window's cell is its
 length and its two compressed lengths. A cell's weight is the log-odds of toxic and other texts that have it, from the sample; a
 word that shares no five bytes with the toxic dictionary has no weight. A text's raw value is the sum of its three largest weights
 over different words.
@@ -32,12 +33,14 @@ TOXIC = 5_000
 ORDINARY = 10_000
 DICTIONARY = 32_768
 MARKERS = 4_096
-#: Texts that must have a marker, and its log-odds at least.
-SUPPORT, ODDS = 4, 2.5
+#: Surroundings that a marker must have in toxic texts, and its log-odds at least.
+SUPPORT, ODDS = 5, 2.5
 LEVEL, MATCH, SHARED = 12, 4, 5
 TOP = 3
 STEP = 0.25
-PREAMBLE = bytes(range(128, 160))
+#: Around every window: the first, which both dictionaries have, makes each window compressible; behind the second no match can begin, so
+#: without it short words would never be looked up.
+PREAMBLE, POSTAMBLE = bytes(range(128, 160)), bytes(range(160, 170))
 LONGEST = 24
 
 
@@ -82,7 +85,7 @@ class Compressor:
             window = b" " + word + b" "
             known = 0
             if any(window[k : k + SHARED] in self.grams for k in range(len(window) - SHARED + 1)):
-                ordinary, toxic = (len(c(PREAMBLE + window)) for c in self.both)
+                ordinary, toxic = (len(c(PREAMBLE + window + POSTAMBLE)) for c in self.both)
                 known = (min(len(window), LONGEST) * 256 + min(ordinary, 255)) * 256 + min(toxic, 255)
             self.memory[word] = known
         return known
@@ -115,13 +118,15 @@ def fit(docs: DataFrame, known: DataFrame, text_column: str = "text") -> Compres
         return None
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Different (word, word before it) of each chunk: copies of a text add nothing."""
         for batch in batches:
-            toxic, at = batch.column(0), 0
-            for n, owner, found in words_of_texts(batch.column(1)):
-                yield pa.record_batch([toxic.take(pa.array(owner + at)), pa.array(found, pa.binary())], names=["toxic", "word"])
-                at += n
+            for row, _, data, offsets in text_chunks(batch.column(1)):
+                start, end, text, value = find_words(data, offsets, NON_ALNUM)
+                before = np.r_[np.zeros(1, np.uint64), value[:-1]][: len(value)] * np.r_[False, text[1:] == text[:-1]][: len(value)]
+                raw = data.tobytes()
+                yield pa.record_batch([batch.column(0).take(pa.array(text + row)), pa.array([raw[a:b].lower() for a, b in zip(start.tolist(), end.tolist(), strict=True)], pa.binary()), pa.array(before.view(np.int64))], names=["toxic", "word", "before"])
 
-    by_word = texts.mapInArrow(words, "toxic int, word binary").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).cache()
+    by_word = texts.mapInArrow(words, "toxic int, word binary, before long").distinct().groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).cache()
     odds = F.log((F.col("a") + 0.5) / sizes[1]) - F.log((F.col("b") + 0.5) / sizes.get(0, 1))
     markers = by_word.where((F.col("a") >= SUPPORT) & (odds > ODDS)).orderBy(F.desc("a"), "word").limit(MARKERS).select("word").collect()
     common = by_word.orderBy(F.desc("b"), "word").limit(MARKERS).select("word").collect()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import decontaminate, html, langid, ngram_join, packing, substring, suffix, toxicity, vptree
+from tabwright.llm import decontaminate, html, langid, licenses, ngram_join, packing, substring, suffix, toxicity, vptree
 from tabwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,30 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), toxicity.training_ids())
     held_out = F.coalesce(~toxicity.training_ids(), F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
+def _license_oracle() -> str:
+    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(licenses.TEMPLATES.items()))
+    words = r"regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+')"
+    return f"""
+WITH templates(license, text) AS (VALUES {values}),
+tw AS (SELECT license, {words} AS w FROM templates),
+ts AS (SELECT DISTINCT license, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM tw),
+tn AS (SELECT license, count(*) AS n FROM ts GROUP BY license),
+dw AS (SELECT doc_id, {words} AS w FROM documents),
+di AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM dw),
+ds AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS s FROM di),
+m AS (SELECT doc_id, license, i, s FROM ds JOIN ts USING (s)),
+c AS (SELECT a.doc_id, a.license, a.i, n, count(DISTINCT b.s) AS have FROM (SELECT DISTINCT doc_id, license, i FROM m) a JOIN tn ON tn.license = a.license
+  JOIN m b ON b.doc_id = a.doc_id AND b.license = a.license AND b.i >= a.i AND b.i < a.i + ceil(1.5 * n) GROUP BY a.doc_id, a.license, a.i, n),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY have DESC, i) AS k FROM c WHERE have >= 0.75 * n)
+SELECT doc_id, license, CAST(i - 1 AS INTEGER) AS "at", have / n AS containment FROM r WHERE k = 1
+"""
+
+
+ORACLE["op8_license_scan"] = _license_oracle()

@@ -11,7 +11,7 @@ others back off through context weights. The language with the lowest cross-entr
 
 *Rejection.* The mean and deviation of each language's per-character loss over all training characters follow from the
 same counts. A text is rejected if it has no letter, or if its loss lies above that mean by ``Z`` standard errors plus
-``SLACK`` of the way to a uniform model.
+``SLACK`` of the way to a model that finds all characters of the corpus alike.
 """
 
 from __future__ import annotations
@@ -121,7 +121,8 @@ class LanguageModel:
     """Per order: sorted grams with log-probabilities by language, sorted contexts with log back-off weights."""
 
     langs: list[str]
-    floor: float = 0.0
+    floor: float = -float(np.log(1 << BITS))
+    uniform: float = 0.0
     grams: list[np.ndarray] = field(default_factory=list)
     logs: list[np.ndarray] = field(default_factory=list)
     contexts: list[np.ndarray] = field(default_factory=list)
@@ -211,7 +212,7 @@ def _assembled(kept: pa.Table, ones) -> LanguageModel:
     column = {n: kept.column(n).to_numpy() for n in ("order", "gram", "c", "total", "kinds")}
     lang = np.searchsorted(np.array(langs), kept.column("lang").to_pylist()) if len(kept) else np.zeros(0, np.int64)
     discount = {(r.order, r.lang): max(0.05, r.one / (r.one + 2 * r.two)) if r.one else 0.5 for r in ones.itertuples()}
-    model.floor = float(-np.log(max(2, len(np.unique(column["gram"][column["order"] == 1])) + 1)))
+    model.uniform = float(np.log(max(2, len(np.unique(column["gram"][column["order"] == 1])))))
     for order in range(1, ORDER + 1):
         own = column["order"] == order
         gram, who = column["gram"][own], lang[own]
@@ -253,7 +254,7 @@ def identified(docs: DataFrame, model: LanguageModel, text: Column) -> Column:
                 best = losses.argmin(axis=1)
                 low = losses[np.arange(len(sizes)), best]
                 odds = np.exp(-(losses - low[:, None]) * np.minimum(sizes, EVIDENCE)[:, None])
-                limit = known.mean[best] + Z * known.deviation[best] / np.sqrt(np.maximum(sizes, 1)) + SLACK * (-known.floor - known.mean[best])
+                limit = known.mean[best] + Z * known.deviation[best] / np.sqrt(np.maximum(sizes, 1)) + SLACK * (known.uniform - known.mean[best])
                 real = letters > 0
                 rows = np.flatnonzero(real) + row
                 name[rows] = np.array(known.langs, object)[best[real]]

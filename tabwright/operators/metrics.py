@@ -78,11 +78,12 @@ def _auc(pred, sides, digits, rank_rows):
 
 
 def regression_metrics(pred: DataFrame, y: str = "y", p: str = "p", digits: int | None = 4) -> DataFrame:
-    """One row: r2, mae, rmse, from one pass."""
+    """One row: r2, mae, rmse, from one pass. A missing label or prediction is an error: leaving it out would flatter the rest."""
     a, b = col(y).cast("double"), col(p).cast("double")
     err = a - b
-    out = pred.where(a.isNotNull() & b.isNotNull()).agg(
-        F.sum(err * err).alias("ss"), F.avg(F.abs(err)).alias("mae"), (F.var_pop(a) * F.count(a)).alias("total"), F.count(a).alias("n"),
+    whole = F.when(F.count_if(a.isNull() | b.isNull()) > 0, F.raise_error("rows without a label or a prediction"))
+    out = pred.agg(
+        F.coalesce(whole.cast("double"), F.sum(err * err)).alias("ss"), F.avg(F.abs(err)).alias("mae"), (F.var_pop(a) * F.count(a)).alias("total"), F.count(a).alias("n"),
     )
     return _rounded(out.select(
         F.when(F.col("total") > 0, 1 - F.col("ss") / F.col("total")).alias("r2"), "mae",

@@ -27,6 +27,7 @@ from tabwright.operators.valuecounts import (
 HEAVY = 24            # moment aggregates per job; more make generated code too large for the JIT
 LIGHT = 160           # plain counts per job
 JVM_PAIRS = 12        # correlations worth single aggregates; more go through matrix products
+FLAT = 1e-12  # share of a column's squares below which its variance is rounding
 PRODUCT_TASKS = 4096  # each task of a matrix product returns one row per pair of columns
 
 
@@ -53,6 +54,8 @@ def per_column(df: DataFrame, exprs: dict[str, dict[str, Column]], label: str =
     Columns share passes of ``limit`` aggregates. A columnar source reads each column once all
     the same, since every pass asks for other columns.
     """
+    if not exprs:
+        raise ValueError("no column of the kind that is asked for")
     stats = list(next(iter(exprs.values())))
     out = None
     for part in chunks(list(exprs), max(1, limit // len(stats))):
@@ -156,14 +159,17 @@ def numeric_gate(df: DataFrame, target: str, min_ratio: float = 0.8) -> DataFram
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None, digits: int | None = None) -> DataFrame:
-    """(x, y, corr): Pearson over the rows where both are present, both triangles and the diagonal."""
+    """(x, y, corr): Pearson over the rows where both are present; a row for every pair, both triangles and the diagonal.
+
+    Null where a side has no value or is constant over those rows.
+    """
     names = list(columns) if columns is not None else cols_of_kind(df, "numeric")
     if len(names) < 2:
         raise ValueError("a correlation matrix needs at least two numeric columns")
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     values = numbers(df, names)
     if len(pairs) <= JVM_PAIRS:
-        wide = values.agg(*[F.corr(col(a), col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+        wide = values.agg(*[varying_corr(col(a), col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
         cells = F.array(*[
             F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"r{i}").alias("corr"))
             for i, (a, b) in enumerate(pairs) for x, y in ([(a, b)] if a == b else [(a, b), (b, a)])
@@ -175,14 +181,23 @@ def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None, digits: int
     return out.select("x", "y", (F.round(value, digits) if digits is not None else value).alias("corr"))
 
 
+def varying_corr(a: Column, b: Column) -> Column:
+    """Pearson correlation, null if a side is constant where both are present (where rounding can pass for variance)."""
+    here = a.isNotNull() & b.isNotNull()
+    a, b = F.when(here, a), F.when(here, b)
+    spread = F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+    return F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.covar_pop(a, b) / spread)
+
+
 def _product_corr(values: DataFrame, names: list[str]) -> DataFrame:
     """Correlations of many pairs from matrix products of Arrow batches.
 
     Each task adds up, for every pair, the sums over the rows where both values are present,
     of columns centred on their means, and returns them once; a group-by adds the tasks.
     """
-    mean = values.agg(*[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(names)]).first()
-    centre = np.array([m if m is not None else 0.0 for m in mean])
+    ends = values.agg(*[F.struct(F.avg(col(c)).alias("m"), F.min(col(c)).alias("low"), F.max(col(c)).alias("high")).alias(f"m{i}") for i, c in enumerate(names)]).first()
+    # a constant is its own centre to the last bit, so that rounding leaves no variance
+    centre = np.array([0.0 if e.m is None else e.low if e.low == e.high else e.m for e in ends])
 
     def products(batches):
         total = None
@@ -203,11 +218,12 @@ def _product_corr(values: DataFrame, names: list[str]) -> DataFrame:
     sums = values.coalesce(PRODUCT_TASKS).mapInPandas(products, schema).groupBy("i", "j").agg(
         *[F.sum(c).alias(c) for c in ("n", "a", "b", "aa", "bb", "ab")]
     )
-    n, var_a, var_b = F.col("n"), F.col("aa") - F.col("a") ** 2 / F.col("n"), F.col("bb") - F.col("b") ** 2 / F.col("n")
-    corr = F.when((n > 1) & (var_a > 0) & (var_b > 0), (F.col("ab") - F.col("a") * F.col("b") / n) / F.sqrt(var_a * var_b))
+    n = F.nullif("n", F.lit(0.0))
+    var_a, var_b = F.col("aa") - F.col("a") ** 2 / n, F.col("bb") - F.col("b") ** 2 / n
+    corr = F.when((n > 1) & (var_a > FLAT * F.col("aa")) & (var_b > FLAT * F.col("bb")), (F.col("ab") - F.col("a") * F.col("b") / n) / F.sqrt(var_a * var_b))
     label = F.array(*[F.lit(c) for c in names])
-    return sums.where(n > 0).select(
-        F.get(label, F.col("i")).alias("x"), F.get(label, F.col("j")).alias("y"), F.greatest(F.least(corr, F.lit(1.0)), F.lit(-1.0)).alias("corr")
+    return sums.select(
+        F.get(label, F.col("i")).alias("x"), F.get(label, F.col("j")).alias("y"), F.when(corr.isNotNull(), F.greatest(F.least(corr, F.lit(1.0)), F.lit(-1.0))).alias("corr")
     )
 
 

@@ -51,12 +51,12 @@ def best_summary(results: DataFrame, task: str) -> DataFrame:
 
 
 def _reason() -> Column:
-    head = F.concat(F.col("best_model"), F.lit(" ranked highest by "), F.col("best_metric"), F.format_string(" (%.4f)", F.col("best_score")))
+    head = F.concat(F.col("best_model"), F.lit(" comes first: "), F.col("best_metric"), F.format_string(" %.4f", F.col("best_score")))
     return (
-        F.when(F.col("_models") == 0, F.lit("No model results available to explain."))
-        .when(F.col("score_gap").isNull(), F.concat(head, F.lit(" among available models.")))
+        F.when(F.col("_models") == 0, F.lit("There is no model to compare."))
+        .when(F.col("score_gap").isNull(), F.concat(head, F.lit(", the only result.")))
         .otherwise(F.concat(
-            head, F.lit(" and outperformed "), F.col("runner_up_model"), F.lit(" by "),
-            F.format_string("%.4f", F.col("score_gap")), F.lit(" on the same metric."),
+            head, F.lit("; "), F.col("runner_up_model"), F.lit(" is behind by "),
+            F.format_string("%.4f", F.col("score_gap")), F.lit("."),
         ))
     )

@@ -164,7 +164,12 @@ def key_hash(key: Sequence[str], seed: int = 42, purpose: str = "split") -> Colu
     Each purpose has an order of its own: were samples and splits cut from the same order, the
     rows of a small sample would all land on the same side of a split.
     """
-    return F.md5(F.concat_ws("#", *[col(k).cast("string") for k in key], F.lit(purpose), F.lit(str(seed))))
+    def part(c: Column) -> Column:
+        """Text in which the separator is marked, and a null that no value looks like."""
+        text = F.replace(F.replace(c.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("#"), F.lit("\\#"))
+        return F.coalesce(text, F.lit("\\N"))
+
+    return F.md5(F.concat_ws("#", *[part(col(k)) for k in key], F.lit(purpose), F.lit(str(seed))))
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str]) -> Column:

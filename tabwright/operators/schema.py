@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.functions.numbers import finite, parse_number_loose
-from tabwright.functions.text import name_tokens
+from tabwright.functions.text import ZERO_WIDTH, name_tokens
 from tabwright.operators.scale import col
 from tabwright.operators.valuecounts import distinct_counts, is_numeric
 
@@ -25,7 +25,7 @@ TARGET_WORDS = [
 def normalize_name(name: str) -> str:
     """Lower-case letters, digits and single underscores; ``column`` when nothing is left."""
     text = unicodedata.normalize("NFKC", str(name))
-    text = re.sub("[​‌‍﻿]", "", text).strip().lower()
+    text = re.sub(ZERO_WIDTH, "", text).strip().lower()
     return re.sub("_+", "_", re.sub("[^0-9a-z_]+", "_", text)).strip("_") or "column"
 
 

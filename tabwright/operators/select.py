@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.functions.numbers import parse_number_loose
-from tabwright.operators.profile import HEAVY, corr_matrix, num, numbers, numeric_gate, per_column, prune_lists
+from tabwright.operators.profile import HEAVY, corr_matrix, num, numbers, numeric_gate, per_column, prune_lists, varying_corr
 from tabwright.operators.scale import RANK_ROWS, chunks, col, exact_quantiles, local_frame, running_totals, small_side
 from tabwright.operators.valuecounts import cols_of_kind, distinct_counts, is_numeric, long_values
 
@@ -25,7 +25,7 @@ def rank_by_corr(df: DataFrame, target: str, absolute: bool = False, features: S
     """(feature, corr, rank) by correlation with the target, signed unless ``absolute``; nulls last."""
     names = [c for c in (features or cols_of_kind(df, "numeric")) if c != target]
     values = numbers(df, [*names, target])
-    found = per_column(values, {c: {"corr": F.corr(col(c), col(target))} for c in names}, "feature", limit=MOMENTS)
+    found = per_column(values, {c: {"corr": varying_corr(col(c), col(target))} for c in names}, "feature", limit=MOMENTS)
     value = F.when(~F.isnan("corr"), F.col("corr"))
     found = found.select("feature", value.alias("corr"))
     order = F.abs(F.col("corr")) if absolute else F.col("corr")

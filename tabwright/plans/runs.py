@@ -18,8 +18,6 @@ from tabwright.operators.select import rank_features
 from tabwright.plans.prepare import prepare
 from tabwright.sources.tables import require_shape, stable_sample, write_report
 
-BASELINE_ROWS = 3000
-
 
 def resolve_target(df: DataFrame, target: str | None, task: str | None, statement: str | None) -> dict[str, str]:
     """Given target and task, else those the statement leads to, else the last column."""
@@ -55,13 +53,16 @@ def ranked_drop(df: DataFrame, target: str, task: str) -> list[str]:
 
 def run_baseline(
     df: DataFrame, target: str | None = None, task: str | None = None, statement: str | None = None, skip_heavy: bool = True,
-    cv: int = 2, max_rows: int = BASELINE_ROWS, key: Sequence[str] | None = None, path: str | None = None, **training: Any,
+    cv: int = 2, max_rows: int = 0, key: Sequence[str] | None = None, path: str | None = None, **training: Any,
 ) -> tuple[DataFrame, DataFrame, Trained]:
-    """Report row, quality snapshot and trained run on a stable sample of at most ``max_rows`` rows (0 for all)."""
+    """Report row, quality snapshot and trained run. Target and quality come from all rows.
+
+    ``max_rows`` bounds the labelled rows that models are fitted on (a stable sample; 0: all rows).
+    """
     require_shape(df)
+    choice = resolve_target(df, target, task, statement)
+    quality = quality_snapshot(df, choice["target"])
     rows = stable_sample(df, key or df.columns, max_rows) if max_rows else df
-    choice = resolve_target(rows, target, task, statement)
-    quality = quality_snapshot(rows, choice["target"])
     trained = train(rows, choice["target"], choice["task"], cv=max(2, cv), skip_heavy=skip_heavy, **training)
     metric = "Accuracy" if choice["task"] == "classification" else "R2_Score"
     top = trained.leaderboard.orderBy("rank").first()

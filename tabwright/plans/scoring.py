@@ -48,9 +48,10 @@ def _unique_votes(fitted: NeighborModel, ready: DataFrame) -> DataFrame:
 
 
 def input_template(df: DataFrame, manifest: Mapping[str, Any], n: int = 10) -> DataFrame:
-    """A few rows with exactly the columns a trained run expects."""
+    """The first few rows, in order of their columns, with exactly the columns a trained run expects."""
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     names = normalized_names(manifest["features"])
     fields = [(n_, types.get(raw, "string")) for n_, raw in zip(names, manifest["features"])]
-    return align_schema(df, fields).limit(n)
+    aligned = align_schema(df, fields)
+    return aligned.orderBy(*[col(c) for c in aligned.columns]).limit(n)
 

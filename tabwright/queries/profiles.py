@@ -64,6 +64,21 @@ def corr_sql(columns, digits: int, source: str) -> str:
 
 add("corr_matrix", on("lineitem", lambda df: rounded(profile.corr_matrix(df), 6, "corr")), corr_sql(LINE_NUMBERS, 6, "lineitem"))
 add("corr_matrix_gaps", on("orders_missing", lambda df: profile.corr_matrix(df, digits=2)), corr_sql(["o_orderkey", "o_custkey", "o_totalprice"], 2, MISSING))
+FLAT_COLUMNS = ["l_quantity", "l_discount", "flat", "empty", "l_tax"]
+
+
+def _flat(n):
+    """Correlations of n columns, one of them constant and one without values: n * n rows either way."""
+    def run(df):
+        wide = df.withColumns({"flat": F.lit(0.1), "empty": F.lit(None).cast("double")})
+        return rounded(profile.corr_matrix(wide, FLAT_COLUMNS[:n]), 6, "corr")
+    return run
+
+
+for _n in (4, 5):
+    add(f"corr_constant_{_n}", on("lineitem", _flat(_n)), "\nUNION ALL ".join(
+        f"SELECT '{x}' AS x, '{y}' AS y, " + ("max(CAST(NULL AS DOUBLE))" if {x, y} & {"flat", "empty"} else f"round(corr({x}, {y}), 6)") + " AS corr FROM lineitem"
+        for x in FLAT_COLUMNS[:_n] for y in FLAT_COLUMNS[:_n]))
 add("most_variable", on("lineitem", lambda df: rounded(profile.most_variable(df), 0, "variance")),
     "SELECT 'l_extendedprice' AS \"column\", round(var_samp(l_extendedprice), 0) AS variance FROM lineitem")
 HISTOGRAM = """

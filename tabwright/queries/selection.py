@@ -155,7 +155,7 @@ add("best_model", lambda s, d: report.best_model(_board("board_class")(s, d), "c
 SUMMARY = """
     WITH b AS (SELECT Model, CAST({m} AS DOUBLE) AS v, row_number() OVER (ORDER BY {o}) AS r FROM {t})
     SELECT a.Model AS best_model, '{m}' AS best_metric, a.v AS best_score, c.Model AS runner_up_model, round(a.v - c.v, 6) AS score_gap,
-           format('{{}} ranked highest by {m} ({{:.4f}}) and outperformed {{}} by {{:.4f}} on the same metric.', a.Model, a.v, c.Model, a.v - c.v) AS reason
+           format('{{}} comes first: {m} {{:.4f}}; {{}} is behind by {{:.4f}}.', a.Model, a.v, c.Model, a.v - c.v) AS reason
     FROM b a, b c WHERE a.r = 1 AND c.r = 2"""
 add("best_summary", lambda s, d: rounded(report.best_summary(_board("board_class")(s, d), "classification"), 6, "score_gap"),
     SUMMARY.format(m="Balanced_Accuracy", o="Balanced_Accuracy DESC, Accuracy DESC, Model", t=BOARD))

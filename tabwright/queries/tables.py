@@ -14,10 +14,22 @@ from tabwright.sources import tables as src
 def _csv_round_trip(spark, folder):
     frame = view(spark, folder, "orders_text").select("o_orderkey", "price", "order_date", "urgent", (F.col("o_orderkey") / 4).alias("quarter"))
     path = f"{scratch(spark)}/orders.csv"
-    frame.write.option("header", True).csv(path)
+    frame.write.options(**src.CSV).csv(path)
     return src.read_table(spark, path)
 
 
+def _csv_documents(spark, folder):
+    """Texts with quotes, commas and line feeds survive the way out and back."""
+    frame = table(spark, folder, "documents").withColumn("quoted", F.concat(F.lit('say "hi", '), F.col("text"), F.lit('\n"end"')))
+    path = f"{scratch(spark)}/documents.csv"
+    frame.write.options(**src.CSV).csv(path)
+    return src.read_table(spark, path)
+
+
+add("csv_documents", _csv_documents, """
+    SELECT *, 'say "hi", ' || text || chr(10) || '"end"' AS quoted FROM documents""")
+
+
 add("csv_read", _csv_round_trip, f"""
     SELECT o_orderkey, CASE WHEN price = 'N/A' THEN NULL ELSE price END AS price, order_date, urgent, o_orderkey / 4 AS quarter
     FROM {sql_of("orders_text")}""")
@@ -31,6 +43,11 @@ add("json_rows", on("nation", src.to_json_rows), """
     SELECT concat('{"n_nationkey":', n_nationkey, ',"n_name":"', n_name, '","n_regionkey":', n_regionkey, '}') AS json FROM nation""")
 add("stable_sample", on("orders", lambda df: src.stable_sample(df, ["o_orderkey"], 3000)), """
     SELECT * FROM orders ORDER BY md5(concat_ws('#', CAST(o_orderkey AS VARCHAR), 'sample', '42')), o_orderkey LIMIT 3000""")
+for _name, _limit in (("stable_sample_ties", 100_000), ("stable_sample_ties_long", 500)):
+    add(_name, on("lineitem", lambda df, k=_limit: src.stable_sample(df.select("l_returnflag"), ["l_returnflag"], 2000, limit=k).groupBy("l_returnflag").count()), """
+        WITH h AS (SELECT l_returnflag, count(*) AS n, md5(l_returnflag || '#sample#42') AS h FROM lineitem GROUP BY ALL),
+        c AS (SELECT *, sum(n) OVER (ORDER BY h) - n AS below FROM h)
+        SELECT l_returnflag, CAST(least(n, 2000 - below) AS BIGINT) AS count FROM c WHERE below < 2000""")
 
 
 def _write_session(spark, folder):

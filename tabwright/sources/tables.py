@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabwright.operators.scale import BROADCAST_ROWS, chunks, col, hash_part, key_hash
+from tabwright.operators.scale import BROADCAST_ROWS, chunks, col, fingerprint, hash_part, key_hash
 
 # Text a CSV reader takes for a missing value.
 NA_TOKENS = [
@@ -19,12 +19,16 @@ INTEGER_TEXT = r"^\s*[+-]?[0-9]{1,18}\s*$"
 DECIMAL_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 FLAG_TEXT = "^(True|False|TRUE|FALSE|true|false)$"
 
+#: Quotes inside a quoted value are doubled, and white space around a value belongs to it.
+CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
-def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema=None, na_tokens: Sequence[str] | None = None) -> DataFrame:
+
+def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema=None, na_tokens: Sequence[str] | None = None, multi_line: bool = True) -> DataFrame:
     """Parquet as it is; CSV with a header, missing-value tokens nulled, then types inferred.
 
     Types are inferred after the tokens are gone, so one ``N/A`` does not turn a number
-    column into text. All columns are judged in one pass.
+    column into text. All columns are judged in one pass. ``multi_line`` allows line feeds inside
+    quoted values, at the price of one task per file; turn it off for large files without any.
     """
     fmt = fmt or ("csv" if str(path).lower().endswith(".csv") else "parquet")
     if fmt == "parquet":
@@ -32,7 +36,7 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema=No
     if fmt != "csv":
         raise ValueError(f"unsupported format: {fmt}")
     tokens = NA_TOKENS if na_tokens is None else list(na_tokens)
-    raw = spark.read.option("header", True).option("multiLine", False).csv(path)
+    raw = spark.read.options(**CSV).option("multiLine", multi_line).csv(path)
     text = raw.select(*[F.when(~col(c).isin(tokens), col(c)).alias(c) for c in raw.columns])
     if schema is not None:
         fields = {f.name: f.dataType for f in schema.fields}
@@ -100,32 +104,37 @@ def to_json_rows(df: DataFrame) -> DataFrame:
     return safe.select(F.to_json(F.struct(*[col(c) for c in safe.columns]), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def stable_sample(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """The n rows with the smallest key hash; all rows for n = 0. The same rows on every run.
+def stable_sample(df: DataFrame, key: Sequence[str], n: int, seed: int = 42, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The n rows with the smallest key hash, ties in order of the whole row's hash; all rows for n = 0.
 
-    A short sample is a top-n, which each task cuts to n rows. A long one would gather n rows
-    in one task, so there the n-th hash is found first and the rows are filtered by it.
+    Exactly n rows at any size, the same on every run. A short sample is a top-n, which each task cuts to n
+    rows. A long one would gather n rows in one task, so there the n-th hash is found first and the rows are
+    filtered by it; rows that tie with it are equal as a whole, and as many of them stay as are missing.
     """
     if n <= 0:
         return df
-    hashed = key_hash(key, seed, "sample")
-    if n <= BROADCAST_ROWS:
-        return df.orderBy(hashed, *[col(k) for k in key]).limit(n)
-    cut = hash_part(df, hashed, [lambda total: F.least(total, F.lit(n))], name="_part")
-    return cut.where("_part = 0").drop("_part")
+    hashed = F.concat(key_hash(key, seed, "sample"), F.to_json(fingerprint(df, df.columns)))
+    if n <= limit:
+        return df.orderBy(hashed).limit(n)
+    cut = hash_part(df, hashed, [lambda total: F.least(total, F.lit(n))], name="_part").where("_part = 0").drop("_part")
+    if cut.count() <= n:
+        return cut
+    last = cut.agg(F.max(hashed)).first()[0]
+    sure = cut.where(hashed < last)
+    return sure.unionByName(cut.where(hashed == last).limit(n - sure.count()))
 
 
 def write_session(df: DataFrame, base: str, session_id: str, name: str, csv: bool = False) -> str:
     """Write a session's table under its own prefix; returns the path."""
     path = f"{base}/session_id={session_id}/{name}"
     writer = df.write.mode("overwrite")
-    writer.option("header", True).csv(path) if csv else writer.parquet(path)
+    writer.options(**CSV).csv(path) if csv else writer.parquet(path)
     return path
 
 
 def write_predictions(df: DataFrame, path: str, fmt: str = "csv") -> str:
     writer = df.write.mode("overwrite")
-    writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path)
+    writer.options(**CSV).csv(path) if fmt == "csv" else writer.parquet(path)
     return path
 
 

@@ -293,7 +293,7 @@ def test_best_summary(spark):
     lower = spark.createDataFrame([("A", 3.0), ("B", 2.0)], "Model string, RMSE double")
     assert report.best_summary(lower, "regression").first()["score_gap"] == pytest.approx(-1.0)
     single = report.best_summary(board.limit(1), "classification").first()
-    assert single["score_gap"] is None and "among available models" in single["reason"]
+    assert single["score_gap"] is None and "the only result" in single["reason"]
 
 
 def test_auc_edge_cases(spark):

@@ -6,8 +6,11 @@ so memory follows the longest single text and not the size of a batch or a group
 
 from __future__ import annotations
 
+import functools
+import gc
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,6 +41,12 @@ def shared_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished rounds: it does so when the driver collects their plans, which short rounds put off."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -153,10 +162,18 @@ def shingles(words: np.ndarray, text: np.ndarray, n_texts: int, width: int, shor
     return value, owner, first
 
 
+def sorted_within(value: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """``value`` sorted inside each text's run; texts are in order."""
+    value = value.copy()
+    edges = np.flatnonzero(owner[1:] != owner[:-1]) + 1 if len(owner) else np.zeros(0, np.int64)
+    for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(value)], strict=True):
+        value[start:end].sort()
+    return value
+
+
 def distinct(value: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's different values, in order of (text, value)."""
-    order = np.lexsort((value, owner))
-    value, owner = value[order], owner[order]
+    value = sorted_within(value, owner)
     keep = np.ones(len(value), bool)
     keep[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
     return value[keep], owner[keep]
@@ -210,22 +227,53 @@ def dense_blocks(array: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch({"block": pa.array(used.astype(np.int32)), "data": pa.array([rows[k].tobytes() for k in used], pa.binary())})
 
 
-def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of 2^``bits`` bits over the top bits of the 64-bit column ``key``: a filter of fixed size with false positives only."""
+class Bits:
+    """A bitmap of 2^``bits`` bits over scrambled 64-bit values: a filter of fixed size with false positives only.
+
+    It travels compressed, so that few keys cost little, and unfolds once in each process.
+    """
+
+    def __init__(self, data: np.ndarray, bits: int):
+        self.bits, self.blob = bits, zlib.compress(data.tobytes(), 1)
+
+    @functools.cached_property
+    def data(self) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(self.blob), np.uint8)
+
+    def __getstate__(self) -> dict:
+        return {"bits": self.bits, "blob": self.blob}
+
+    def hit(self, values: np.ndarray) -> np.ndarray:
+        at = mix(values) >> np.uint64(64 - self.bits)
+        return (self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def bitmap(keys: DataFrame, bits: int) -> Bits:
+    """The values of the long column ``key``; 2^``bits`` bits at most reach the driver."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(1 << (bits - 3), np.uint8)
         for batch in batches:
-            at = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)
+            at = mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(64 - bits)
             np.bitwise_or.at(held, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
         yield dense_blocks(held)
 
-    return summed_blocks(keys.select("key").mapInArrow(mark, "block int, data binary"), "uint8", "or", 1 << (bits - 3))
+    return Bits(summed_blocks(keys.select("key").mapInArrow(mark, "block int, data binary"), "uint8", "or", 1 << (bits - 3)), bits)
 
 
-def in_bitmap(held: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
-    at = values >> np.uint64(64 - bits)
-    return (held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+#: Pairs of ids that may be broadcast: 4 MB at most.
+FEW_PAIRS = 200_000
+
+
+def with_both(pairs: DataFrame, table: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``pairs`` (a, b and more) with the named columns of ``table`` for either, as a_* and b_*.
+
+    The pairs go to the table where their counted number allows it: then only the rows that they name are shuffled, not the table.
+    """
+    sent = F.broadcast(pairs) if pairs.count() <= FEW_PAIRS else pairs
+    left = sent.join(table.select(F.col(key).alias("a"), *[F.col(c).alias(f"a_{c}") for c in columns]), "a")
+    right = sent.select("a", "b").join(table.select(F.col(key).alias("b"), *[F.col(c).alias(f"b_{c}") for c in columns]), "b")
+    return left.join(right, ["a", "b"])
 
 
 # ---------------------------------------------------------------- connected components
@@ -244,6 +292,7 @@ def components(edges: DataFrame) -> DataFrame:
         jump = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
         step = checkpointed(step.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("next", "root")).alias("root")))
         labels = step.select("node", "root")
+        release(edges.sparkSession)
         if step.where("root <> was").limit(1).count() == 0:
             return labels
 

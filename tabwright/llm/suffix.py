@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import bitmap, in_bitmap, mix, prefix_hash, shared_table, substring_hash, text_chunks
+from tabwright.llm.common import Bits, bitmap, mix, prefix_hash, release, shared_table, substring_hash, text_chunks
 
 LENGTH = 200
 GRAM = 32
@@ -89,7 +89,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"gram": pa.array(Anchors(data, offsets).gram.view(np.int64))})
 
 
-def _units(keyed: DataFrame, filters: list[np.ndarray]) -> DataFrame:
+def _units(keyed: DataFrame, filters: list[Bits]) -> DataFrame:
     """Units of the level that the number of filters names: whole neighbourhoods, cells of offsets, single strings."""
     sent = [keyed.sparkSession.sparkContext.broadcast(x) for x in filters]
 
@@ -98,13 +98,13 @@ def _units(keyed: DataFrame, filters: list[np.ndarray]) -> DataFrame:
             keys = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             for row, _, data, offsets in text_chunks(batch.column(0)):
                 a = Anchors(data, offsets)
-                live = np.flatnonzero(in_bitmap(sent[0].value, a.gram, FILTER_BITS))
+                live = np.flatnonzero(sent[0].value.hit(a.gram))
                 gram, place, first, last, text = a.gram[live], a.place[live], a.first[live], a.last[live], a.text[live]
                 if not len(live):
                     continue
                 bucket, mark = gram, _marks(keys[text + row], place - offsets[text])
                 if len(sent) > 1:
-                    keep = in_bitmap(sent[1].value, mark, FILTER_BITS)
+                    keep = sent[1].value.hit(mark)
                     gram, place, first, last, text = gram[keep], place[keep], first[keep], last[keep], text[keep]
                     which, cell = _expanded((place - last) // CELL, (place - first) // CELL)
                     gram, place, text = gram[which], place[which], text[which]
@@ -113,7 +113,7 @@ def _units(keyed: DataFrame, filters: list[np.ndarray]) -> DataFrame:
                     bucket = mix(gram + core * np.uint64(3) + mix(cell.astype(np.uint64)))
                     mark = _marks(keys[text + row], (place - offsets[text]) * LENGTH + cell)
                 if len(sent) > 2:
-                    keep = in_bitmap(sent[2].value, mark, FILTER_BITS)
+                    keep = sent[2].value.hit(mark)
                     which, start = _expanded(first[keep], last[keep])
                     bucket, place, text, mark = bucket[keep][which], place[keep][which], text[keep][which], mark[keep][which]
                     first = last = start
@@ -124,19 +124,20 @@ def _units(keyed: DataFrame, filters: list[np.ndarray]) -> DataFrame:
                     pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32)),
                 ], names=["bucket", "class", "mark", "k1", "k2", "first", "last"])
 
-    return shared_table(keyed.mapInArrow(emit, UNITS).distinct())
+    return shared_table(keyed.mapInArrow(emit, UNITS))
 
 
 def _refined(units: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(settled units that repeat, marks of the classes' members that go on)."""
-    classes = units.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("members"), F.min("mark").alias("mark"))
-    repeat = units.join(classes.where("members > 1").select("bucket", "class"), ["bucket", "class"], "left_semi")
+    """(settled units that repeat, marks of the classes' members that go on); equal texts have equal marks and count once."""
+    classes = units.groupBy("bucket", "class").agg(F.min("mark").alias("mark"), F.max("mark").alias("other"))
+    repeat = units.join(classes.where("mark <> other").select("bucket", "class"), ["bucket", "class"], "left_semi")
     mixed = classes.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("bucket")
     return repeat.select("k1", "k2", "first", "last"), classes.join(mixed, "bucket", "left_semi").select(F.col("mark").alias("key"))
 
 
 def repeated_spans(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """(k1, k2, cuts array<struct<first,end>>): byte spans that go, by text (two 64-bit hashes); spans may touch and overlap."""
+    spark = docs.sparkSession
     texts = docs.select(F.col(text_column).alias("text")).where(F.octet_length(text_column) >= LENGTH)
     keyed = texts.select("text", *_keys("text"))
     grams = texts.mapInArrow(_grams, "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -144,13 +145,17 @@ def repeated_spans(docs: DataFrame, text_column: str = "text") -> DataFrame:
     cuts = None
     for level in range(3):
         repeat, on = _refined(_units(keyed, filters))
+        repeat = shared_table(repeat.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", (F.col("last") + LENGTH).alias("end"))).alias("part")))
         cuts = repeat if cuts is None else cuts.union(repeat)
         if level < 2:
             filters.append(bitmap(on, FILTER_BITS))
-    cuts = cuts.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", (F.col("last") + LENGTH).alias("end"))).alias("cuts"))
+        release(spark)
+    cuts = cuts.groupBy("k1", "k2").agg(F.flatten(F.collect_list("part")).alias("cuts"))
     copies = keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("rows"), F.max(F.octet_length("text")).alias("n")).where("rows > 1")
     whole = copies.select("k1", "k2", F.array(F.struct(F.lit(0).alias("first"), F.col("n").alias("end"))).alias("whole"))
-    return cuts.join(whole, ["k1", "k2"], "full").select("k1", "k2", F.coalesce("whole", "cuts").alias("cuts"))
+    spans = shared_table(cuts.join(whole, ["k1", "k2"], "full").select("k1", "k2", F.coalesce("whole", "cuts").alias("cuts")))
+    release(spark)
+    return spans
 
 
 def _keys(text: str) -> tuple[Column, Column]:

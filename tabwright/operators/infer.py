@@ -209,26 +209,40 @@ def _target_facts(df: DataFrame, target: str) -> tuple[float, int, int]:
     return (row["p"] / row["n"] if row["n"] else 0.0), row["d"], row["n"]
 
 
-def choose_target(df: DataFrame, statement: str) -> dict[str, str]:
-    """Target and task: a column the statement names, else the likeliest by name; data settles the task."""
+#: What the data must show to overrule the task that a statement asks for: (numeric share, distinct values) -> bool.
+OVERRULED = {
+    "regression": ("classification", lambda numeric, distinct: numeric < 0.5 and distinct <= 20),
+    "classification": ("regression", lambda numeric, distinct: numeric >= 0.8 and distinct > 25),
+}
+
+
+def target_evidence(columns: Sequence[str], statement: str) -> list[tuple[int, int, str, str]]:
+    """Rows (rule, place, name, column), the smallest of which is the target; each rule that holds for a column gives a row.
+
+    0: the statement has the column's name (place: of the column); 1: the statement has a target word of that name (place: in the
+    statement); 2: the name has a target word; 3: it is a column.
+    """
     text = (statement or "").lower()
-    named = [c for c in df.columns if c.lower() in text]
+    rows = []
+    for place, c in enumerate(columns):
+        words = set(TARGET_PRIORITY) & set(name_tokens(c))
+        rows.append((3, 0, c.lower(), c))
+        rows += [(2, 0, c.lower(), c)] if words else []
+        rows += [(1, text.index(w), c.lower(), c) for w in words if w in text]
+        rows += [(0, place, c.lower(), c)] if c.lower() in text else []
+    return rows
 
-    def likelihood(c: str):
-        words = [w for w in TARGET_PRIORITY if w in name_tokens(c)]
-        mentioned = [text.find(w) for w in words if w in text]
-        return (min(mentioned) if mentioned else 10**6, 0 if words else 1, c.lower())
 
-    if not df.columns:
+def choose_target(df: DataFrame, statement: str) -> dict[str, str]:
+    """The column with the best evidence, and the statement's task unless the data overrule it."""
+    evidence = target_evidence(df.columns, statement)
+    if not evidence:
         raise ValueError("no columns to choose a target from")
-    target = named[0] if named else min(df.columns, key=likelihood)
+    target = min(evidence)[3]
+    numeric, distinct, _ = _target_facts(df, target)
     task = task_of_statement(statement)
-    ratio, distinct, _ = _target_facts(df, target)
-    if task == "regression" and ratio < 0.5 and distinct <= 20:
-        task = "classification"
-    elif task == "classification" and distinct > 25 and ratio >= 0.8:
-        task = "regression"
-    return validate_target(df, {"target": target, "task": task})
+    other, holds = OVERRULED[task]
+    return validate_target(df, {"target": target, "task": other if holds(numeric, distinct) else task})
 
 
 def validate_target(df: DataFrame, choice: dict[str, str]) -> dict[str, str]:

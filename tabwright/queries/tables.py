@@ -162,4 +162,5 @@ def _template(spark, folder):
     return input_template(table(spark, folder, "customer"), {"features": ["c_acctbal", "c_mktsegment", "c_rating"]})
 
 
-add("input_template", _template)
+add("input_template", _template, """
+    SELECT c_acctbal, c_mktsegment, CAST(NULL AS VARCHAR) AS c_rating FROM customer ORDER BY c_acctbal NULLS FIRST, c_mktsegment NULLS FIRST LIMIT 10""")

@@ -68,7 +68,7 @@ def fuzzy_map(values: DataFrame) -> DataFrame:
     """
     values = values.where(F.col("value").isNotNull()).select("column", "value").distinct()
     sizes = values.groupBy("column").agg(F.count("*").alias("n"))
-    sized = values.join(sizes, "column")
+    sized = values.join(F.broadcast(sizes), "column")  # one row per column
     small = sized.where((F.col("n") > 1) & (F.col("n") <= FUZZY_VALUES)).select("column", "value")
     rest = sized.where((F.col("n") <= 1) | (F.col("n") > FUZZY_VALUES))
     merged = small.groupBy("column").applyInPandas(_merge_spellings, "column string, value string, canonical string")
@@ -80,7 +80,7 @@ def rare_table(values: DataFrame, freq: float = 0.01, min_count: int = 20) -> Da
     filled = values.where(F.col("value").isNotNull())
     totals = filled.groupBy("column").agg(F.sum("n").alias("total"))
     limit = F.greatest(F.lit(min_count), F.ceil(F.lit(freq) * F.col("total")))
-    return filled.join(totals, "column").select("column", "value", "n", (F.col("n") < limit).alias("rare"))
+    return filled.join(F.broadcast(totals), "column").select("column", "value", "n", (F.col("n") < limit).alias("rare"))
 
 
 class _CleanerParams(Params):

@@ -17,6 +17,7 @@ from tabwright.operators.scale import chunks, col, exact_quantiles, local_frame
 from tabwright.operators.valuecounts import (
     cols_of_kind,
     distinct_counts,
+    gated_counts,
     is_numeric,
     top_values,
     value_count_table,
@@ -255,7 +256,8 @@ def overview(df: DataFrame, targets: Sequence[str] = ()) -> DataFrame:
         ))
     missing = missing_pct(df, k=5, digits=1)
     out = out.unionByName(missing.select(F.lit("missing").alias("section"), F.col("column").alias("name"), F.col("missing_pct").alias("value")))
-    constant = distinct_counts(df, dropna=False).where("n_distinct <= 1").orderBy("column").limit(8)
+    few = gated_counts(df, df.columns, lambda c, n: n <= 4, dropna=False)
+    constant = local_frame(spark, [(c, n) for c, n in sorted(few.items()) if n <= 1][:8], "column string, n_distinct bigint")
     return out.unionByName(constant.select(F.lit("constant").alias("section"), F.col("column").alias("name"), F.col("n_distinct").cast("double").alias("value")))
 
 
@@ -319,8 +321,9 @@ def prune_lists(train: DataFrame) -> DataFrame:
     """(column, reason): high_missing above 60 %, constant, and high_cardinality text columns."""
     missing = missing_table(train, digits=15).withColumn("share", F.col("missing_percent") / 100).select("column", "share")
     rows = train.agg(F.count("*").alias("n")).first()["n"]
-    vc = distinct_counts(train, dropna=False)
     text = cols_of_kind(train, "text")
+    counts = gated_counts(train, train.columns, lambda c, n: n <= 4 or c in text and n > 80 and 0.4 <= n / max(1, rows) <= 0.6 or c in text and 80 < n < 130, dropna=False)
+    vc = local_frame(train.sparkSession, list(counts.items()), "column string, n_distinct bigint")
     joined = vc.join(missing, "column").withColumn("filled_distinct", F.col("n_distinct") - (F.col("share") > 0).cast("int"))
     reasons = F.array_compact(F.array(
         F.when(F.col("share") > 0.6, F.lit("high_missing")),

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tabwright.functions.numbers import finite, parse_number_loose
 from tabwright.functions.text import ZERO_WIDTH, name_tokens
 from tabwright.operators.scale import col
-from tabwright.operators.valuecounts import distinct_counts, is_numeric
+from tabwright.operators.valuecounts import gated_counts, is_numeric
 
 # Name words that suggest a prediction target.
 TARGET_WORDS = [
@@ -90,7 +90,7 @@ def protected_columns(df: DataFrame, words: Sequence[str] = tuple(TARGET_WORDS))
     rest = [c for c in df.columns if c not in named]
     if rest:
         rows = max(1, df.count())
-        counts = {r["column"]: r["n_distinct"] for r in distinct_counts(df, columns=rest).collect()}
+        counts = gated_counts(df, rest, lambda c, n: n <= 20)
         for c in rest:
             n = counts.get(c, 0)
             text = isinstance(df.schema[c].dataType, T.StringType)

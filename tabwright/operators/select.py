@@ -36,7 +36,7 @@ def rank_by_corr(df: DataFrame, target: str, absolute: bool = False, features: S
 def select_regression(df: DataFrame, target: str) -> dict[str, DataFrame]:
     """Correlation ranking and matrix; the target must read as a number in half of the rows."""
     if not numeric_gate(df, target, 0.5).first()["ok"]:
-        raise ValueError("the regression target must be mostly numeric")
+        raise ValueError("fewer than half of the target values are numbers")
     if not is_numeric(df.schema[target].dataType):
         df = df.withColumn(target, parse_number_loose(col(target)))
     return {"ranking": rank_by_corr(df, target), "matrix": corr_matrix(df)}
@@ -47,7 +47,7 @@ def label_codes(df: DataFrame, columns: Sequence[str], rank_rows: int = RANK_ROW
     values = long_values(df, columns).select("column", F.coalesce("value", F.lit("nan")).alias("value")).distinct()
     placed = running_totals(values, ["column", "value"], {"place": F.lit(1)}, rank_rows=rank_rows)
     starts = placed.groupBy("column").agg(F.min("place").alias("start"))
-    return placed.join(starts, "column").select("column", "value", (F.col("place") - F.col("start")).cast("bigint").alias("code"))
+    return placed.join(F.broadcast(starts), "column").select("column", "value", (F.col("place") - F.col("start")).cast("bigint").alias("code"))
 
 
 def label_encode(df: DataFrame, columns: Sequence[str], rank_rows: int = RANK_ROWS) -> DataFrame:
@@ -81,7 +81,7 @@ def chi2_scores(df: DataFrame, target: str, features: Sequence[str] | None = Non
         long = per_class.unpivot(["_y", "_n"], [col(c) for c in part], "feature", "observed")
         totals = long.groupBy("feature").agg(F.sum("observed").alias("total"), F.sum("_n").alias("rows"))
         expected = F.col("total") * F.col("_n") / F.col("rows")
-        scored = long.join(totals, "feature").withColumn("e", expected).groupBy("feature").agg(
+        scored = long.join(F.broadcast(totals), "feature").withColumn("e", expected).groupBy("feature").agg(
             F.sum(F.when(F.col("e") != 0, (F.col("observed") - F.col("e")) ** 2 / F.when(F.col("e") != 0, F.col("e")))).alias("chi2")
         )
         out = scored if out is None else out.unionByName(scored)
@@ -116,7 +116,7 @@ def mutual_info(df: DataFrame, target: str, bins: int = 32, features: Sequence[s
     by_bin = joint.groupBy("feature", "bin").agg(F.sum("n").alias("n_bin"))
     by_class = joint.groupBy("feature", "_y").agg(F.sum("n").alias("n_class"))
     totals = joint.groupBy("feature").agg(F.sum("n").alias("total"))
-    joined = joint.join(by_bin, ["feature", "bin"]).join(by_class, ["feature", "_y"]).join(totals, "feature")
+    joined = joint.join(by_bin, ["feature", "bin"]).join(by_class, ["feature", "_y"]).join(F.broadcast(totals), "feature")
     n, total = F.col("n").cast("double"), F.col("total").cast("double")
     term = n / total * F.log(n * total / (F.col("n_bin").cast("double") * F.col("n_class").cast("double")))
     return joined.groupBy("feature").agg(F.greatest(F.sum(term), F.lit(0.0)).alias("mutual_info"))

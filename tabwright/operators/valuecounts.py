@@ -6,13 +6,13 @@ fills a third of a table arrives at its reducer as one row per map task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabwright.operators.scale import col
+from tabwright.operators.scale import chunks, col
 
 
 def is_numeric(t: T.DataType) -> bool:
@@ -60,6 +60,21 @@ def value_counts(df: DataFrame, column: str, dropna: bool = True, k: int | None
     return ordered.limit(k) if k else ordered
 
 
+def gated_counts(df: DataFrame, columns: Sequence[str], near: Callable[[str, int], bool], dropna: bool = True) -> dict[str, int]:
+    """Distinct values by column: sketched in one pass without a shuffle of values, and exact where ``near`` says that a sketch can't decide.
+
+    A sketch's standard error is 2 %; columns that can't be sketched are counted.
+    """
+    plain = [c for c in columns if not isinstance(df.schema[c].dataType, (T.MapType, T.ArrayType, T.StructType, T.VariantType))]
+    rough: dict[str, int] = {}
+    for part in chunks(plain, 50):
+        row = df.agg(*[F.approx_count_distinct(col(c), 0.02).alias(f"d{i}") for i, c in enumerate(part)]).first()
+        rough |= {c: row[f"d{i}"] for i, c in enumerate(part)}
+    close = [c for c in columns if c not in rough or near(c, rough[c])]
+    exact = {r["column"]: r["n_distinct"] for r in distinct_counts(df, columns=close, dropna=dropna).collect()} if close else {}
+    return rough | {c: exact.get(c, 0) for c in close}
+
+
 def distinct_counts(df: DataFrame, dropna: bool = True, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, n_distinct). Columns are counted per type family so that no number passes through text."""
     names = list(columns) if columns is not None else df.columns

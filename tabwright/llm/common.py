@@ -22,6 +22,8 @@ from tabwright.session import checkpointed  # noqa: F401
 
 #: Bytes of text handled at once inside a task.
 CHUNK = 1 << 19
+#: Bytes of an Arrow batch at most.
+BATCH = 1 << 24
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,8 +36,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tabwright-{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of 16 MB at most: a batch of texts stays in memory on both sides, once for each core."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key)).rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def shared_table(df: DataFrame) -> DataFrame:
     """``df`` as Parquet in the shared folder, read back: lineage ends there and lost executors cost nothing."""
+    bounded_batches(df.sparkSession)
     folder = shared_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
@@ -48,6 +59,7 @@ def release(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

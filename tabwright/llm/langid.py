@@ -36,7 +36,7 @@ SLACK = 0.5
 #: Characters at most that sharpen the score; beyond, more text doesn't change it.
 EVIDENCE = 40
 #: Distinct grams a task holds before it hands its partial counts on.
-HELD = 1 << 21
+HELD = 1 << 20
 
 
 @functools.cache

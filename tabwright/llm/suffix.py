@@ -142,6 +142,7 @@ def repeated_spans(docs: DataFrame, text_column: str = "text") -> DataFrame:
     keyed = texts.select("text", *_keys("text"))
     grams = texts.mapInArrow(_grams, "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     filters = [bitmap(grams.select(F.col("gram").alias("key")), FILTER_BITS)]
+    release(spark)
     cuts = None
     for level in range(3):
         repeat, on = _refined(_units(keyed, filters))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.functions.numbers import parse_number_loose
+from tabwright.operators.encode import impute_median
 from tabwright.operators.profile import HEAVY, corr_matrix, num, numbers, numeric_gate, per_column, prune_lists, varying_corr
 from tabwright.operators.scale import RANK_ROWS, chunks, col, exact_quantiles, local_frame, running_totals, small_side
 from tabwright.operators.valuecounts import cols_of_kind, distinct_counts, is_numeric, long_values
@@ -130,16 +131,33 @@ def variance_filter(df: DataFrame, threshold: float = 0.01, columns: Sequence[st
 
 
 def array_columns(df: DataFrame, column: str, size: int, prefix: str = "x") -> DataFrame:
-    """The first ``size`` elements of an array column as double columns."""
+    """The first ``size`` elements of an array column as double columns; null arrays give nulls."""
     return df.select("*", *[F.get(col(column), F.lit(i)).cast("double").alias(f"{prefix}{i}") for i in range(size)]).drop(column)
 
 
+def array_size(df: DataFrame, column: str) -> int:
+    """The length that all arrays of a column have, nulls apart; arrays of different lengths are an error."""
+    low, high = df.where(col(column).isNotNull()).agg(F.min(F.size(col(column))), F.max(F.size(col(column)))).first()
+    if low != high:
+        raise ValueError(f"arrays of {low} to {high} elements in {column}")
+    if low is None:
+        raise ValueError(f"no array in {column}")
+    return low
+
+
 def pca_ratio(df: DataFrame, k: int = 5, columns: Sequence[str] | None = None) -> DataFrame:
-    """(component, ratio): share of variance of the first k principal components."""
+    """(component, ratio): share of variance of the first k principal components; nulls count as the median of their feature."""
     names = list(columns) if columns is not None else cols_of_kind(df, "numeric")
     if len(names) > PCA_FEATURES:
         raise ValueError(f"{len(names)} features: their covariance matrix is too large for the driver")
-    rows = df.select(*[num(c).alias(c) for c in names]).dropna()
+    rows = df.select(*[num(c).alias(c) for c in names])
+    known = rows.agg(F.count(F.lit(1)), *[F.count(col(c)) for c in names]).first()
+    empty = [c for c, n in zip(names, known[1:], strict=True) if n == 0]
+    if empty:
+        raise ValueError(f"no number in {', '.join(empty)}")
+    gaps = [c for c, n in zip(names, known[1:], strict=True) if n < known[0]]
+    if gaps:
+        rows = impute_median(rows, gaps)
     features = VectorAssembler(inputCols=names, outputCol="_features").transform(rows).select("_features")
     model = PCA(k=min(k, len(names)), inputCol="_features", outputCol="_pca").fit(features)
     ratios = [(i + 1, float(v)) for i, v in enumerate(model.explainedVariance.toArray())]

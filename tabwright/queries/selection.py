@@ -87,7 +87,7 @@ add("rank_features_classes", on("doc_quality", lambda df: select.rank_features(d
 
 def _vectors(spark, folder):
     rows = table(spark, folder, "embeddings")
-    return select.array_columns(rows, "embedding", len(rows.first()["embedding"])).drop("vec_id", "label")
+    return select.array_columns(rows, "embedding", select.array_size(rows, "embedding")).drop("vec_id", "label")
 
 
 add("pca_ratio", lambda s, d: rounded(select.pca_ratio(_vectors(s, d), 5), 8, "ratio"))

@@ -318,3 +318,18 @@ def test_questions(spark):
 def test_kinds(spark):
     df = local_frame(spark, [(1, "a", True)], "n int, s string, b boolean")
     assert cols_of_kind(df, "numeric") == ["n"] and cols_of_kind(df, "text") == ["s", "b"]
+
+
+def test_pca_imputes_nulls(spark):
+    rows = [(float(i), float(i * i % 7), None if i else 3.0) for i in range(30)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    full = spark.createDataFrame([(a, b, 3.0) for a, b, _ in rows], "a double, b double, c double")
+    shares = [[r["ratio"] for r in select.pca_ratio(x, 3).orderBy("component").collect()] for x in (df, full)]
+    assert shares[0] == pytest.approx(shares[1])
+
+
+def test_ragged_vectors_raise(spark):
+    df = spark.createDataFrame([(None,), ([1.0, 2.0],), ([3.0, 4.0],)], "v array<double>")
+    assert select.array_size(df, "v") == 2
+    with pytest.raises(ValueError, match="2 to 3 elements"):
+        select.array_size(df.union(spark.createDataFrame([([1.0, 2.0, 3.0],)], "v array<double>")), "v")

@@ -1,10 +1,10 @@
-"""Language identification: interpolated Kneser-Ney character models in sorted hash arrays (operator 3).
+"""Language identification: interpolated Kneser-Ney character models in sorted arrays (operator 3).
 
 *Fit.* All texts of known language are cut into character 5-grams (lower-cased, digits alike, white space alike, four
 boundary marks in front; characters fold into 4,096 classes, so a gram is one 60-bit number). Tasks combine counts
 before they are shuffled. Lower orders count distinct left neighbours; absolute discounts come from counts of counts.
-Each order keeps a fixed number of hash slots (2^22); where two grams share one, the more frequent holds it and the other
-backs off. So the model that reaches the driver and the tasks has a bound that doesn't depend on the corpus.
+Every gram is kept, whatever the language and its share of the corpus. So the model that reaches the driver and the tasks grows with the
+distinct grams of the corpus: a float for each language, and some 30 bytes, a gram and order.
 
 *Score.* A gram known in any language has its interpolated log-probability for all languages stored in one row;
 others back off through context weights. The language with the lowest cross-entropy per character wins.
@@ -29,7 +29,6 @@ from tabwright.llm.common import mix, shared_table, text_chunks
 
 ORDER = 5
 BITS = 12
-SLOT_BITS = 22
 UNKNOWN = "und"
 Z = 8.0
 SLACK = 0.5
@@ -152,17 +151,22 @@ class LanguageModel:
 
     @functools.cached_property
     def index(self) -> np.ndarray:
-        """Row of the highest order by hash slot: one step in place of a binary search."""
-        rows = np.full(1 << SLOT_BITS, -1, np.int32)
-        rows[slots(self.grams[-1])] = np.arange(len(self.grams[-1]))
+        """Row of the highest order by hash slot: one step in place of a binary search, but for grams that share a slot."""
+        rows = np.full(1 << self.index_bits, -1, np.int32)
+        rows[slots(self.grams[-1], self.index_bits)] = np.arange(len(self.grams[-1]))
         return rows
 
+    @property
+    def index_bits(self) -> int:
+        """Two slots a gram at least."""
+        return max(16, (2 * len(self.grams[-1])).bit_length())
+
     def losses(self, grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Cross-entropy per character, texts by languages; 0 for an empty text."""
         out = np.zeros((len(sizes), len(self.langs)))
         if not len(grams):
             return out
-        at = self.index[slots(grams)]
+        at = self.index[slots(grams, self.index_bits)]
         miss = np.flatnonzero((at < 0) | (self.grams[-1][at] != grams))
         extra = self.log_prob(ORDER, grams[miss])
         full, starts = sizes > 0, (np.cumsum(sizes) - sizes)[sizes > 0]
@@ -173,13 +177,8 @@ class LanguageModel:
         return out
 
 
-def slots(grams: np.ndarray) -> np.ndarray:
-    return (mix(grams.view(np.uint64)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-
-def _slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.record_batch({"order": batch.column(0), "gram": batch.column(1), "c": batch.column(2), "slot": pa.array(slots(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)))})
+def slots(grams: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(grams.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def fit(docs: DataFrame, text_column: str = "text", lang_column: str = "lang") -> LanguageModel:
@@ -198,11 +197,7 @@ def fit(docs: DataFrame, text_column: str = "text", lang_column: str = "lang") -
         part = level.withColumn("context", F.shiftright("gram", BITS)).join(context, ["lang", "context"]).select(F.lit(order).alias("order"), "lang", "gram", "c", "total", "kinds")
         few = level.groupBy("lang").agg(F.lit(order).alias("order"), F.count_if(F.col("c") == 1).alias("one"), F.count_if(F.col("c") == 2).alias("two"))
         entries, ones = (part, few) if entries is None else (entries.union(part), ones.union(few))
-    entries = shared_table(entries)
-    totals = entries.groupBy("order", "gram").agg(F.sum("c").alias("c")).mapInArrow(_slotted, "order int, gram long, c long, slot long")
-    held = totals.groupBy("order", "slot").agg(F.max(F.struct("c", "gram")).alias("w")).select("order", F.col("w.gram").alias("gram"))
-    kept = entries.join(held, ["order", "gram"]).toArrow()
-    return _assembled(kept, ones.toPandas())
+    return _assembled(entries.toArrow(), ones.toPandas())
 
 
 def _assembled(kept: pa.Table, ones) -> LanguageModel:
@@ -270,6 +265,6 @@ def training_rows(docs: DataFrame) -> Column:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents that are not rejected, with their columns as they are."""
-    model = fit(docs.where(training_rows(docs)))
+    """The documents that are not rejected by a model of all rows with a language, with their columns as they are."""
+    model = fit(docs)
     return docs.where(~identified(docs, model, F.col("text"))["rejected"])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import decontaminate, html, langid, licenses, ngram_join, packing, substring, suffix, toxicity, vptree
+from tabwright.llm import decontaminate, html, langid, licenses, ngram_join, packing, spelling, substring, suffix, toxicity, vptree
 from tabwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,42 @@ SELECT doc_id, license, CAST(i - 1 AS INTEGER) AS "at", have / n AS containment
 
 
 ORACLE["op8_license_scan"] = _license_oracle()
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
+# DuckDB has no crc32: the usual table of 256 remainders, then one step for each byte.
+ORACLE["op13_spelling_variants"] = r"""
+WITH RECURSIVE remainders AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t),
+runs AS (
+  SELECT doc_id, run, count(*) AS k FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, k, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(doc_id || ':' || run))), lambda i: ('0x' || substr(hex(encode(doc_id || ':' || run)), 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]))) AS h
+  FROM runs, remainders),
+counted AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed),
+words AS (SELECT word, sum(k)::BIGINT AS n FROM counted WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+holes AS (
+  SELECT word, length(word) AS size, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word AS a, b.word AS b FROM holes a JOIN holes b ON a.rest = b.rest AND a.i = b.i AND a.size = b.size AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM holes a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word FROM holes a JOIN words b ON a.rest = b.word),
+ranked AS (
+  SELECT p.a AS word, p.b AS form, w.n AS form_n, count(*) OVER (PARTITION BY p.a) AS n_near, row_number() OVER (PARTITION BY p.a ORDER BY w.n DESC, encode(p.b)) AS k
+  FROM pairs p JOIN words w ON w.word = p.b),
+known AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.form_n >= 10 * w.n THEN r.form END AS form, CASE WHEN r.form_n >= 10 * w.n THEN r.form_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.k = 1),
+chain AS (
+  SELECT word, word AS at, 0 AS step FROM known UNION ALL SELECT c.word, k.form, c.step + 1 FROM chain c JOIN known k ON k.word = c.at WHERE k.form IS NOT NULL)
+SELECT k.word, k.n, k.n_near, k.form, k.form_n, c.root FROM known k JOIN (SELECT word, arg_max(at, step) AS root FROM chain GROUP BY word) c ON c.word = k.word
+"""

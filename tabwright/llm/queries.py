@@ -174,6 +174,6 @@ known AS (
   SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.form_n >= 10 * w.n THEN r.form END AS form, CASE WHEN r.form_n >= 10 * w.n THEN r.form_n END AS form_n
   FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.k = 1),
 chain AS (
-  SELECT word, word AS at, 0 AS step FROM known UNION ALL SELECT c.word, k.form, c.step + 1 FROM chain c JOIN known k ON k.word = c.at WHERE k.form IS NOT NULL)
-SELECT k.word, k.n, k.n_near, k.form, k.form_n, c.root FROM known k JOIN (SELECT word, arg_max(at, step) AS root FROM chain GROUP BY word) c ON c.word = k.word
+  SELECT word, word AS last, 0 AS step FROM known UNION ALL SELECT c.word, k.form, c.step + 1 FROM chain c JOIN known k ON k.word = c.last WHERE k.form IS NOT NULL)
+SELECT k.word, k.n, k.n_near, k.form, k.form_n, c.root FROM known k JOIN (SELECT word, arg_max(last, step) AS root FROM chain GROUP BY word) c ON c.word = k.word
 """

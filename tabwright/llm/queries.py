@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import decontaminate, html, langid, licenses, ngram_join, packing, spelling, substring, suffix, toxicity, vptree
+from tabwright.llm import decontaminate, html, langid, lexical, licenses, ngram_join, packing, spelling, substring, suffix, toxicity, vptree
 from tabwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,28 @@ chain AS (
   SELECT word, word AS last, 0 AS step FROM known UNION ALL SELECT c.word, k.form, c.step + 1 FROM chain c JOIN known k ON k.word = c.last WHERE k.form IS NOT NULL)
 SELECT k.word, k.n, k.n_near, k.form, k.form_n, c.root FROM known k JOIN (SELECT word, arg_max(last, step) AS root FROM chain GROUP BY word) c ON c.word = k.word
 """
+
+
+@query
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLE["op12_ranked_search"] = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS t FROM documents),
+asked AS (
+  SELECT item_id, t, count(*) AS q FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS t FROM benchmark)
+  GROUP BY item_id, t),
+tfs AS (SELECT doc_id, t, count(*) AS tf FROM words GROUP BY doc_id, t),
+sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tfs GROUP BY doc_id),
+totals AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM sizes),
+weights AS (SELECT t, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tfs, totals GROUP BY t, big_n),
+norms AS (SELECT doc_id, 75 + (25 * n * big_n) // big_l AS m FROM sizes, totals),
+scores AS (
+  SELECT item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM asked JOIN tfs USING (t) JOIN weights USING (t) JOIN norms USING (doc_id) GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, r::INTEGER AS "rank", doc_id, score FROM ranked WHERE r <= 20
+"""

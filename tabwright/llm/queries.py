@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import decontaminate, html, langid, lexical, licenses, ngram_join, packing, spelling, substring, suffix, toxicity, vptree
+from tabwright.llm import decontaminate, html, langid, lexical, licenses, ngram_join, packing, spelling, substring, suffix, toxicity, vptree, warc
 from tabwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,3 +202,24 @@ scores AS (
 ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r, doc_id, score FROM scores WHERE score > 0)
 SELECT item_id, r::INTEGER AS "rank", doc_id, score FROM ranked WHERE r <= 20
 """
+
+
+@query
+def op11_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    kind = dict(pages.dtypes)["page_id"]
+    records = warc.round_trip(pages)
+    return records.select(F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+# DuckDB's sha1 is hexadecimal: its digits become 160 bits, and every five of them a letter of base32.
+ORACLE["op11_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+bits AS (
+  SELECT x, array_to_string(list_transform(range(1, 41), lambda i: right('0000' || bin(('0x' || substr(x, i, 1))::INTEGER), 4)), '') AS b FROM (SELECT DISTINCT x FROM p)),
+digests AS (
+  SELECT x, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_reduce(list_prepend(0, list_transform(range(1, 6), lambda k: substr(b, 5 * i + k, 1)::INTEGER)), lambda a, d: 2 * a + d)::INTEGER, 1)), '') AS d FROM bits),
+lows AS (SELECT x, min(page_id) AS low FROM p GROUP BY x)
+SELECT page_id, octet_length(encode(h)) AS payload_bytes, d AS payload_digest, CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> low THEN low END AS refers_to
+FROM p JOIN digests USING (x) JOIN lows USING (x)
+"""

@@ -42,6 +42,8 @@ from tabwright.llm.common import bounded_batches, shared_folder, shared_table
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a range, of a file before the task starts the next one, of a read, of a batch of records.
 RANGE, FILE, READ, BATCH = 64 << 20, 1 << 30, 1 << 16, 8 << 20
+#: A range that holds any file whole.
+WHOLE = 1 << 62
 #: Payloads with copies whose digests may be broadcast: about 60 bytes each.
 FEW = 200_000
 MANIFEST = "_files"
@@ -104,11 +106,11 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes] | None:
     return headers, rest[:-4]
 
 
-def described(headers: dict[str, str], block: bytes) -> tuple[dict, bytes]:
-    """Columns and payload of a record; a response must carry the digest of its payload."""
+def described(headers: dict[str, str], block: bytes, check: bool = True) -> tuple[dict, bytes]:
+    """Columns and payload of a record; a response must carry the digest of its payload (``check``: which is computed)."""
     kind = headers.get("warc-type")
     row = {"record_type": kind, "id": key_of(headers.get("warc-record-id")), "url": headers.get("warc-target-uri"), "payload_digest": headers.get("warc-payload-digest", "").removeprefix("sha1:") or None, "payload_bytes": None, "refers_to": key_of(headers.get("warc-refers-to"))}
-    if not headers.get("content-type", "").startswith("application/http"):
+    if not check or not headers.get("content-type", "").startswith("application/http"):
         return row, block
     http, _, payload = block.partition(b"\r\n\r\n")
     if kind == "revisit":
@@ -197,7 +199,10 @@ class ByteRange(InputPartition):
 
 
 class WarcSource(DataSource):
-    """``format("warc")``. Write: columns id, url, payload, digest (hex), low. Read: FIELDS, and payload if the option of that name is true."""
+    """``format("warc")``. Write: columns id, url, payload, digest (hex), low. Read: FIELDS, and payload if the option of that name is true.
+
+    Options: ``range_bytes`` of a task, ``files`` (JSON list of names: only those), ``check`` (false: payloads and digests are not looked at).
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -269,7 +274,7 @@ def archive_files(path: str) -> list[tuple[str, int]]:
 
 class WarcReader(DataSourceReader):
     def __init__(self, options):
-        self.folder, self.payload = options["path"], options.get("payload", "true") == "true"
+        self.folder, self.payload, self.check = options["path"], options.get("payload", "true") == "true", options.get("check", "true") == "true"
         self.step = int(options.get("range_bytes", RANGE))
         self.only = set(json.loads(options["files"])) if "files" in options else None
 
@@ -284,7 +289,7 @@ class WarcReader(DataSourceReader):
         rows, held = [], 0
         with store.open_input_file(f"{folder}/{partition.file}") as handle:
             for offset, stored, headers, block in records_in(handle, partition.size, partition.start, partition.end):
-                row, payload = described(headers, block)
+                row, payload = described(headers, block, self.check)
                 row |= {"file": partition.file, "file_bytes": partition.size, "offset": offset, "stored_bytes": stored} | ({"payload": payload} if self.payload else {})
                 rows.append(row)
                 held += 300 + (len(payload) if self.payload else 0)
@@ -327,20 +332,22 @@ def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", ur
 def read_archives(spark: SparkSession, folder: str, payload: bool = True, range_bytes: int = RANGE) -> DataFrame:
     """(FIELDS, payload): every record of the archives in ``folder``, in tasks of ``range_bytes`` bytes each."""
     spark.dataSource.register(WarcSource)
-    read = lambda payload, step, **more: spark.read.format("warc").options(payload=str(payload).lower(), range_bytes=step, **more).load(folder)
     sizes = dict(archive_files(folder))
 
+    def read(files: set[str] | None, step: int, check: bool = True) -> DataFrame:
+        options = {"payload": str(payload and check).lower(), "range_bytes": step, "check": str(check).lower()}
+        return spark.read.format("warc").options(**options, **({} if files is None else {"files": json.dumps(sorted(files))})).load(folder)
+
     def odd(records: DataFrame, files: set[str]) -> set[str]:
         covered = {r["file"]: r["bytes"] for r in records.groupBy("file").agg(F.sum("stored_bytes").alias("bytes")).collect()}  # a row per file
         return {name for name in files if covered.get(name, 0) != sizes[name]}
 
-    again = odd(read(False, range_bytes), set(sizes))
+    again = odd(read(None, range_bytes, check=False), set(sizes))
     if not again:
-        return read(payload, range_bytes)
-    whole = {"step": 1 << 62, "files": json.dumps(sorted(again))}
-    if wrong := odd(read(False, **whole), again):
+        return read(None, range_bytes)
+    if wrong := odd(read(again, WHOLE, check=False), again):
         raise ValueError(f"damaged archives: {', '.join(sorted(wrong)[:10])}")
-    return read(payload, range_bytes).where(~F.col("file").isin(sorted(again))).unionByName(read(payload, **whole))
+    return read(set(sizes) - again, range_bytes).unionByName(read(again, WHOLE))
 
 
 def round_trip(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", min_bytes: int = 0) -> DataFrame:

@@ -23,7 +23,7 @@ PAGES = "page_id long, url string, html string, id string, digest string, low st
 
 @pytest.fixture(scope="module")
 def pages(spark):
-    long = "".join(random.Random(1).choices("abcdefgh <>/é\n", k=300_000))
+    long = "".join(random.Random(1).choices("abcdefgh <>/é\n", k=60_000))
     rows = [(1, "http://a/1", "<p>one</p>"), (2, "http://a/2", None), (3, None, ""), (4, "http://a/4\nx y", "<p>one</p>"), (5, "", long), (6, "http://a/6", "ñandú"), (6, "http://b/6", "ñandú"), (7, "u", "ñandú"), (None, "n", "<p>one</p>"), (None, "m", "only"), (None, "m2", "only")]
     return spark.createDataFrame([(*r, "x", "x", "x", "x") for r in rows], PAGES)
 
@@ -41,7 +41,7 @@ def expected(rows) -> Counter:
     return out
 
 
-@pytest.mark.parametrize("step", [777, 1 << 20])
+@pytest.mark.parametrize("step", [9999, 1 << 20])
 def test_archives_come_back_whole(spark, pages, tmp_path, step):
     warc.write_archives(pages.repartition(2, "page_id"), str(tmp_path))
     back = warc.read_archives(spark, str(tmp_path), range_bytes=step).where("record_type <> 'warcinfo'").collect()
@@ -81,7 +81,7 @@ def nested(level: int) -> bytes:
     return warc.encode_record("response", http + payload, [("WARC-Record-ID", warc.record_id("outer", digest)), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest}")], level)
 
 
-@pytest.mark.parametrize("step", [64, 500, 3000, 1 << 20])
+@pytest.mark.parametrize("step", [200, 3000, 1 << 20])
 def test_archives_inside_archives_are_not_read(spark, tmp_path, step):
     members = [warc.page_record(str(k), "u", b"page %d" % k, warc.base32(hashlib.sha1(b"page %d" % k).digest()), None) for k in range(5)]
     (tmp_path / "a.warc.gz").write_bytes(b"".join([*members[:2], nested(0), *members[2:]]))

@@ -18,16 +18,21 @@ def _csv_round_trip(spark, folder):
     return src.read_table(spark, path)
 
 
-def _csv_documents(spark, folder):
+def _csv_documents(files=None, multi_line=None):
     """Texts with quotes, commas and line feeds survive the way out and back."""
-    frame = table(spark, folder, "documents").withColumn("quoted", F.concat(F.lit('say "hi", '), F.col("text"), F.lit('\n"end"')))
-    path = f"{scratch(spark)}/documents.csv"
-    frame.write.options(**src.CSV).csv(path)
-    return src.read_table(spark, path)
-
-
-add("csv_documents", _csv_documents, """
-    SELECT *, 'say "hi", ' || text || chr(10) || '"end"' AS quoted FROM documents""")
+    def run(spark, folder):
+        frame = table(spark, folder, "documents").withColumn("quoted", F.concat(F.lit('say "hi", '), F.col("text"), F.lit('\n"end"')))
+        path = f"{scratch(spark)}/documents.csv"
+        (frame.coalesce(files) if files else frame).write.options(**src.CSV).csv(path)
+        return src.read_table(spark, path, multi_line=multi_line)
+    return run
+
+
+QUOTED = """
+    SELECT *, 'say "hi", ' || text || chr(10) || '"end"' AS quoted FROM documents"""
+add("csv_documents", _csv_documents(), QUOTED)
+add("csv_documents_one_file", _csv_documents(files=1), QUOTED)
+add("csv_documents_whole_files", _csv_documents(multi_line=True), QUOTED)
 
 
 add("csv_read", _csv_round_trip, f"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.operators.scale import BROADCAST_ROWS, chunks, col, fingerprint, hash_part, key_hash
+from tabwright.sources.quoted import parsed, quoted_records
 
 # Text a CSV reader takes for a missing value.
 NA_TOKENS = [
@@ -23,12 +24,13 @@ FLAG_TEXT = "^(True|False|TRUE|FALSE|true|false)$"
 CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema=None, na_tokens: Sequence[str] | None = None, multi_line: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema=None, na_tokens: Sequence[str] | None = None, multi_line: bool | None = None) -> DataFrame:
     """Parquet as it is; CSV with a header, missing-value tokens nulled, then types inferred.
 
     Types are inferred after the tokens are gone, so one ``N/A`` does not turn a number
-    column into text. All columns are judged in one pass. ``multi_line`` allows line feeds inside
-    quoted values, at the price of one task per file; turn it off for large files without any.
+    column into text. All columns are judged in one pass. Whether quoted values hold line feeds is found
+    by a scan, and files are read in splits either way (``quoted``). ``multi_line`` names Spark's reader instead:
+    off, line feeds always end a row; on, one task reads a whole file.
     """
     fmt = fmt or ("csv" if str(path).lower().endswith(".csv") else "parquet")
     if fmt == "parquet":
@@ -36,7 +38,10 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema=No
     if fmt != "csv":
         raise ValueError(f"unsupported format: {fmt}")
     tokens = NA_TOKENS if na_tokens is None else list(na_tokens)
-    raw = spark.read.options(**CSV).option("multiLine", multi_line).csv(path)
+    records = quoted_records(spark, path) if multi_line is None else None
+    raw = spark.read.options(**CSV).option("multiLine", bool(multi_line) or records is not None).csv(path)
+    if records is not None:
+        raw = parsed(records, raw.columns, CSV)
     text = raw.select(*[F.when(~col(c).isin(tokens), col(c)).alias(c) for c in raw.columns])
     if schema is not None:
         fields = {f.name: f.dataType for f in schema.fields}

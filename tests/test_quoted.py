@@ -93,7 +93,7 @@ def test_repeated_names_and_ragged_rows(spark, tmp_path):
 
 @pytest.mark.parametrize(("line", "outside", "inside"), [
     (b"a,b", False, True), (b'"a', True, False), (b'a"', False, False), (b'a,"b', True, False), (b'"a""', True, False),
-    (b'"a",b', False, False), (b'"a","b', True, False), (b'x",y', False, False), (b'x","y', True, True), (b'""', False, True), (b'"""', True, False), (b"", False, True),
+    (b'"a",b', False, False), (b'"a","b', True, True), (b'x",y', False, False), (b'x","y', True, True), (b'""', False, True), (b'"""', True, False), (b"", False, True),
 ])
 def test_states(line, outside, inside):
     assert (quoted.ends_inside(line, False), quoted.ends_inside(line, True)) == (outside, inside)

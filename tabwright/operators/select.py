@@ -11,9 +11,11 @@ from pyspark.sql import types as T
 
 from tabwright.functions.numbers import parse_number_loose
 from tabwright.operators.encode import impute_median
+from tabwright.operators.neighbor_info import neighbor_mutual_info
 from tabwright.operators.profile import HEAVY, corr_matrix, num, numbers, numeric_gate, per_column, prune_lists, varying_corr
 from tabwright.operators.scale import RANK_ROWS, chunks, col, exact_quantiles, local_frame, running_totals, small_side
 from tabwright.operators.valuecounts import cols_of_kind, distinct_counts, is_numeric, long_values
+from tabwright.session import checkpointed
 
 AGGREGATED_FEATURES = 100
 MOMENTS = 10  # correlations per job
@@ -123,6 +125,25 @@ def mutual_info(df: DataFrame, target: str, bins: int = 32, features: Sequence[s
     return joined.groupBy("feature").agg(F.greatest(F.sum(term), F.lit(0.0)).alias("mutual_info"))
 
 
+def select_classification(df: DataFrame, target: str, features: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """Scores and correlations for a class target.
+
+    ``scores`` has (feature, chi2, mutual_info, rank) by mutual information, ties by name: text is numbered in text order, chi2 is
+    taken after a shift to a zero minimum, mutual information by nearest neighbours. ``matrix`` correlates the numeric columns.
+    """
+    names = [c for c in (features or df.columns) if c != target]
+    kept = df.where(col(target).isNotNull()).select(*[col(c) for c in [*names, target]])
+    flags = [c for c in names if isinstance(df.schema[c].dataType, T.BooleanType)]
+    text = [c for c in names if c not in flags and not is_numeric(df.schema[c].dataType)]
+    coded = kept.withColumns({c: col(c).cast("int") for c in flags}) if flags else kept
+    coded = checkpointed(label_encode(coded, text) if text else coded)
+    chi2 = chi2_scores(shift_nonneg(coded, names), target, names)
+    found = neighbor_mutual_info(coded, target, names).join(chi2, "feature", "left")  # a row per feature
+    w = Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("mutual_info"), "feature")
+    scores = found.select("feature", "chi2", "mutual_info", F.row_number().over(w).alias("rank"))
+    return {"scores": scores, "matrix": corr_matrix(df)}
+
+
 def variance_filter(df: DataFrame, threshold: float = 0.01, columns: Sequence[str] | None = None) -> DataFrame:
     """(feature, variance, keep) by population variance."""
     names = list(columns) if columns is not None else cols_of_kind(df, "numeric")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabwright.operators import encode, knn, metrics, report, select, split
+from tabwright.operators import encode, knn, metrics, neighbor_info, report, select, split
 from tabwright.queries.base import LINE_KEY, add, on, rounded, sql_of, table, view
 
 KEY_HASH = f"md5(concat_ws('#', {', '.join(f'CAST({c} AS VARCHAR)' for c in LINE_KEY)}, 'split', '42'))"
@@ -55,6 +55,32 @@ def mi_sql(feature: str, target: str, source: str, numeric: bool) -> str:
 
 add("mutual_info", on("lineitem", lambda df: rounded(select.mutual_info(df, "l_returnflag", features=[*FEATURES, "l_linestatus"]), 6, "mutual_info")),
     " UNION ALL ".join([*(mi_sql(c, "l_returnflag", "lineitem", True) for c in FEATURES), mi_sql("l_linestatus", "l_returnflag", "lineitem", False)]))
+
+
+def neighbor_mi_sql(feature: str, target: str, source: str) -> str:
+    """Three neighbours by lags and leads of the rows themselves, digammas from harmonic numbers; every class has four rows or more."""
+    reach = ", ".join(f"CASE WHEN lag(v, {a}) OVER w IS NOT NULL AND lead(v, {3 - a}) OVER w IS NOT NULL THEN greatest(v - lag(v, {a}) OVER w, lead(v, {3 - a}) OVER w - v) END" for a in range(4))
+    psi = "(SELECT s FROM h WHERE h.i = {})"
+    return f"""SELECT '{feature}' AS feature, (WITH t AS (SELECT CAST({feature} AS DOUBLE) AS v, {target} AS y FROM {source} WHERE {feature} IS NOT NULL),
+        h AS (SELECT i, coalesce(sum(1.0::DOUBLE / (i - 1)) FILTER (WHERE i > 1) OVER (ORDER BY i), 0) AS s FROM (SELECT unnest(range(1, (SELECT count(*) FROM t) + 1)) AS i)),
+        near AS (SELECT v, count(*) OVER (PARTITION BY y) AS c, list_min([{reach}]) AS r FROM t WINDOW w AS (PARTITION BY y ORDER BY v)),
+        cum AS (SELECT v, count(*) AS n, sum(count(*)) OVER (ORDER BY v) AS upto FROM t GROUP BY v),
+        m AS (SELECT c, CASE WHEN r > 0 THEN a.upto - coalesce(b.upto, 0) ELSE e.n END AS m FROM near
+              ASOF LEFT JOIN cum a ON near.v + near.r > a.v ASOF LEFT JOIN cum b ON near.v - near.r >= b.v LEFT JOIN cum e ON e.v = near.v),
+        g AS (SELECT c, m, count(*) AS k FROM m GROUP BY c, m)
+        SELECT greatest({psi.format("(SELECT count(*) FROM t)")} + 1.5 - (SELECT sum(k * s) / sum(k) FROM g JOIN h ON h.i = g.c) - (SELECT sum(k * s) / sum(k) FROM g JOIN h ON h.i = g.m), 0)) AS mutual_info"""
+
+
+for _name, _more in (("mutual_info_neighbors", {}), ("mutual_info_neighbors_blocks", {"rank_rows": 5000, "block": 700})):
+    add(_name, on("lineitem", lambda df, o=_more: rounded(neighbor_info.neighbor_mutual_info(df, "l_returnflag", FEATURES, **o), 6, "mutual_info")),
+        " UNION ALL ".join(f"SELECT feature, round(mutual_info, 6) AS mutual_info FROM ({neighbor_mi_sql(c, 'l_returnflag', 'lineitem')})" for c in FEATURES))
+CODED = "(SELECT l_returnflag, l_quantity, l_discount - 0.05 AS shifted, dense_rank() OVER (ORDER BY l_linestatus) - 1 AS l_linestatus FROM lineitem)"
+add("select_classification", on("lineitem", lambda df: rounded(select.select_classification(
+    df.select("l_returnflag", "l_quantity", (F.col("l_discount") - 0.05).alias("shifted"), "l_linestatus"), "l_returnflag")["scores"], 4, "chi2", "mutual_info")), f"""
+    WITH c AS (SELECT *, shifted - least((SELECT min(shifted) FROM {CODED}), 0) AS up FROM {CODED}),
+    x AS ({" UNION ALL ".join(f"SELECT '{n}' AS feature, sum((o - t * k / n) ** 2 / (t * k / n)) AS chi2 FROM (SELECT sum({v}) AS o, count(*) AS k FROM c GROUP BY l_returnflag), (SELECT sum({v}) AS t, count(*) AS n FROM c)" for n, v in (("l_quantity", "l_quantity"), ("shifted", "up"), ("l_linestatus", "l_linestatus")))}),
+    i AS ({" UNION ALL ".join(neighbor_mi_sql(c, "l_returnflag", CODED) for c in ("l_quantity", "shifted", "l_linestatus"))})
+    SELECT feature, round(chi2, 4) AS chi2, round(mutual_info, 4) AS mutual_info, CAST(row_number() OVER (ORDER BY mutual_info DESC, feature) AS INTEGER) AS rank FROM x JOIN i USING (feature)""")
 add("variance_filter", on("line_sample", lambda df: rounded(select.variance_filter(df), 3, "variance")), " UNION ALL ".join(
     f"SELECT '{c}' AS feature, round(var_pop({c}), 3) AS variance, var_pop({c}) > 0.01 AS keep FROM lineitem" for c in FEATURES))
 CORRELATED = "SELECT l_extendedprice, l_quantity, l_tax, l_discount, l_extendedprice * (1 - l_discount) AS net, -l_extendedprice * (1 + l_tax) AS minus_gross FROM {lineitem}"

@@ -61,10 +61,10 @@ def neighbors(
     """
     t = train.select(col(id_col).cast("bigint").alias("tid"), col(label).cast("string").alias("label"), col(features).cast("array<double>").alias("x"))
     q = test.select(col(id_col).cast("bigint").alias("id"), col(features).cast("array<double>").alias("x"))
-    first = t.first()
-    if first is None:
+    rows, longest = t.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+    if not rows:
         raise ValueError("no train rows")
-    limit = max(1, max_values // max(1, len(first["x"])))
+    limit = max(1, max_values // max(1, longest))
     rows = t.limit(limit + 1).toPandas()
     found = _near_all(rows, q, k) if len(rows) <= limit else _near_cells(t, q, k, pivots, block_rows)
     return found.select("id", F.col("tid").alias("neighbor_id"), "label", F.sqrt("d2").alias("distance"), "rank")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabwright.operators import encode, knn, metrics, neighbor_info, report, select, split
+from tabwright.operators import encode, knn, knn_approx, metrics, neighbor_info, report, select, split
 from tabwright.queries.base import LINE_KEY, add, on, rounded, sql_of, table, view
 
 KEY_HASH = f"md5(concat_ws('#', {', '.join(f'CAST({c} AS VARCHAR)' for c in LINE_KEY)}, 'split', '42'))"
@@ -137,6 +137,21 @@ KNN = """
 add("knn_uniform", _knn("uniform"), KNN.format(weight="count(*)"))
 add("knn_distance", _knn("distance"), KNN.format(weight="sum(1 / dist)"))
 
+
+
+def _knn_recall(spark, folder):
+    """Approximate neighbours of a fifth of the rows, held against the exact ones."""
+    rows = table(spark, folder, "embeddings")
+    train, test = rows.where("vec_id % 5 <> 0"), rows.where("vec_id % 5 = 0")
+    near, _ = knn_approx.approx_neighbors(train, test, 5, 0.95, features="embedding", id_col="vec_id")
+    exact = knn.neighbors(train, test, 5, features="embedding", id_col="vec_id")
+    found = [df.select("id", "rank", (F.col("distance") ** 2).alias("d2")) for df in (near, exact)]
+    share = knn_approx.recall_of(found[0].withColumn("d2", F.col("d2") * (1 - 1e-9)), found[1])
+    return near.agg(F.countDistinct("id").alias("queries"), F.count(F.lit(1)).alias("neighbors")).withColumn("enough", F.lit(share >= 0.9))
+
+
+add("knn_approx_recall", _knn_recall, "SELECT count(*) AS queries, 5 * count(*) AS neighbors, true AS enough FROM embeddings WHERE vec_id % 5 = 0")
+
 BINARY, MULTI = sql_of("pred_rows"), sql_of("pred_classes")
 
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +12,7 @@ from pyspark.sql import types as T
 from tabwright.functions.numbers import finite, parse_number_loose, unbiased_skew
 from tabwright.operators.dedupe import duplicate_rows
 from tabwright.operators.scale import chunks, col, exact_quantiles, local_frame
+from tabwright.operators.subspace import tiled_corr
 from tabwright.operators.valuecounts import (
     cols_of_kind,
     distinct_counts,
@@ -28,8 +27,6 @@ from tabwright.operators.valuecounts import (
 HEAVY = 24            # moment aggregates per job; more make generated code too large for the JIT
 LIGHT = 160           # plain counts per job
 JVM_PAIRS = 12        # correlations worth single aggregates; more go through matrix products
-FLAT = 1e-12  # share of a column's squares below which its variance is rounding
-PRODUCT_TASKS = 4096  # each task of a matrix product returns one row per pair of columns
 
 
 def num(name: str) -> Column:
@@ -177,7 +174,7 @@ def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None, digits: int
         ])
         out = wide.select(F.inline(cells))
     else:
-        out = _product_corr(values, names)
+        out = tiled_corr(values, names)
     value = F.when(~F.isnan("corr"), F.col("corr"))
     return out.select("x", "y", (F.round(value, digits) if digits is not None else value).alias("corr"))
 
@@ -190,44 +187,6 @@ def varying_corr(a: Column, b: Column) -> Column:
     return F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.covar_pop(a, b) / spread)
 
 
-def _product_corr(values: DataFrame, names: list[str]) -> DataFrame:
-    """Correlations of many pairs from matrix products of Arrow batches.
-
-    Each task adds up, for every pair, the sums over the rows where both values are present,
-    of columns centred on their means, and returns them once; a group-by adds the tasks.
-    """
-    ends = values.agg(*[F.struct(F.avg(col(c)).alias("m"), F.min(col(c)).alias("low"), F.max(col(c)).alias("high")).alias(f"m{i}") for i, c in enumerate(names)]).first()
-    # a constant is its own centre to the last bit, so that rounding leaves no variance
-    centre = np.array([0.0 if e.m is None else e.low if e.low == e.high else e.m for e in ends])
-
-    def products(batches):
-        total = None
-        for pdf in batches:
-            x = pdf.to_numpy(dtype="float64") - centre
-            there = ~np.isnan(x)
-            x, there = np.where(there, x, 0.0), there.astype("float64")
-            part = np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
-            total = part if total is None else total + part
-        if total is not None:
-            i, j = np.indices(total.shape[1:])
-            yield pd.DataFrame({
-                "i": i.ravel(), "j": j.ravel(), "n": total[0].ravel(), "a": total[1].ravel(), "b": total[1].T.ravel(),
-                "aa": total[2].ravel(), "bb": total[2].T.ravel(), "ab": total[3].ravel(),
-            })
-
-    schema = "i int, j int, n double, a double, b double, aa double, bb double, ab double"
-    sums = values.coalesce(PRODUCT_TASKS).mapInPandas(products, schema).groupBy("i", "j").agg(
-        *[F.sum(c).alias(c) for c in ("n", "a", "b", "aa", "bb", "ab")]
-    )
-    n = F.nullif("n", F.lit(0.0))
-    var_a, var_b = F.col("aa") - F.col("a") ** 2 / n, F.col("bb") - F.col("b") ** 2 / n
-    corr = F.when((n > 1) & (var_a > FLAT * F.col("aa")) & (var_b > FLAT * F.col("bb")), (F.col("ab") - F.col("a") * F.col("b") / n) / F.sqrt(var_a * var_b))
-    label = F.array(*[F.lit(c) for c in names])
-    return sums.select(
-        F.get(label, F.col("i")).alias("x"), F.get(label, F.col("j")).alias("y"), F.when(corr.isNotNull(), F.greatest(F.least(corr, F.lit(1.0)), F.lit(-1.0))).alias("corr")
-    )
-
-
 def most_variable(df: DataFrame) -> DataFrame:
     """(column, variance) of the numeric column with the highest variance; the first on a tie."""
     names = cols_of_kind(df, "numeric")

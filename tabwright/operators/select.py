@@ -14,12 +14,13 @@ from tabwright.operators.encode import impute_median
 from tabwright.operators.neighbor_info import neighbor_mutual_info
 from tabwright.operators.profile import HEAVY, corr_matrix, num, numbers, numeric_gate, per_column, prune_lists, varying_corr
 from tabwright.operators.scale import RANK_ROWS, chunks, col, exact_quantiles, local_frame, running_totals, small_side
+from tabwright.operators.subspace import component_ratios
 from tabwright.operators.valuecounts import cols_of_kind, distinct_counts, is_numeric, long_values
 from tabwright.session import checkpointed
 
 AGGREGATED_FEATURES = 100
 MOMENTS = 10  # correlations per job
-PCA_FEATURES = 5000  # the covariance matrix is square in this and sits on the driver
+PCA_FEATURES = 1000  # up to here the covariance matrix sits on the driver, beyond it is never built
 LEAK_CORR = 0.999
 ID_RATIO = 0.98
 
@@ -166,19 +167,24 @@ def array_size(df: DataFrame, column: str) -> int:
     return low
 
 
-def pca_ratio(df: DataFrame, k: int = 5, columns: Sequence[str] | None = None) -> DataFrame:
-    """(component, ratio): share of variance of the first k principal components; nulls count as the median of their feature."""
+def pca_ratio(df: DataFrame, k: int = 5, columns: Sequence[str] | None = None, square: int = PCA_FEATURES) -> DataFrame:
+    """(component, ratio): share of variance of the first k principal components; nulls count as the median of their feature.
+
+    More than ``square`` features are taken by subspace iteration, to the same ratios.
+    """
     names = list(columns) if columns is not None else cols_of_kind(df, "numeric")
-    if len(names) > PCA_FEATURES:
-        raise ValueError(f"{len(names)} features: their covariance matrix is too large for the driver")
     rows = df.select(*[num(c).alias(c) for c in names])
-    known = rows.agg(F.count(F.lit(1)), *[F.count(col(c)) for c in names]).first()
-    empty = [c for c, n in zip(names, known[1:], strict=True) if n == 0]
+    filled = {c: n for part in chunks(names, AGGREGATED_FEATURES) for c, n in rows.agg(*[F.count(col(c)).alias(c) for c in part]).first().asDict().items()}
+    empty = [c for c in names if filled[c] == 0]
     if empty:
         raise ValueError(f"no number in {', '.join(empty)}")
-    gaps = [c for c, n in zip(names, known[1:], strict=True) if n < known[0]]
-    if gaps:
-        rows = impute_median(rows, gaps)
+    total = rows.count()
+    gaps = [c for c in names if filled[c] < total]
+    for part in chunks(gaps, AGGREGATED_FEATURES):
+        rows = impute_median(rows, part)
+    if len(names) > square:
+        ratios = component_ratios(rows.select(F.array(*[col(c) for c in names]).alias("_features")), "_features", len(names), k)
+        return local_frame(df.sparkSession, list(enumerate(ratios, 1)), "component int, ratio double")
     features = VectorAssembler(inputCols=names, outputCol="_features").transform(rows).select("_features")
     model = PCA(k=min(k, len(names)), inputCol="_features", outputCol="_pca").fit(features)
     ratios = [(i + 1, float(v)) for i, v in enumerate(model.explainedVariance.toArray())]

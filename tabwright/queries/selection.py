@@ -116,6 +116,38 @@ def _vectors(spark, folder):
     return select.array_columns(rows, "embedding", select.array_size(rows, "embedding")).drop("vec_id", "label")
 
 
+PAIR = ["l_quantity", "l_extendedprice"]
+PAIR_PCA = """
+    SELECT CAST(c AS INTEGER) AS component, round(0.5 + (3 - 2 * c) * sqrt(((a - b) / 2) ** 2 + k ** 2) / (a + b), 6) AS ratio
+    FROM (SELECT var_samp(l_quantity) AS a, var_samp(l_extendedprice) AS b, covar_samp(l_quantity, l_extendedprice) AS k FROM lineitem), (SELECT unnest([1, 2]) AS c)"""
+for _name, _square in (("pca_ratio_pair", 1000), ("pca_ratio_subspace", 1)):
+    add(_name, on("lineitem", lambda df, q=_square: rounded(select.pca_ratio(df, 2, PAIR, q), 6, "ratio")), PAIR_PCA)
+
+
+def _clustering_parts(spark, folder):
+    """All four parts of the selection, one under the other."""
+    rows = table(spark, folder, "lineitem").select(*PAIR, F.lit(1.0).alias("same"))
+    parts = select.select_clustering(rows)
+    shown = [
+        parts["variance"].select(F.lit("variance").alias("part"), F.col("feature").alias("name"), F.col("keep").cast("string").alias("other"), F.round("variance", 2).alias("value")),
+        parts["matrix"].select(F.lit("matrix").alias("part"), F.col("x").alias("name"), F.col("y").alias("other"), F.round("corr", 6).alias("value")),
+        parts["pca"].select(F.lit("pca").alias("part"), F.col("component").cast("string").alias("name"), F.lit("").alias("other"), F.round("ratio", 6).alias("value")),
+        parts["sample"].select(F.lit("sample").alias("part"), F.col("l_quantity").cast("string").alias("name"), F.lit("").alias("other"), F.col("l_extendedprice").cast("double").alias("value")),
+    ]
+    out = shown[0]
+    for part in shown[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+add("select_clustering_parts", _clustering_parts, f"""
+    WITH t AS (SELECT l_quantity, l_extendedprice, 1.0::DOUBLE AS same FROM lineitem), names AS (SELECT unnest(['l_quantity', 'l_extendedprice', 'same']) AS n)
+    {" ".join(f"SELECT 'variance' AS part, '{c}' AS name, CAST(var_pop({c}) > 0.01 AS VARCHAR) AS other, round(var_pop({c}), 2) AS value FROM t UNION ALL" for c in (*PAIR, "same"))}
+    SELECT 'matrix', a.n, b.n, CASE WHEN 'same' IN (a.n, b.n) THEN NULL WHEN a.n = b.n THEN 1.0 ELSE (SELECT round(corr(l_quantity, l_extendedprice), 6) FROM t) END FROM names a, names b
+    UNION ALL SELECT 'pca', CAST(component AS VARCHAR), '', ratio FROM ({PAIR_PCA})
+    UNION ALL (SELECT 'sample', CAST(l_quantity AS VARCHAR), '', CAST(l_extendedprice AS DOUBLE) FROM t ORDER BY l_quantity, l_extendedprice LIMIT 5)""")
+
+
 add("pca_ratio", lambda s, d: rounded(select.pca_ratio(_vectors(s, d), 5), 8, "ratio"))
 add("select_clustering", lambda s, d: select.select_clustering(_vectors(s, d))["variance"])
 

@@ -9,7 +9,6 @@ any Spark ML stage and also works on streams.
 from __future__ import annotations
 
 import json
-import uuid
 from difflib import SequenceMatcher
 from math import ceil
 
@@ -17,19 +16,20 @@ import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabwright.functions.dates import date_parts, parse_date
+from tabwright.functions.dates import date_parts, parse_date, vote_orders
 from tabwright.functions.numbers import clip, finite, log1p_clipped, missing_flag, parse_bool, parse_number, unbiased_skew
 from tabwright.functions.text import apply_alias, flatten_nested, normalized, truncate
 from tabwright.operators.infer import fixed_kinds, kind_rule, kind_stats, text_stats
 from tabwright.operators.profile import HEAVY, per_column
-from tabwright.operators.scale import col, exact_quantiles, local_frame, small_side
+from tabwright.operators.scale import col, exact_quantiles, local_frame, lookup
 from tabwright.operators.schema import align_schema, normalize_names
 from tabwright.operators.valuecounts import value_count_table
+from tabwright.session import shared_path
 
 OTHER = "__other__"
 BOX = "_carried"
@@ -124,7 +124,7 @@ class RobustCleaner(Estimator, _CleanerParams, DefaultParamsReadable, DefaultPar
         fixed, text = fixed_kinds(flat)
         kinds = dict(fixed)
         state: dict[str, dict] = {}
-        vc = None
+        vc, orders = None, {}
         if text:
             raw = value_count_table(flat, text)
             vc = normalized(raw, ["value"], lower=False, compose=self._get("compose")).persist()
@@ -134,6 +134,8 @@ class RobustCleaner(Estimator, _CleanerParams, DefaultParamsReadable, DefaultPar
             for c in text:
                 kinds.setdefault(c, "categorical")
         try:
+            dates = [c for c in text if kinds[c] == "datetime"]
+            orders = vote_orders(vc.where(F.col("column").isin(dates))) if dates else {}
             categories = [c for c in text if kinds[c] == "categorical"]
             if categories:
                 state.update(self._fit_categories(vc, categories, rows))
@@ -142,7 +144,7 @@ class RobustCleaner(Estimator, _CleanerParams, DefaultParamsReadable, DefaultPar
                 vc.unpersist()
         measured = [c for c in flat.columns if kinds[c] != "categorical"]
         if measured:
-            state.update(self._fit_measured(flat, measured, kinds, rows))
+            state.update(self._fit_measured(flat, measured, kinds, rows, orders))
         manifest = {
             "rows": rows,
             "columns": [
@@ -185,6 +187,8 @@ class RobustCleaner(Estimator, _CleanerParams, DefaultParamsReadable, DefaultPar
         moved = fuzzy_map(aliased).where("value <> canonical").collect()  # at most 500 per column
         for c in columns:
             state[c].update(spellings={}, rare=0, categories=[])
+        for r in aliased.groupBy("column").count().where(F.col("count") > FUZZY_VALUES).collect():
+            state[r["column"]]["unmerged"] = r["count"]
         for r in moved:
             state[r["column"]]["spellings"][r["value"]] = r["canonical"]
         spelled = aliased.sparkSession.createDataFrame([tuple(r) for r in moved], "column string, value string, canonical string")
@@ -204,9 +208,9 @@ class RobustCleaner(Estimator, _CleanerParams, DefaultParamsReadable, DefaultPar
         finally:
             judged.unpersist()
 
-    def _fit_measured(self, flat, columns, kinds, rows):
+    def _fit_measured(self, flat, columns, kinds, rows, orders):
         compose = self._get("compose")
-        base = base_table(flat, {c: kinds[c] for c in columns}, compose)
+        base = base_table(flat, {c: kinds[c] for c in columns}, compose, orders=orders)
         as_number = {c: F.unix_micros(col(c)).cast("double") if kinds[c] == "datetime" else col(c) for c in columns}
         stats = per_column(base, {
             c: {
@@ -221,7 +225,7 @@ class RobustCleaner(Estimator, _CleanerParams, DefaultParamsReadable, DefaultPar
             if r["n"] == 0 or r["lo"] == r["hi"]:
                 state[c] = {"drop": "zero_variance"}
                 continue
-            state[c] = {"missing": r["n"] < rows}
+            state[c] = {"missing": r["n"] < rows} | ({"order": orders[c]} if c in orders else {})
             if kinds[c] == "numeric" and r["n"] >= 20 and r["skew"] is not None and abs(r["skew"]) >= 2.0 and r["lo"] >= 0:
                 state[c]["log"] = True
         clipped = [c for c in columns if kinds[c] == "numeric" and "drop" not in state[c] and found[c]["n"] >= 10]
@@ -233,20 +237,16 @@ class RobustCleaner(Estimator, _CleanerParams, DefaultParamsReadable, DefaultPar
 
 
 def _written_dictionary(values: DataFrame) -> str:
-    """A long category list as a table in the shared folder; returns its path."""
-    spark = values.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        raise ValueError("set spark.checkpoint.dir: a long category list is kept as a table there")
-    path = f"{root.rstrip('/')}/categories-{uuid.uuid4().hex}"
+    """A long category list as a table in the shared folder; returns its path. Saving the model copies it into the model."""
+    path = shared_path(values.sparkSession, "categories")
     values.select("value").write.parquet(path)
     return path
 
 
 def base_table(
-    df: DataFrame, kinds: dict[str, str], compose: bool = False, max_length: int = 5000, carry: tuple[str, ...] = ()
+    df: DataFrame, kinds: dict[str, str], compose: bool = False, max_length: int = 5000, carry: tuple[str, ...] = (), orders: dict[str, str] | None = None,
 ) -> DataFrame:
-    """The columns in ``kinds`` converted to their kind; what does not convert is null."""
+    """The columns in ``kinds`` converted to their kind; what does not convert is null. ``orders`` are the date orders of columns."""
     df = df.select(*carry, *[col(c) for c in kinds])
     text = [c for c, k in kinds.items() if isinstance(df.schema[c].dataType, (T.StringType, T.NullType)) or k == "categorical"]
     clean = normalized(df, text, lower=False, compose=compose)
@@ -257,14 +257,44 @@ def base_table(
             return truncate(F.lower(v), max_length)
         if c not in text:
             return v.cast("timestamp") if kind == "datetime" else finite(v)
-        return {"boolean": lambda: parse_bool(v, cleaned=True), "numeric": lambda: parse_number(v, cleaned=True), "datetime": lambda: parse_date(v)}[kind]()
+        return {"boolean": lambda: parse_bool(v, cleaned=True), "numeric": lambda: parse_number(v, cleaned=True), "datetime": lambda: parse_date(v, order=(orders or {}).get(c))}[kind]()
 
     return clean.select(*carry, *[convert(c).alias(c) for c in kinds])
 
 
+class _ModelWriter(DefaultParamsWriter):
+    """Writes the parameters, and long category lists beside them, so that a saved model needs no other folder."""
+
+    def saveImpl(self, path: str) -> None:
+        model, spark = self.instance, self.sparkSession
+        state = model.state
+        for i, c in enumerate(state["columns"]):
+            if "dictionary" in c:
+                spark.read.parquet(c["dictionary"]).write.parquet(f"{path}/categories/{i}")
+                c["dictionary"] = f"categories/{i}"
+        DefaultParamsWriter.saveMetadata(model.copy({model.manifest: json.dumps(state)}), path, spark)
+
+
+class _ModelReader(DefaultParamsReader):
+    def load(self, path: str) -> RobustCleanerModel:
+        model = super().load(path)
+        state = model.state
+        for c in state["columns"]:
+            if "dictionary" in c:
+                c["dictionary"] = f"{path}/{c['dictionary']}"
+        return model._set(manifest=json.dumps(state))
+
+
 class RobustCleanerModel(Model, DefaultParamsReadable, DefaultParamsWritable):
     """Applies a fitted cleaner: aligns the schema, converts, clips, maps categories, flags gaps."""
 
+    def write(self) -> _ModelWriter:
+        return _ModelWriter(self)
+
+    @classmethod
+    def read(cls) -> _ModelReader:
+        return _ModelReader(cls)
+
     manifest = Param(Params._dummy(), "manifest", "fitted state as JSON", TypeConverters.toString)
     compose = Param(Params._dummy(), "compose", "apply Unicode compatibility composition", TypeConverters.toBoolean)
     maxTextLength = Param(Params._dummy(), "maxTextLength", "characters of a category kept", TypeConverters.toInt)
@@ -307,7 +337,7 @@ class RobustCleanerModel(Model, DefaultParamsReadable, DefaultParamsWritable):
         boxed = dataset.select(*[col(c) for c in dataset.columns if c not in carry], *([F.struct(*[col(c) for c in carry]).alias(BOX)] if carry else []))
         fields = [(c["name"], c["type"]) for c in self.kept()]
         aligned = align_schema(flatten_nested(boxed, (BOX,)), fields, (BOX,) if carry else ())
-        base = base_table(aligned, {c["name"]: c["kind"] for c in self.kept()}, compose, length, (BOX,) if carry else ())
+        base = base_table(aligned, {c["name"]: c["kind"] for c in self.kept()}, compose, length, (BOX,) if carry else (), {c["name"]: c["order"] for c in self.kept() if "order" in c})
         for i, c in enumerate(self.kept()):
             if c["kind"] == "categorical":
                 base = self._category(base, c, i)
@@ -336,7 +366,7 @@ class RobustCleanerModel(Model, DefaultParamsReadable, DefaultParamsWritable):
             base, v = staged, F.coalesce(F.try_element_at(table, col(name)), col(name))
         if "dictionary" in c:
             known = base.sparkSession.read.parquet(c["dictionary"]).select(F.col("value").alias(f"_known{i}"))
-            joined = base.withColumn(name, v).join(small_side(known), col(name) == F.col(f"_known{i}"), "left")
+            joined = lookup(base.withColumn(name, v), col(name), known, f"_known{i}")
             kept = F.col(f"_known{i}").isNotNull()
             return joined.withColumn(name, F.when(kept, col(name)).when(col(name).isNotNull(), OTHER)).drop(f"_known{i}")
         staged = base.withColumn(name, v)
@@ -351,6 +381,14 @@ class RobustCleanerModel(Model, DefaultParamsReadable, DefaultParamsWritable):
             if "drop" in c:
                 rows += [("dropped", n, c["drop"])]
                 continue
+            if c.get("spellings"):
+                rows.append(("merged_spellings", n, str(len(c["spellings"]))))
+            if c.get("unmerged"):
+                rows.append(("spellings_too_many_to_merge", n, str(c["unmerged"])))
+            if "order" in c:
+                rows.append(("date_order", n, c["order"]))
+            if "dictionary" in c:
+                rows.append(("categories_kept_as_table", n, ""))
             if c.get("rare"):
                 rows.append(("rare_categories", n, str(c["rare"])))
             if c.get("missing"):

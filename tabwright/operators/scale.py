@@ -21,6 +21,7 @@ EXACT_ROWS = 1_000_000        # values of a column one task may hold for an exac
 SKETCH_K = 4000               # quantile sketch size, about 0.1 % rank error
 SKETCH_GROUPS = 256           # first level of the sketch merge tree
 HASH_DIGITS = 4               # 65,536 hash buckets for cuts
+SALT = 32                     # copies of a long side that a table is looked up in
 RANK_ROWS = 1_000_000         # rows one window may rank without range partitioning
 
 
@@ -49,6 +50,21 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def lookup(df: DataFrame, key: Column, side: DataFrame, name: str, max_rows: int = BROADCAST_ROWS, salt: int = SALT) -> DataFrame:
+    """The rows with the columns of the ``side`` row whose ``name`` equals ``key``, nulls where there is none; ``side`` has each key once.
+
+    A side of at most ``max_rows`` rows is broadcast. A longer one is joined in ``salt`` copies, so that a value, or the null,
+    that fills much of the table is spread over as many tasks.
+    """
+    rows = side.limit(max_rows + 1).collect()
+    if len(rows) <= max_rows:
+        return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, side.schema)), key == col(name), "left")
+    hashable = [col(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    spread = df.withColumns({"_lookup": key, "_salt": F.pmod(F.xxhash64(*hashable), F.lit(salt))})
+    copies = side.where(col(name).isNotNull()).withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salt - 1).cast("bigint"))))
+    return spread.join(copies, (F.col("_lookup") == col(name)) & (F.col("_salt") == F.col("_copy")), "left").drop("_lookup", "_salt", "_copy")
+
+
 # --- exact quantiles -----------------------------------------------------------------
 
 def exact_quantiles(

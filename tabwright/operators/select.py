@@ -13,7 +13,7 @@ from tabwright.functions.numbers import parse_number_loose
 from tabwright.operators.encode import impute_median
 from tabwright.operators.neighbor_info import neighbor_mutual_info
 from tabwright.operators.profile import HEAVY, corr_matrix, num, numbers, numeric_gate, per_column, prune_lists, varying_corr
-from tabwright.operators.scale import RANK_ROWS, chunks, col, exact_quantiles, local_frame, running_totals, small_side
+from tabwright.operators.scale import RANK_ROWS, chunks, col, exact_quantiles, local_frame, lookup, running_totals
 from tabwright.operators.subspace import component_ratios
 from tabwright.operators.valuecounts import cols_of_kind, distinct_counts, is_numeric, long_values
 from tabwright.session import checkpointed
@@ -60,8 +60,7 @@ def label_encode(df: DataFrame, columns: Sequence[str], rank_rows: int = RANK_RO
     out = df
     for i, c in enumerate(columns):
         side = codes.where(F.col("column") == c).select(F.col("value").alias(f"_v{i}"), F.col("code").alias(f"_c{i}"))
-        out = out.join(small_side(side), F.coalesce(col(c).cast("string"), F.lit("nan")) == F.col(f"_v{i}"), "left")
-        out = out.drop(f"_v{i}")
+        out = lookup(out, F.coalesce(col(c).cast("string"), F.lit("nan")), side, f"_v{i}").drop(f"_v{i}")
     keep = [F.col(f"_c{columns.index(c)}").alias(c) if c in columns else col(c) for c in df.columns]
     return out.select(*keep)
 
@@ -222,10 +221,7 @@ def rank_features(df: DataFrame, target: str, task: str) -> DataFrame:
             reasons.setdefault(r["column"], "identifier")
     y = df
     if not is_numeric(df.schema[target].dataType):
-        y = df.join(
-            small_side(label_codes(df, [target]).select(F.col("value").alias("_v"), F.col("code").alias("_code"))),
-            F.coalesce(col(target).cast("string"), F.lit("nan")) == F.col("_v"), "left",
-        ).drop("_v", target).withColumnRenamed("_code", target)
+        y = label_encode(df, [target])
     corr = {r["feature"]: r["corr"] for r in rank_by_corr(y, target, features=numeric).collect()} if numeric else {}
     for c, v in corr.items():
         if v is not None and abs(v) >= LEAK_CORR:

@@ -39,6 +39,13 @@ VIEWS = {
                     WHEN 2 THEN concat(CAST(CAST(o_orderdate AS date) AS string), ' 10:30:05')
                     ELSE 'bad-date' END AS d
         FROM {orders}""",
+    "orders_clocks": """
+        SELECT o_orderkey,
+               concat(lpad(CAST(day(o_orderdate) AS string), 2, '0'), '/', lpad(CAST(month(o_orderdate) AS string), 2, '0'), '/', CAST(year(o_orderdate) AS string), ' ',
+                      CAST(CASE WHEN o_orderkey % 24 % 12 = 0 THEN 12 ELSE o_orderkey % 24 % 12 END AS string), ':', lpad(CAST(o_custkey % 60 AS string), 2, '0'),
+                      CASE o_orderkey % 3 WHEN 0 THEN '' ELSE ':07.123456789' END, CASE WHEN o_orderkey % 24 < 12 THEN ' am' ELSE ' PM' END,
+                      CASE o_orderkey % 5 WHEN 0 THEN ' EST' WHEN 1 THEN '+0200' ELSE '' END) AS d
+        FROM {orders}""",
     "part_units": """
         SELECT p_partkey, p_size,
                concat(CAST(p_size AS string), CASE WHEN p_partkey % 3 = 0 THEN ' g' ELSE ' kg' END) AS weight,

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabwright.functions import dates, numbers, text, units
-from tabwright.queries.base import add, on, rounded, sql_of
+from tabwright.operators import cleaner
+from tabwright.queries.base import add, on, rounded, sql_of, view
 
 SPACES = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+"
 CLEAN = "nullif(trim(regexp_replace(replace(regexp_replace({c}, '[\\x{{200B}}\\x{{200C}}\\x{{200D}}\\x{{FEFF}}]', '', 'g'), chr(65533), ''), '" + SPACES.replace("{", "{{").replace("}", "}}") + "', ' ', 'g')), '')"
@@ -39,6 +40,22 @@ add("parse_number_loose", on("part_units", only("p_partkey", lambda: dict(weight
            TRY_CAST(regexp_replace(lasts, '[^0-9.\\-]+', '', 'g') AS DOUBLE) AS lasts FROM {sql_of("part_units")}""")
 add("parse_date_dayfirst", on("orders_dates", only("o_orderkey", lambda: dict(d=dates.parse_date(F.col("d"), dayfirst=True).cast("timestamp_ntz")))), f"""
     SELECT o_orderkey, coalesce(TRY_CAST(d AS TIMESTAMP), try_strptime(d, '%d/%m/%Y')) AS d FROM {sql_of("orders_dates")}""")
+CLOCKS_SQL = """CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + to_hours(CAST(o_orderkey % 24 AS BIGINT)) + to_minutes(CAST(o_custkey % 60 AS BIGINT))
+    + CASE o_orderkey % 3 WHEN 0 THEN INTERVAL 0 SECOND ELSE INTERVAL 7123456 MICROSECOND END
+    + CASE o_orderkey % 5 WHEN 0 THEN INTERVAL 5 HOUR WHEN 1 THEN INTERVAL (-2) HOUR ELSE INTERVAL 0 HOUR END"""
+add("parse_date_clocks", on("orders_clocks", only("o_orderkey", lambda: dict(d=dates.parse_date(F.col("d"), dayfirst=True).cast("timestamp_ntz")))), f"SELECT o_orderkey, {CLOCKS_SQL} AS d FROM orders")
+
+
+def _voted(spark, folder):
+    """The cleaner's dates of a column that is written day first, which its days above the twelfth tell."""
+    rows = view(spark, folder, "orders_clocks").withColumnRenamed("d", "order_date")
+    model = cleaner.RobustCleaner(carry=["o_orderkey"]).fit(rows)
+    parts = ["year", "month", "day", "hour", "minute"]
+    return model.transform(rows).select("o_orderkey", *[F.col(f"order_date__{p}").cast("int").alias(p) for p in parts])
+
+
+add("date_order_vote", _voted, f"""
+    SELECT o_orderkey, {", ".join(f"CAST({p}(d) AS INTEGER) AS {p}" for p in ("year", "month", "day", "hour", "minute"))} FROM (SELECT o_orderkey, {CLOCKS_SQL} AS d FROM orders)""")
 add("parse_date_monthfirst", on("orders_dates", only("o_orderkey", lambda: dict(d=dates.parse_date(F.col("d")).cast("timestamp_ntz")))), f"""
     SELECT o_orderkey, coalesce(TRY_CAST(d AS TIMESTAMP), try_strptime(d, '%m/%d/%Y'), try_strptime(d, '%d/%m/%Y')) AS d FROM {sql_of("orders_dates")}""")
 add("time_of_day", on("events", only("event_id", lambda: dict(at=dates.time_of_day(F.col("ts"))))), "SELECT event_id, strftime(ts, '%H:%M:%S') AS at FROM events")

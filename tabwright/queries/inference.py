@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tabwright.operators import cleaner, infer
 from tabwright.operators.scale import local_frame
 from tabwright.operators.valuecounts import value_count_table
-from tabwright.queries.base import add, on, rounded, sql_of, table, view
+from tabwright.queries.base import add, on, rounded, scratch, sql_of, table, view
 
 TEXT = sql_of("orders_text")
 LONG = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS v FROM {TEXT}" for c in ("price", "order_date", "urgent", "status"))
@@ -87,6 +87,31 @@ add("unseen_categories", lambda s, d: _categories(s, d, True), f"""
 add("rare_table", on("customer_variants", lambda df: cleaner.rare_table(value_count_table(df, ["segment"]))), f"""
     SELECT 'segment' AS "column", segment AS value, count(*) AS n, count(*) < {RARE_LIMIT} AS rare FROM {sql_of("customer_variants")} GROUP BY segment""")
 add("fuzzy_map", on("part", lambda df: cleaner.fuzzy_map(value_count_table(df.select("p_name", "p_type"), ["p_name", "p_type"]))))
+# spellings of 100 words: as they are, with a letter more, with a blank inside
+SPELLED = """SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN md5(CAST(c_custkey % 100 AS string))
+    WHEN 1 THEN concat(md5(CAST(c_custkey % 100 AS string)), 'x') ELSE concat(substr(md5(CAST(c_custkey % 100 AS string)), 1, 9), ' ', substr(md5(CAST(c_custkey % 100 AS string)), 10)) END AS word FROM {customer}"""
+add("fuzzy_map_variants", lambda s, d: cleaner.fuzzy_map(value_count_table(s.sql(SPELLED, customer=table(s, d, "customer")), ["word"])), f"""
+    WITH v AS (SELECT DISTINCT word FROM ({SPELLED.format(customer="customer")})), g AS (SELECT word, substr(replace(word, ' ', ''), 1, 32) AS base FROM v)
+    SELECT 'word' AS "column", word AS value, first_value(word) OVER (PARTITION BY base ORDER BY length(word), word) AS canonical FROM g""")
+
+
+def _long_dictionary(spark, folder):
+    """A cleaner whose category list is a table, saved, loaded and applied."""
+    rows = table(spark, folder, "part").select("p_partkey", F.concat(F.col("p_name"), F.lit(" "), F.col("p_partkey") % 50).alias("name"), (F.col("p_size") * 1.0).alias("size"))
+    limit, cleaner.INLINE_CATEGORIES = cleaner.INLINE_CATEGORIES, 10
+    try:
+        model = cleaner.RobustCleaner(carry=["p_partkey"], rareMinCount=2, rareFreq=0.0, highCardinality=10_000_000).fit(rows)
+    finally:
+        cleaner.INLINE_CATEGORIES = limit
+    path = f"{scratch(spark)}/cleaner"
+    model.write().save(path)
+    loaded = cleaner.RobustCleanerModel.load(path)
+    return loaded.transform(rows.withColumn("name", F.when(F.col("p_partkey") % 9 > 0, F.col("name")))).select("p_partkey", "name")
+
+
+add("long_dictionary", _long_dictionary, """
+    WITH t AS (SELECT p_partkey, lower(p_name || ' ' || (p_partkey % 50)) AS name FROM part), n AS (SELECT name, count(*) AS n FROM t GROUP BY name)
+    SELECT p_partkey, CASE WHEN p_partkey % 9 > 0 THEN CASE WHEN n >= 2 THEN t.name ELSE '__other__' END END AS name FROM t JOIN n ON n.name = t.name""")
 KINDS_DROPPED = """SELECT o_orderkey, o_orderstatus, 'same' AS one_word, 7 AS one_number, concat('customer ', CAST(o_orderkey AS string)) AS many_words, CAST('2020-01-01' AS date) AS one_day FROM {orders}"""
 add("cleaner_drops", lambda s, d: cleaner.RobustCleaner().fit(s.sql(KINDS_DROPPED, orders=table(s, d, "orders"))).audit(s).where(
     "section = 'dropped'").select("column", F.col("value").alias("reason")), f"""

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabwright.session import checkpointed
+from tabwright.session import shared_path
 
 CLOSING = re.compile(rb'[^"]*(?:""[^"]*)*"(?!")')
 RECORD, HEAD, TAIL = 0, 1, 2
@@ -160,7 +160,9 @@ def quoted_records(spark: SparkSession, path: str) -> DataFrame | None:
     ends = split_ends(lines).collect()
     if not any(row["open"] for row in ends):
         return None
-    parts = checkpointed(record_parts(lines, begun_inside(ends)))
+    place = shared_path(spark, "records")
+    record_parts(lines, begun_inside(ends)).write.option("compression", "zstd").parquet(place)
+    parts = spark.read.parquet(place)
     return parts.where(F.col("part") == RECORD).select("first", F.col("text").cast("string").alias("text")).unionByName(_stitched(parts).select("first", "text"))
 
 

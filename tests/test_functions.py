@@ -105,3 +105,26 @@ def test_name_tokens():
     assert text.name_tokens("RainTomorrow") == ["rain", "tomorrow"]
     assert text.name_tokens("event_date2") == ["event", "date"]
     assert "y" not in text.name_tokens("city")
+
+
+CLOCK_CASES = {
+    "01/02/2024 3:30 PM": "2024-01-02 15:30:00", "01/02/2024 12:05 am": "2024-01-02 00:05:00", "1/2/2024 12:00 p.m.": "2024-01-02 12:00:00",
+    "2024-01-02T03:04:05.123456789Z": "2024-01-02 03:04:05.123456", "2024-01-02 10:00 EST": "2024-01-02 15:00:00", "5 March 2024 7 p.m.": "2024-03-05 19:00:00",
+    "Mar 5, 2024 07:08:09 PM GMT": "2024-03-05 19:08:09", "01-02-2024 10:00 +0100": "2024-01-02 09:00:00", "2024-01-02 10:00:00+05:30": "2024-01-02 04:30:00",
+    "31/12/1999 11:59:59 P.M. CET": "1999-12-31 22:59:59", "13/02/24": "2024-02-13 00:00:00", "may 1 2024": "2024-05-01 00:00:00",
+    "20240102": None, "3 PM": None, "2024-01-02 13:00 PM": None, "2024-13-45": None, "12-34-56-7890": None, "": None, None: None,
+}
+
+
+def test_clocks_with_halves_fractions_and_zones(spark):
+    rows = spark.createDataFrame([(k,) for k in CLOCK_CASES], "d string").select("d", dates.parse_date(F.col("d")).cast("string").alias("t")).collect()
+    assert {r.d: r.t for r in rows} == CLOCK_CASES
+
+
+def test_date_orders_are_voted_by_column(spark):
+    cells = {"dmy": ["01/02/2024", "13/02/2024", "2024-01-05"], "mdy": ["01/02/2024", "02/13/2024"], "iso": ["2024-01-05", "2024/13/01"], "even": ["01/02/2024 3 PM"], "ydm": ["2024-13-01"] * 3 + ["2024-01-02"], "none": ["x", None]}
+    values = spark.createDataFrame([(c, v, 1) for c, vs in cells.items() for v in vs], "column string, value string, n long")
+    assert dates.vote_orders(values) == {"dmy": "dmy", "mdy": "mdy", "iso": "ymd", "even": "mdy", "ydm": "ydm"}
+    assert dates.vote_orders(values, dayfirst=True)["even"] == "dmy"
+    parsed = spark.createDataFrame([("01/02/2024",), ("2024-01-05",), ("02/13/2024",)], "d string").select(dates.parse_date(F.col("d"), order="dmy").cast("date").cast("string").alias("t")).collect()
+    assert [r.t for r in parsed] == ["2024-02-01", "2024-01-05", "2024-02-13"]

@@ -181,3 +181,36 @@ def test_long_category_list_is_joined(spark, monkeypatch, tmp_path):
     assert sorted(tuple(r) for r in joined.transform(df).collect()) == want
     unseen = spark.createDataFrame([("never met", 1), (None, 2)], "c string, v int")
     assert [r["c"] for r in joined.transform(unseen).orderBy("v").collect()] == ["__other__", None]
+
+
+def test_saved_cleaner_holds_its_long_category_lists(spark, monkeypatch, tmp_path):
+    df = spark.createDataFrame([(f"word {i % 40} {'x' * (i % 40)}", i) for i in range(800)], "c string, v int")
+    monkeypatch.setattr(cleaner, "INLINE_CATEGORIES", 3)
+    model = cleaner.RobustCleaner(rareMinCount=1).fit(df)
+    path = str(tmp_path / "model")
+    model.write().overwrite().save(path)
+    model.write().overwrite().save(path)
+    loaded = cleaner.RobustCleanerModel.load(path)
+    assert [c["dictionary"] for c in loaded.state["columns"] if "dictionary" in c] == [f"{path}/categories/0"]
+    rows = df.unionByName(spark.createDataFrame([("never met", 1), (None, 2)], "c string, v int"))
+    assert sorted(map(str, loaded.transform(rows).collect())) == sorted(map(str, model.transform(rows).collect()))
+    again = str(tmp_path / "again")
+    loaded.write().save(again)
+    assert cleaner.RobustCleanerModel.load(again).transform(df).count() == 800
+    assert model.audit(spark).where("section = 'categories_kept_as_table'").count() == 1
+
+
+def test_audit_names_columns_with_too_many_spellings(spark):
+    df = spark.createDataFrame([(f"w{i % 600:04d}xyz", i) for i in range(1800)], "c string, v int")
+    rows = {r["section"]: r["value"] for r in cleaner.RobustCleaner(rareMinCount=1, rareFreq=0.0).fit(df).audit(spark).where("column = 'c'").collect()}
+    assert rows["spellings_too_many_to_merge"] == "600"
+
+
+def test_lookup_in_salted_copies(spark):
+    rows = spark.createDataFrame([(i, None if i % 3 else "a" if i % 2 else f"k{i}") for i in range(400)], "id int, k string")
+    side = spark.createDataFrame([("a", 1), ("k6", 2), (None, 3), ("unused", 4)], "name string, code int")
+    want = sorted((i, k, 1 if k == "a" else 2 if k == "k6" else None) for i, k in map(tuple, rows.collect()))
+    for limit in (100, 2):
+        found = scale.lookup(rows, F.col("k"), side, "name", max_rows=limit)
+        assert found.columns == ["id", "k", "name", "code"]
+        assert sorted(((r.id, r.k, r.code) for r in found.collect()), key=str) == sorted(want, key=str)

@@ -122,7 +122,7 @@ def test_clocks_with_halves_fractions_and_zones(spark):
 
 
 def test_date_orders_are_voted_by_column(spark):
-    cells = {"dmy": ["01/02/2024", "13/02/2024", "2024-01-05"], "mdy": ["01/02/2024", "02/13/2024"], "iso": ["2024-01-05", "2024/13/01"], "even": ["01/02/2024 3 PM"], "ydm": ["2024-13-01"] * 3 + ["2024-01-02"], "none": ["x", None]}
+    cells = {"dmy": ["01/02/2024", "13/02/2024", "2024-01-05"], "mdy": ["01/02/2024", "02/13/2024"], "iso": ["2024-01-05", "2024/01/13"], "even": ["01/02/2024 3 PM"], "ydm": ["2024-13-01"] * 3 + ["2024-01-02"], "none": ["x", None]}
     values = spark.createDataFrame([(c, v, 1) for c, vs in cells.items() for v in vs], "column string, value string, n long")
     assert dates.vote_orders(values) == {"dmy": "dmy", "mdy": "mdy", "iso": "ymd", "even": "mdy", "ydm": "ydm"}
     assert dates.vote_orders(values, dayfirst=True)["even"] == "dmy"

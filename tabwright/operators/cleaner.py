@@ -196,10 +196,10 @@ class RobustCleaner(Estimator, _CleanerParams, DefaultParamsReadable, DefaultPar
         merged = joined.groupBy("column", F.coalesce("canonical", "value").alias("value")).agg(F.sum("n").alias("n"))
         judged = rare_table(merged, self._get("rareFreq"), self._get("rareMinCount")).persist()
         try:
-            totals = judged.groupBy("column").agg(F.count_if("rare").alias("rare"), F.count_if(~F.col("rare")).alias("kept")).collect()
+            totals = judged.groupBy("column").agg(F.count_if("rare").alias("rare"), F.count_if(~F.col("rare")).alias("kept"), F.coalesce(F.sum(F.when(F.col("rare"), F.col("n"))) / F.sum("n"), F.lit(0.0)).alias("share")).collect()
             inline = [r["column"] for r in totals if r["kept"] <= INLINE_CATEGORIES]
             for r in totals:
-                state[r["column"]]["rare"] = r["rare"]
+                state[r["column"]].update(rare=r["rare"], rare_share=r["share"])
             for r in judged.where(~F.col("rare") & F.col("column").isin(inline)).select("column", "value").orderBy("value").collect():
                 state[r["column"]]["categories"].append(r["value"])
             for c in columns:

@@ -7,8 +7,9 @@ is copied once for each table and compared with about ``width`` rows on either s
 grow hot, and rows with equal codes are split like any others.
 
 Before the join, ``sample`` test rows are answered exactly, and tables are added until their answers have the wanted recall; if
-``most`` tables don't reach it, all rows are answered by the exact join. Train rows that are equal as a whole count up to k times, which
-is all that k nearest can need. Rows with a null vector, a null or a non-finite element take no part, and have no neighbours.
+``most`` tables don't reach it, all rows are answered by the exact join. Train rows that are equal as a whole count up to k times,
+which is all that k nearest can need, and equal test rows are searched once. Rows with a null vector, a null or a non-finite
+element take no part, and have no neighbours.
 """
 
 from __future__ import annotations
@@ -158,7 +159,9 @@ def approx_neighbors(
     pivots = _stack(t.orderBy(pick).limit(PIVOTS).toPandas()["x"])
     copies = Window.partitionBy("x").orderBy("id")
     t = t.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy")
-    asked = q.orderBy(pick).limit(sample).toPandas()
+    key = [F.xxhash64("x").alias("k1"), F.xxhash64(F.lit(1), "x").alias("k2")]
+    once = checkpointed(q.select("id", *key, "x").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("x").alias("x")))
+    asked = once.select("id", "x").orderBy(pick).limit(sample).toPandas()
     if not len(asked):
         return spark.createDataFrame([], "id bigint, neighbor_id bigint, label string, distance double, rank int"), {"tables": 0, "recall": 1.0}
     few = spark.createDataFrame([(int(i), [float(v) for v in x]) for i, x in zip(asked["id"], asked["x"], strict=True)], "id bigint, x array<double>")
@@ -178,5 +181,6 @@ def approx_neighbors(
         tables = min(2 * tables, most)
     if measured < recall:
         return neighbors(t, q, k, features="x"), {"tables": 0, "recall": 1.0}
-    near = _merged(search(q, range(done)), k)
+    near = _merged(search(once.select("id", "x"), range(done)), k).join(once.select("id", "k1", "k2"), "id").drop("id")
+    near = q.select("id", *key).join(near, ["k1", "k2"])
     return near.select("id", F.col("tid").alias("neighbor_id"), "label", F.sqrt("d2").alias("distance"), "rank"), {"tables": done, "recall": measured}

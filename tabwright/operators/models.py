@@ -26,6 +26,7 @@ from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabwright.functions.text import CATEGORY_ALIASES
 from tabwright.operators.cleaner import RobustCleaner
 from tabwright.operators.dedupe import dedupe, remove_overlap
 from tabwright.operators.encode import TablePreparer, vector_stages
@@ -189,12 +190,17 @@ class Search:
     model: Any
     mean: float
     std: float
+    failures: list[tuple[dict[str, Any], str]] = field(default_factory=list)
 
 
 def grid_search(name, task, grid, train: DataFrame, folds: int, classes: int, parallelism: int = 4) -> Search:
-    """Every setting on every fold; the best mean score is refitted on all rows."""
+    """Every setting on every fold; the best mean score is refitted on all rows.
+
+    A setting that fails on any fold, or whose refit fails, is left out with its reason; only if all fail is that an error.
+    """
     settings = combinations(grid)
     scores: list[list[float]] = [[] for _ in settings]
+    reasons: dict[int, str] = {}
     for fold in range(folds):
         part = train.where(F.col(FOLD) != fold)
         held = train.where(F.col(FOLD) == fold)
@@ -206,20 +212,33 @@ def grid_search(name, task, grid, train: DataFrame, folds: int, classes: int, pa
             if name == "KNeighbors":
                 found = _neighbor_scores(settings, part, held)
             else:
-                run = lambda p, part=part, held=held, facts=facts: quality(task, fit_one(name, task, p, part, facts).transform(held))
+                def run(i, part=part, held=held, facts=facts):
+                    if i in reasons:
+                        return None
+                    try:
+                        return quality(task, fit_one(name, task, settings[i], part, facts).transform(held))
+                    except Exception as error:  # the other settings go on
+                        reasons[i] = str(error).split("\n")[0]
+
                 with ThreadPool(min(parallelism, len(settings))) as pool:
-                    found = pool.map(run, settings)
+                    found = pool.map(run, range(len(settings)))
         finally:
             part.unpersist()
             held.unpersist()
         for i, v in enumerate(found):
             scores[i].append(v)
-    means = [sum(s) / len(s) for s in scores]
-    best = max(range(len(settings)), key=lambda i: (means[i], -i))
-    std = (sum((v - means[best]) ** 2 for v in scores[best]) / len(scores[best])) ** 0.5
     whole = class_weights(train, classes) if task == "classification" else train
-    model = fit_one(name, task, settings[best], whole, facts_of(train, task, classes))
-    return Search(settings[best], model, means[best], std)
+    means = {i: sum(v) / len(v) for i, v in enumerate(scores) if i not in reasons}
+    facts = facts_of(train, task, classes)
+    for best in sorted(means, key=lambda i: (-means[i], i)):
+        try:
+            model = fit_one(name, task, settings[best], whole, facts)
+        except Exception as error:
+            reasons[best] = str(error).split("\n")[0]
+            continue
+        std = (sum((v - means[best]) ** 2 for v in scores[best]) / len(scores[best])) ** 0.5
+        return Search(settings[best], model, means[best], std, [(settings[i], reasons[i]) for i in sorted(reasons)])
+    raise ValueError("; ".join(dict.fromkeys(reasons[i] for i in sorted(reasons))))
 
 
 def _neighbor_scores(settings, part, held):
@@ -290,7 +309,11 @@ class Trained:
     models: dict[str, Any]
     preprocessing: PipelineModel
     manifest: dict[str, Any]
-    failures: dict[str, str] = field(default_factory=dict)
+    failures: list[tuple[str, str | None, str]] = field(default_factory=list)
+
+    def failure_table(self) -> DataFrame:
+        """(Model, Params, Reason) of models, and single settings (as JSON), that could not be trained."""
+        return local_frame(self.leaderboard.sparkSession, self.failures, "Model string, Params string, Reason string")
 
     def best(self) -> str:
         return self.leaderboard.orderBy("rank").first()["Model"]
@@ -302,6 +325,7 @@ class Trained:
             model.save(target) if isinstance(model, NeighborModel) else model.write().overwrite().save(target)
         spark = self.leaderboard.sparkSession
         self.leaderboard.write.mode("overwrite").parquet(f"{path}/leaderboard")
+        self.failure_table().write.mode("overwrite").parquet(f"{path}/failures")
         local_frame(spark, [(json.dumps(self.manifest),)], "value string").write.mode("overwrite").text(f"{path}/manifest")
 
 
@@ -312,7 +336,8 @@ def load(spark, path: str) -> Trained:
         place = f"{path}/models/{name}"
         models[name] = NeighborModel.load(spark, place) if name == "KNeighbors" else DefaultParamsReader.loadParamsInstance(place, spark)
     board = spark.read.parquet(f"{path}/leaderboard")
-    return Trained(manifest["task"], board, models, PipelineModel.load(f"{path}/preprocessing"), manifest)
+    failures = [tuple(r) for r in spark.read.parquet(f"{path}/failures").collect()]  # one row per searched setting at most
+    return Trained(manifest["task"], board, models, PipelineModel.load(f"{path}/preprocessing"), manifest, failures)
 
 
 def labelled(df: DataFrame, target: str, task: str) -> tuple[DataFrame, list[str]]:
@@ -331,6 +356,13 @@ def labelled(df: DataFrame, target: str, task: str) -> tuple[DataFrame, list[str
     return rows.withColumn(LABEL, F.element_at(table, col(target))), classes
 
 
+def known_words(column: Mapping[str, Any]) -> list[str]:
+    """Values that a fitted text column takes as they are: its categories, and what is respelled as one of them."""
+    kept = set(column["categories"])
+    spelled = [v for v, canonical in column.get("spellings", {}).items() if canonical in kept]
+    return sorted({*kept, *spelled, *(a for a, word in CATEGORY_ALIASES.items() if word in kept)})
+
+
 def train(
     df: DataFrame, target: str, task: str, cv: int = 3, skip_heavy: bool = False, models: Sequence[str] | None = None,
     grids: Mapping[str, Mapping[str, Sequence]] | None = None, drop: Sequence[str] = (), session_id: str = "", seed: int = 42,
@@ -384,15 +416,16 @@ def train(
     parts = {"train_rows": ready.count(), "test_rows": held_ready.count()}
     parted.unpersist()
 
-    board, fitted, failures = [], {}, {}
+    board, fitted, failures = [], {}, []
     for name in names:
         try:
             grid = (grids or {}).get(name) or GRIDS[task][name]
             found = grid_search(name, task, grid, ready, folds, len(classes), parallelism)
             board.append(test_row(name, task, found, held_ready, len(classes)))
             fitted[name] = found.model
+            failures += [(name, json.dumps(p), reason) for p, reason in found.failures]
         except Exception as error:  # one model must not end the run
-            failures[name] = str(error).split("\n")[0]
+            failures.append((name, None, str(error).split("\n")[0]))
     held_ready.unpersist()
     if not any(isinstance(m, NeighborModel) for m in fitted.values()):
         ready.unpersist()
@@ -404,6 +437,8 @@ def train(
         "session_id": session_id, "task": task, "target": target, "classes": classes, "features": features, "dropped_features": dropped,
         "pruned_features": pruned, "models": list(fitted), "cv_folds": folds, "skip_heavy": skip_heavy, **parts,
         "feature_names": cleaner.output_columns(), "kinds": {c["name"]: c["kind"] for c in cleaner.state["columns"]},
+        "categories": {c["name"]: known_words(c) for c in cleaner.kept() if c["kind"] == "categorical" and "dictionary" not in c},
+        "rare_share": {c["name"]: c.get("rare_share", 0.0) for c in cleaner.kept() if c["kind"] == "categorical" and "dictionary" not in c},
         "versions": {"python": platform.python_version(), "pyspark": pyspark.__version__},
     }
     return Trained(task, leaderboard(table, task), fitted, preprocessing, manifest, failures)

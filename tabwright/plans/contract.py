@@ -59,7 +59,8 @@ def check_contract(
 ) -> DataFrame:
     """(severity, check, subject, value): what is wrong with the manifest, the columns and the values.
 
-    ``manifest['kinds']`` maps features to kinds, ``manifest['categories']`` to known values. The
+    ``manifest['kinds']`` maps features to kinds, ``manifest['categories']`` to known values, and ``manifest['rare_share']`` to the
+    share of training values that were too rare to be kept: unseen values count as drift beyond it. The
     values are judged in one pass over a long (column, value) table; only counts come back.
     """
     spark = df.sparkSession
@@ -80,10 +81,10 @@ def check_contract(
     if not shared:
         return out
     renamed = df.select(*[col(c).alias(n) for n, c in shared])
-    return out.unionByName(_value_issues(renamed, kinds, manifest.get("categories") or {}))
+    return out.unionByName(_value_issues(renamed, kinds, manifest.get("categories") or {}, manifest.get("rare_share") or {}))
 
 
-def _value_issues(df: DataFrame, kinds: Mapping[str, str], categories: Mapping[str, list]) -> DataFrame:
+def _value_issues(df: DataFrame, kinds: Mapping[str, str], categories: Mapping[str, list], rare: Mapping[str, float]) -> DataFrame:
     text = normalized(long_values(df, df.columns), ["value"], lower=False)
     kind = F.create_map(*[F.lit(x) for c in df.columns for x in (c, kinds.get(c, "categorical"))])
     known = F.create_map(*[x for c, v in categories.items() for x in (F.lit(c), F.array(*[F.lit(str(i).lower()) for i in v]))]) if categories else None
@@ -105,10 +106,11 @@ def _value_issues(df: DataFrame, kinds: Mapping[str, str], categories: Mapping[s
         F.count_if(v.isNotNull() & ~seen).alias("unseen"),
     )
     share = lambda c: F.round(F.col(c) / F.greatest("filled", F.lit(1)), 6)
+    usual = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for c, v in rare.items() for x in (c, float(v) + 1e-12)]), F.col("column")), F.lit(0.0)) if rare else F.lit(0.0)
     issues = F.array_compact(F.array(
         F.when(F.col("filled") == 0, F.struct(F.lit("all_null").alias("check"), F.lit(None).cast("double").alias("value"))),
         F.when(F.col("unfit") > 0, F.struct(F.lit("values_not_of_kind").alias("check"), share("unfit").alias("value"))),
-        F.when(F.col("unseen") > 0, F.struct(F.lit("unseen_categories").alias("check"), share("unseen").alias("value"))),
+        F.when((F.col("unseen") > 0) & (F.col("unseen") / F.col("filled") > usual), F.struct(F.lit("unseen_categories").alias("check"), share("unseen").alias("value"))),
     ))
     return counts.select(F.col("column").alias("subject"), F.inline(issues)).select(F.lit("warning").alias("severity"), "check", "subject", "value")
 

@@ -74,6 +74,7 @@ def run_baseline(
         write_report(report, f"{path}/report")
         write_report(trained.leaderboard, f"{path}/leaderboard")
         write_report(quality, f"{path}/quality")
+        write_report(trained.failure_table(), f"{path}/failures")
     return report, quality, trained
 
 
@@ -82,7 +83,7 @@ def run_stages(
 ) -> tuple[DataFrame, Trained | None]:
     """Prepare, choose a target, check it, train and summarise; a failing stage ends the run with its reason.
 
-    The report is (stage, status, detail), one row per stage reached.
+    The report is (stage, status, detail), one row per stage reached, and a row ``train``, ``failed`` per model or setting left out.
     """
     state: dict[str, Any] = {"df": df}
     steps: list[tuple[str, Callable[[], str]]] = [
@@ -99,6 +100,8 @@ def run_stages(
         except Exception as error:  # the report carries the reason
             rows.append((name, "error", str(error).split("\n")[0]))
             break
+    if "trained" in state:
+        rows += [("train", "failed", f"{name}{' ' + params if params else ''}: {reason}") for name, params, reason in state["trained"].failures]
     report = local_frame(df.sparkSession, rows, "stage string, status string, detail string")
     return report, state.get("trained")
 

@@ -6,10 +6,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tabwright.operators import encode, models
+from tabwright.operators import encode, models, split
 from tabwright.operators.metrics import classification_metrics
-from tabwright.plans import runs, scoring
-from tabwright.queries.base import add, on, scratch, sql_of, table, view
+from tabwright.plans import contract, runs, scoring
+from tabwright.queries.base import LINE_KEY, add, on, scratch, sql_of, table, view
+from tabwright.queries.selection import FOLD_HASH
 
 # l_extendedprice explained by l_quantity alone has a closed form for every penalty
 MOMENTS = """(SELECT count(*) AS n, avg(l_quantity) AS mx, avg(l_extendedprice) AS my, covar_pop(l_quantity, l_extendedprice) AS sxy,
@@ -67,9 +68,81 @@ def _classifier(name, setting):
 add("logistic_regression", _classifier("LogisticRegression", {"C": 1, "class_weight": "balanced"}))
 add("decision_tree", _classifier("DecisionTree", {"max_depth": 5, "min_samples_split": 2, "class_weight": None}))
 add("random_forest", _classifier("RandomForest", {"n_estimators": 100, "max_depth": 10, "min_samples_split": 2, "class_weight": None}))
-add("gradient_boosting", _classifier("GradientBoosting", {"n_estimators": 20, "learning_rate": 0.1, "max_depth": 3}))
+add("gradient_boosting", _classifier("GradientBoosting", {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3}))
 add("linear_svc", _classifier("SVC", {"C": 1, "class_weight": "balanced"}))
 
+# a label that follows from the quantity, but for noise, and the tree of one split, which SQL can search
+STEPS = """SELECT CAST(l_linenumber AS double) AS line, floor(l_quantity / 5) AS step, round(l_discount * 100) AS discount,
+                  CASE WHEN l_quantity + l_partkey % 10 > 30 THEN 1.0 ELSE 0.0 END AS y FROM {lineitem}"""
+STUMP_SQL = f"""
+    WITH t AS ({STEPS.format(lineitem="lineitem")}),
+    l AS (SELECT 'line' AS f, line AS x, y FROM t UNION ALL SELECT 'step', step, y FROM t UNION ALL SELECT 'discount', discount, y FROM t),
+    v AS (SELECT f, x, count(*) AS n, sum(y) AS s FROM l GROUP BY f, x),
+    c AS (SELECT f, (x + lead(x) OVER w) / 2 AS cut, sum(n) OVER w AS n1, sum(s) OVER w AS s1, sum(n) OVER (PARTITION BY f) AS n, sum(s) OVER (PARTITION BY f) AS s
+          FROM v WINDOW w AS (PARTITION BY f ORDER BY x)),
+    best AS (SELECT f, cut, s1 / n1 > 0.5 AS low, (s - s1) / (n - n1) > 0.5 AS high FROM c WHERE cut IS NOT NULL
+             ORDER BY s1 * (n1 - s1) / n1 + (s - s1) * (n - n1 - s + s1) / (n - n1) LIMIT 1)
+    SELECT step, CAST(CASE WHEN CASE f WHEN 'line' THEN line WHEN 'step' THEN step ELSE discount END <= cut THEN low ELSE high END AS DOUBLE) AS prediction, count(*) AS n
+    FROM t, best GROUP BY ALL"""
+
+
+def _stump(name, setting):
+    """Predictions of a tree with one split, by step."""
+    def run(spark, folder):
+        rows = spark.sql(STEPS, lineitem=table(spark, folder, "lineitem")).select(F.col("step").cast("double").alias("step"), "line", "discount", F.col("y").cast("double").alias(models.LABEL))
+        ready = VectorAssembler(inputCols=["line", "step", "discount"], outputCol="features").transform(rows)
+        fitted = models.fit_one(name, "classification", setting, ready, models.facts_of(ready, "classification", 2))
+        return fitted.transform(ready).groupBy("step", "prediction").agg(F.count("*").alias("n"))
+    return run
+
+
+add("decision_tree_stump", _stump("DecisionTree", {"max_depth": 1, "min_samples_split": 2}), STUMP_SQL)
+add("random_forest_stump", _stump("RandomForest", {"n_estimators": 1, "max_depth": 1, "min_samples_split": 2}), STUMP_SQL)
+add("gradient_boosting_stump", _stump("GradientBoosting", {"n_estimators": 1, "learning_rate": 0.1, "max_depth": 1}), STUMP_SQL)
+
+# one feature of two values: every class share is met, so the optimum is known
+HALVES = "SELECT CASE WHEN l_quantity > 25 THEN 1.0 ELSE 0.0 END AS b, CASE WHEN l_quantity + l_partkey % 10 > 30 THEN 1.0 ELSE 0.0 END AS y FROM {lineitem}"
+
+
+def _halves(spark, folder, name, setting):
+    rows = spark.sql(HALVES, lineitem=table(spark, folder, "lineitem")).select(F.col("b").cast("double").alias("b"), F.col("y").cast("double").alias(models.LABEL))
+    ready = VectorAssembler(inputCols=["b"], outputCol="features").transform(rows).persist()
+    return ready, models.fit_one(name, "classification", setting, ready, models.facts_of(ready, "classification", 2))
+
+
+def _logistic(spark, folder):
+    _, fitted = _halves(spark, folder, "LogisticRegression", {"C": 1e9, "class_weight": None})
+    return spark.createDataFrame([(round(float(fitted.coefficients[0]), 2), round(float(fitted.intercept), 2))], "slope double, intercept double")
+
+
+add("logistic_closed_form", _logistic, f"""
+    WITH t AS ({HALVES.format(lineitem="lineitem")}), p AS (SELECT avg(y) FILTER (WHERE b = 0) AS p0, avg(y) FILTER (WHERE b = 1) AS p1 FROM t)
+    SELECT round(ln(p1 / (1 - p1)) - ln(p0 / (1 - p0)), 2) AS slope, round(ln(p0 / (1 - p0)), 2) AS intercept FROM p""")
+
+
+def _majority(spark, folder):
+    ready, fitted = _halves(spark, folder, "SVC", {"C": 10, "class_weight": None})
+    return fitted.transform(ready).groupBy("b", "prediction").agg(F.count("*").alias("n"))
+
+
+add("linear_svc_majority", _majority, f"""
+    SELECT CAST(b AS DOUBLE) AS b, CAST(avg(y) > 0.5 AS DOUBLE) AS prediction, count(*) AS n FROM ({HALVES.format(lineitem="lineitem")}) GROUP BY b""")
+
+
+def _ridge_search(spark, folder):
+    rows = split.add_folds(table(spark, folder, "lineitem"), 3, LINE_KEY).select(F.col("l_extendedprice").alias(models.LABEL), "l_quantity", F.col("fold").alias(models.FOLD))
+    ready = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(rows).select("features", models.LABEL, models.FOLD)
+    found = models.grid_search("Ridge", "regression", {"alpha": [1, 1e6, 1e7]}, ready, 3, 0)
+    return spark.createDataFrame([(float(found.params["alpha"]), round(found.mean, 6), round(found.std, 6))], "alpha double, cv_mean double, cv_std double")
+
+
+add("ridge_grid_search", _ridge_search, f"""
+    WITH f AS (SELECT l_quantity AS x, l_extendedprice AS y, CAST(rn > round(n / 3) AS INTEGER) + CAST(rn > round(n * 2 / 3) AS INTEGER) AS fold
+               FROM (SELECT *, row_number() OVER (ORDER BY {FOLD_HASH}) AS rn, count(*) OVER () AS n FROM lineitem)),
+    m AS (SELECT k, a, avg(y) AS my, avg(x) AS mx, covar_pop(x, y) / (var_pop(x) + a / count(*)) AS slope FROM f, range(3) k(k), (SELECT unnest([1.0, 1e6, 1e7]::DOUBLE[]) AS a) WHERE fold <> k GROUP BY k, a),
+    s AS (SELECT k, a, 1 - sum((y - my - slope * (x - mx)) ** 2) / (var_pop(y) * count(*)) AS r2 FROM f JOIN m ON fold = k GROUP BY k, a)
+    SELECT a AS alpha, round(avg(r2), 6) AS cv_mean, round(stddev_pop(r2), 6) AS cv_std FROM s GROUP BY a ORDER BY avg(r2) DESC LIMIT 1""")
+
 SHORT = {
     "LogisticRegression": {"C": [1], "class_weight": ["balanced"]},
     "DecisionTree": {"max_depth": [3, 5], "min_samples_split": [2], "class_weight": ["balanced"]},
@@ -92,6 +165,33 @@ def _score_saved(spark, folder):
 
 
 add("score_saved_run", _score_saved)
+
+
+def _same_after_reload(spark, folder):
+    """Scores of a run as it was trained and as it was loaded again, compared as counted rows."""
+    rows, path = view(spark, folder, "doc_quality"), f"{scratch(spark)}/run"
+    trained = _trained(spark, folder, ["DecisionTree"])
+    trained.save(path)
+    one, two = [scoring.score(run, rows).withColumn("confidence", F.round("confidence", 9)) for run in (trained, models.load(spark, path))]
+    counted = [df.groupBy(*df.columns).agg(F.count("*").alias(f"n{i}")) for i, df in enumerate((one, two))]
+    both = counted[0].join(counted[1], one.columns, "full")
+    return both.agg(F.coalesce(F.sum("n1"), F.lit(0)).alias("rows"), F.bool_and(F.col("n0").eqNullSafe(F.col("n1"))).alias("same"))
+
+
+add("score_after_reload", _same_after_reload, f"SELECT count(*) AS rows, true AS same FROM {sql_of('doc_quality')}")
+
+
+def _drift(spark, folder):
+    """A trained run's own manifest against its training rows and against rows with languages it has not seen."""
+    rows = view(spark, folder, "doc_quality")
+    manifest = _trained(spark, folder, ["DecisionTree"]).manifest
+    moved = rows.withColumn("lang", F.when(F.col("n_chars") % 4 == 0, "klingon").otherwise(F.col("lang")))
+    issues = [contract.check_contract(df, manifest).where("check = 'unseen_categories' and subject = 'lang'").select(F.lit(name).alias("rows"), "subject", F.round("value", 3).alias("share")) for name, df in (("same", rows), ("moved", moved))]
+    return issues[0].unionByName(issues[1])
+
+
+add("drift_of_trained_run", _drift, f"""
+    SELECT 'moved' AS rows, 'lang' AS subject, round(avg(CASE WHEN n_chars % 4 = 0 THEN 1.0 ELSE 0.0 END), 3) AS share FROM {sql_of('doc_quality')} WHERE lang IS NOT NULL OR n_chars % 4 = 0""")
 add("baseline_run", on("line_sample", lambda df: runs.run_baseline(
     df, "l_extendedprice", "regression", cv=2, max_rows=0, models=["Ridge"], grids=SHORT)[0].drop("best_params")))
 add("staged_run", on("doc_quality", lambda df: runs.run_stages(

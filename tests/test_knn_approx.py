@@ -65,3 +65,13 @@ def test_falls_back_to_the_exact_join(spark):
     found, report = knn_approx.approx_neighbors(train, test, 4, recall=1.01, width=2, tables=1, most=1)
     assert report == {"tables": 0, "recall": 1.0}
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, knn.neighbors(train, test, 4).collect()))
+
+
+def test_a_vector_that_fills_a_third_of_both_tables(spark):
+    x = np.random.default_rng(3).standard_normal((900, 6))
+    x[::3] = 0.25
+    train, test = frame(spark, x), frame(spark, x[:600], 5000)
+    found, report = knn_approx.approx_neighbors(train, test, 4, recall=0.95, width=40)
+    assert report["tables"] in (4, 8) and found.count() == 2400
+    assert {r.neighbor_id for r in found.where("id % 3 = 2 and distance = 0").collect() if (r.id - 5000) % 3 == 0} <= {0, 3, 6, 9}
+    assert recall(found, knn.neighbors(train, test, 4)) >= 0.93

@@ -6,7 +6,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tabwright.operators import models
-from tabwright.plans import runs, scoring
+from tabwright.plans import contract, runs, scoring
 from tabwright.streaming.scoring import score_stream
 
 LABEL = models.LABEL
@@ -85,7 +85,8 @@ def trained(people):
 def test_training_run(trained):
     board = trained.leaderboard.orderBy("rank").collect()
     assert {r["Model"] for r in board} == {"DecisionTree", "KNeighbors"}
-    assert list(trained.failures) == ["Broken"]
+    assert [f[:2] for f in trained.failures] == [("Broken", None)]
+    assert [r["Model"] for r in trained.failure_table().collect()] == ["Broken"]
     assert all(r["ROC_AUC"] is not None for r in board)
     assert trained.manifest["classes"] == ["no", "yes"] and trained.manifest["cv_folds"] == 2
     assert "bought" not in trained.manifest["features"]
@@ -142,3 +143,22 @@ def test_folds_below_two_are_rejected(people):
         models.train(people, "bought", "classification", cv=1)
     with pytest.raises(ValueError, match="unsupported task"):
         models.train(people, "bought", "clustering")
+
+
+def test_a_bad_setting_loses_itself_only(people, tmp_path):
+    grids = {"DecisionTree": {"max_depth": [3, 99], "min_samples_split": [2], "class_weight": [None]}}
+    report, run = runs.run_stages(people, "classification of bought", prepared=True, cv=2, models=["DecisionTree", "Broken"], grids={**grids, "Broken": {"a": [1]}})
+    assert [(name, "99" in (params or "")) for name, params, _ in run.failures] == [("DecisionTree", True), ("Broken", False)]
+    assert run.leaderboard.first()["Model"] == "DecisionTree"
+    assert [r["stage"] for r in report.where("status = 'failed'").collect()] == ["train", "train"]
+    run.save(str(tmp_path / "run"))
+    assert models.load(people.sparkSession, str(tmp_path / "run")).failures == run.failures
+    with pytest.raises(ValueError, match="no model"):
+        models.train(people, "bought", "classification", cv=2, models=["DecisionTree"], grids={"DecisionTree": {"max_depth": [99], "class_weight": [None]}})
+
+
+def test_trained_manifest_knows_its_categories(people, trained):
+    assert trained.manifest["categories"]["city"] == ["a", "b", "c"]
+    assert contract.check_contract(people, trained.manifest).where("check = 'unseen_categories'").count() == 0
+    moved = people.withColumn("city", F.when(F.col("age") > 40, "elsewhere").otherwise(F.col("city")))
+    assert [r["subject"] for r in contract.check_contract(moved, trained.manifest).where("check = 'unseen_categories'").collect()] == ["city"]

@@ -9,8 +9,9 @@ point ``v`` can hold neighbours only if ``|d(q, v) - m| <= r * factor``. In each
 rule. ``factor`` 1 is exact search; less prunes more and may miss neighbours.
 
 Distances that rank are computed in double precision on the original vectors. A vector that is null, zero, of another length than most,
-or that holds a null or non-finite component takes no part. A null id takes no part. Ties go to the smaller id. Repeated rows are
-candidates each; a query excludes rows of its own id.
+or that holds a null or non-finite component takes no part. A null id takes no part. Ties go to the smaller id. Rows that share an id are queries
+and candidates each: a query leaves out its own row alone. Factor 1 is exact for vectors anywhere: candidates are chosen around the
+shard's centre. Columns other than the two named ones are not read.
 """
 
 from __future__ import annotations
@@ -97,28 +98,36 @@ class Tree:
                 pending += [(self.children[node][0], rows[gap < radius[rows]]), (self.children[node][1], rows[gap >= -radius[rows]])]
 
 
-def search(tree: Tree, vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, factor: float, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def search(tree: Tree, vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, factor: float, radius: np.ndarray, rows_of: np.ndarray | None = None, query_rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Best ids and distances, queries by ``k`` (missing: id -1, distance infinite). ``radius`` bounds each k-th distance from outside.
 
+    A query leaves out the vector of its own row number (``rows_of``, ``query_rows``), or where none are given those of its own id.
+
     Queries go down together, each to its nearer side first; a batch that reaches a leaf is compared with it as a matrix.
     """
     best = np.full((len(queries), k), np.inf)
     names = np.full((len(queries), k), -1, np.int64)
-    square = (vectors**2).sum(axis=1)
+    mine, theirs = (ids, query_ids) if rows_of is None else (rows_of, query_rows)
+    # products of centred vectors choose candidates; the slack is far above their rounding, and distances come from the vectors themselves
+    centre = vectors.mean(axis=0) if len(vectors) else 0.0
+    near, asked = vectors - centre, queries - centre
+    square = (near**2).sum(axis=1)
+    slack = 1e-9 * ((asked**2).sum(axis=1) + (square.max() if len(square) else 0.0))
 
     def visit(leaf: np.ndarray, rows: np.ndarray) -> None:
         some = vectors[leaf]
-        rough = square[leaf] - 2 * queries[rows] @ some.T
+        rough = square[leaf] - 2 * asked[rows] @ near[leaf].T
         keep = min(len(leaf), k + 1 + 8)
         pick = np.argpartition(rough, keep - 1, axis=1)[:, :keep] if keep < len(leaf) else np.tile(np.arange(len(leaf)), (len(rows), 1))
         limit = np.take_along_axis(rough, pick, axis=1).max(axis=1)
-        ties = (rough <= limit[:, None] + 1e-9).sum(axis=1) > keep
-        for part, chosen in ((rows[~ties], pick[~ties]), *((rows[t : t + 1], np.flatnonzero(rough[t] <= limit[t] + 1e-9)[None]) for t in np.flatnonzero(ties))):
+        limit = limit + slack[rows]
+        ties = (rough <= limit[:, None]).sum(axis=1) > keep
+        for part, chosen in ((rows[~ties], pick[~ties]), *((rows[t : t + 1], np.flatnonzero(rough[t] <= limit[t])[None]) for t in np.flatnonzero(ties))):
             if not len(part):
                 continue
             exact = np.sqrt(((queries[part][:, None] - some[chosen]) ** 2).sum(axis=2))
             who = ids[leaf[chosen]]
-            exact[who == query_ids[part][:, None]] = np.inf
+            exact[mine[leaf[chosen]] == theirs[part][:, None]] = np.inf
             distance, name = np.hstack([best[part], exact]), np.hstack([names[part], who])
             order = np.lexsort((name, distance), axis=1)[:, :k]
             best[part] = np.take_along_axis(distance, order, axis=1)
@@ -173,34 +182,38 @@ def nearest(df: DataFrame, id_column: str = "vec_id", vector_column: str = "embe
     def home(vectors: pa.Array) -> pa.Array:
         return pa.array(top.value.leaf_of(_matrix(vectors)).astype(np.int32))
 
-    placed = shared_table(good.withColumn("leaf", home("v")))
+    placed = shared_table(good.withColumn("leaf", home("v")).withColumn("row", F.monotonically_increasing_id()))
     sizes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).select("leaf", F.ceil(F.col("n") / SHARD).cast("int").alias("parts"))
-    rows = placed.join(F.broadcast(sizes), "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.col("parts")).cast("int"))
-    queries = placed.where(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(max(1, -(-total // 100 // BLOCK)))).cast("int"))
+    rows = placed.join(F.broadcast(sizes), "leaf").withColumn("part", F.pmod(F.xxhash64("row", F.lit(5)), F.col("parts")).cast("int"))
+    queries = placed.where(is_query)
 
     def searched(asked: DataFrame) -> DataFrame:
-        """Found rows of queries (query_id, v, radius, leaf, block), each in all shards of its leaf."""
-        wide = asked.join(F.broadcast(sizes), "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        wide = wide.select("query_id", "radius", F.col("v").alias("asked"), F.col("leaf").alias("to_leaf"), F.col("part").alias("to_part"), F.col("block").alias("from_block"))
+        """Found rows of queries (query, query_id, v, radius, leaf), each in all shards of its leaf; a leaf's queries come in blocks of ``BLOCK``."""
+        loads = asked.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))  # a row per leaf, like the sizes
+        wide = asked.join(F.broadcast(sizes), "leaf").join(F.broadcast(loads), "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        block = F.pmod(F.xxhash64("query", F.lit(3)), F.col("blocks")).cast("int")
+        wide = wide.select("query", "query_id", "radius", F.col("v").alias("asked"), F.col("leaf").alias("to_leaf"), F.col("part").alias("to_part"), block.alias("from_block"))
         blocks = wide.select(F.col("to_leaf").alias("leaf"), F.col("to_part").alias("part"), F.col("from_block").alias("block")).distinct()
         sent = rows.join(blocks, ["leaf", "part"]).groupBy("leaf", "part", "block")
-        schema = "query_id long, vec_id long, score double"
+        schema = "query long, query_id long, vec_id long, score double"
 
         def look(left: pa.Table, right: pa.Table) -> pa.Table:
             if not len(left) or not len(right):
-                return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-            vectors, ids = _matrix(left.column("v").combine_chunks()), left.column("vec_id").to_numpy()
+                return pa.table({"query": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            vectors, ids, numbers = _matrix(left.column("v").combine_chunks()), left.column("vec_id").to_numpy(), left.column("row").to_numpy()
             asked, asked_ids, radius = _matrix(right.column("asked").combine_chunks()), right.column("query_id").to_numpy(), right.column("radius").to_numpy()
-            names, far = search(Tree.grown(vectors, LEAF), vectors, ids, asked, asked_ids, k, factor, radius)
+            asked_rows = right.column("query").to_numpy()
+            names, far = search(Tree.grown(vectors, LEAF), vectors, ids, asked, asked_ids, k, factor, radius, numbers, asked_rows)
             found = np.isfinite(far)
-            return pa.table({"query_id": np.repeat(asked_ids, found.sum(axis=1)), "vec_id": names[found], "score": far[found]})
+            times = found.sum(axis=1)
+            return pa.table({"query": np.repeat(asked_rows, times), "query_id": np.repeat(asked_ids, times), "vec_id": names[found], "score": far[found]})
 
         return sent.cogroup(wide.groupBy("to_leaf", "to_part", "from_block")).applyInArrow(look, schema)
 
-    asked = queries.select(F.col("vec_id").alias("query_id"), "v", F.lit(float("inf")).alias("radius"), "leaf", "block").dropDuplicates(["query_id"])
+    asked = queries.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), "v", F.lit(float("inf")).alias("radius"), "leaf")
     first = shared_table(searched(asked))
-    bound = first.groupBy("query_id").agg(F.sort_array(F.collect_list("score")).alias("s")).select("query_id", F.get("s", F.lit(k - 1)).alias("radius"))
-    known = asked.drop("radius").join(bound, "query_id", "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf"))))
+    bound = first.groupBy("query").agg(F.sort_array(F.collect_list("score")).alias("s")).select("query", F.get("s", F.lit(k - 1)).alias("radius"))
+    known = asked.drop("radius").join(bound, "query", "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf"))))
 
     @F.arrow_udf("array<int>")
     def others(vectors: pa.Array, radius: pa.Array) -> pa.Array:
@@ -210,6 +223,6 @@ def nearest(df: DataFrame, id_column: str = "vec_id", vector_column: str = "embe
                 out[q].append(leaf)
         return pa.array(out, pa.list_(pa.int32()))
 
-    more = known.withColumn("next", F.explode(others("v", "radius"))).where("next <> leaf").select("query_id", "v", "radius", F.col("next").alias("leaf"), "block")
-    found = first.union(searched(shared_table(more))).groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))
+    more = known.withColumn("next", F.explode(others("v", "radius"))).where("next <> leaf").select("query", "query_id", "v", "radius", F.col("next").alias("leaf"))
+    found = first.union(searched(shared_table(more))).groupBy("query", "query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))
     return found.select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))

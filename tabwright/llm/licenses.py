@@ -15,7 +15,7 @@ Null and empty texts match nothing. Equal texts match alike, repeated rows and n
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabwright.llm.common import shared_table
@@ -91,9 +91,14 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, id_column: str = "
     own = met.where("size(words) >= 3").select("k1", "k2", F.posexplode(F.expr("transform(sequence(1, size(words) - 2), i -> array_join(slice(words, i, 3), ' '))")).alias("at", "shingle"))
     placed = own.join(F.broadcast(known.select("license", "shingle")), "shingle").join(asked, ["k1", "k2", "license"], "left_semi")
     sizes = known.groupBy("license").agg(F.count(F.lit(1)).alias("n"))
-    lists = placed.groupBy("k1", "k2", "license").agg(F.array_sort(F.collect_list(F.struct("at", "shingle"))).alias("p")).join(F.broadcast(sizes), "license")
-    counted = "transform(p, a -> struct(size(array_distinct(transform(filter(p, b -> b.at >= a.at and b.at < a.at + ceil(1.5 * n)), b -> b.shingle))) as have, -a.at as back))"
-    best = lists.where(f"size(p) >= {CONTAINED} * n").select("k1", "k2", "license", "n", F.expr(f"array_max({counted})").alias("best")).where(f"best.have >= {CONTAINED} * n")
+    # a place counts in the windows that start behind its shingle's last place and less than a window before it
+    before = F.lag("at").over(Window.partitionBy("k1", "k2", "license", "shingle").orderBy("at"))
+    spans = placed.join(F.broadcast(sizes), "license").select("k1", "k2", "license", "n", "at", F.greatest(F.coalesce(before, F.lit(-1)), F.col("at") - F.ceil(1.5 * F.col("n"))).cast("int").alias("low"))
+    edges = F.array(F.struct((F.col("low") + 1).alias("pos"), F.lit(1).alias("d"), F.lit(False).alias("place")), F.struct((F.col("at") + 1).alias("pos"), F.lit(-1).alias("d"), F.lit(False).alias("place")),
+                    F.struct(F.col("at").alias("pos"), F.lit(0).alias("d"), F.lit(True).alias("place")))
+    running = Window.partitionBy("k1", "k2", "license").orderBy("pos").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = spans.select("k1", "k2", "license", "n", F.explode(edges).alias("e")).select("k1", "k2", "license", "n", "e.*").withColumn("have", F.sum("d").over(running))
+    best = counted.where("place").groupBy("k1", "k2", "license", "n").agg(F.max(F.struct("have", (-F.col("pos")).alias("back"))).alias("best")).where(f"best.have >= {CONTAINED} * n")
     found = best.select("k1", "k2", "license", (-F.col("best.back")).alias("at"), (F.col("best.have") / F.col("n")).alias("containment"))
     every = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).where("text is not null").select("doc_id", k1.alias("k1"), k2.alias("k2"))
     return every.join(found, ["k1", "k2"]).select("doc_id", "license", "at", "containment")

@@ -312,3 +312,9 @@ def components(edges: DataFrame) -> DataFrame:
 def ids_only(df: DataFrame, function: Callable, schema: str, *columns: str) -> DataFrame:
     """``function`` over Arrow batches of the named columns alone, so that other columns can have any name."""
     return df.select(*columns).mapInArrow(function, schema)
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """(doc_id, k1, k2, row): the whole row as one column, with its id and two hashes of its text, so that no column name can clash."""
+    whole = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+    return docs.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), F.col("text")).alias("k2"), whole.alias("row"))

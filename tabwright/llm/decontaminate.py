@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import shared_table
+from tabwright.llm.common import boxed, shared_table
 
 WINDOW = 10
 #: Words that are looked up together.
@@ -110,9 +110,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any benchmark window, with their columns as they are."""
-    bad = find_hits(docs, benchmark).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
+    """The documents without any benchmark window, with their columns as they are, whatever they are called."""
+    bad = find_hits(docs, benchmark).select("k1", "k2").distinct()
     if bad.count() <= BROADCAST_ROWS:
         bad = F.broadcast(bad)
-    k1, k2 = text_key(docs["text"])
-    return docs.join(bad, (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left_anti")
+    rows = boxed(docs)
+    rows = rows.withColumn("k1", F.when(F.col("row.text").isNotNull(), F.col("k1")))
+    return rows.join(bad, ["k1", "k2"], "left_anti").select("row.*")

@@ -367,5 +367,5 @@ def main_text(pages: DataFrame, model: Labeller, html: Column, threshold: float
 
 
 def extract_pages(pages: DataFrame, model: Labeller | None = None, html_column: str = "html") -> DataFrame:
-    """All columns of ``pages`` and ``main_text``."""
+    """All columns of ``pages`` and ``main_text``, which replaces a column of that name. Repeated rows are extracted each; an empty table needs no model."""
     return pages.withColumn("main_text", main_text(pages, model or fit(pages, html_column), F.col(html_column)))

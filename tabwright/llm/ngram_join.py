@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from tabwright.llm.common import (
     SPACES,
     bitmap,
+    boxed,
     checkpointed,
     components,
     dense_blocks,
@@ -103,14 +104,15 @@ def shingle_cells(texts: DataFrame) -> np.ndarray:
 
 
 def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members, links): members (doc_id, n_shingles, class_key, class, component_key), links (a, b, overlap, union) between classes.
+    """(members, links): members (doc_id, k1, k2, n_shingles, class_key, class, component_key), links (a, b, overlap, union) between classes.
 
-    ``class_key`` has 128 bits and says which sets are equal; ``class``, its first half, names sets where links are sought.
+    ``k1`` and ``k2`` hash the row's text. ``class_key`` has 128 bits and says which sets are equal; ``class``, its first half, names sets where links are sought.
 
     Repeated rows, equal texts and null ids are kept row by row; ``component_key`` is null for the empty set.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    texts = texts.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), F.col("text")).alias("k2"))
     cells = spark.sparkContext.broadcast(np.minimum(32 * np.log2(shingle_cells(texts) + 1.0), 4095).astype(np.uint16))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,13 +122,13 @@ def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column:
                 keys = class_keys(value, owner, sizes)
                 token, text = prefix_of(value, owner, sizes, cells.value)
                 yield pa.record_batch({
-                    "doc_id": batch.column(0).slice(row, len(sizes)), "n": pa.array(sizes.astype(np.int64)), "class_key": pa.array([x.tobytes() for x in keys.astype(">u8")], pa.binary()),
+                    **{name: batch.column(k).slice(row, len(sizes)) for name, k in (("doc_id", 0), ("k1", 2), ("k2", 3))}, "n": pa.array(sizes.astype(np.int64)), "class_key": pa.array([x.tobytes() for x in keys.astype(">u8")], pa.binary()),
                     "class": pa.array(keys[:, 0].view(np.int64)), "tokens": list_array(token.view(np.int64), np.bincount(text, minlength=len(sizes)), pa.int64()),
                 })
                 row += len(sizes)
 
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    rows = shared_table(texts.mapInArrow(prefixes, f"doc_id {id_type}, n long, class_key binary, class long, tokens array<long>"))
+    rows = shared_table(texts.mapInArrow(prefixes, f"doc_id {id_type}, k1 long, k2 long, n long, class_key binary, class long, tokens array<long>"))
     tokens = rows.select(F.explode("tokens").alias("token"), "class")
     shared = tokens.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
     shared_bits = spark.sparkContext.broadcast(bitmap(shared.select(F.col("token").alias("key")), FILTER_BITS))
@@ -152,9 +154,9 @@ def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column:
     sets = _sets(texts, bucket_rows)
     release(spark)
     links, roots = _link(bucket_rows, sets)
-    members = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class_key")).alias("class_key"), "class")
+    members = rows.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class_key")).alias("class_key"), "class")
     members = members.join(roots.select(F.col("node").alias("class"), F.col("root").cast("string").alias("root")), "class", "left")
-    return members.select("doc_id", "n_shingles", "class_key", "class", F.coalesce("root", F.hex("class_key")).alias("component_key")), links
+    return members.select("doc_id", "k1", "k2", "n_shingles", "class_key", "class", F.coalesce("root", F.hex("class_key")).alias("component_key")), links
 
 
 def _shared_tokens(bucket_rows: DataFrame) -> DataFrame:
@@ -257,12 +259,15 @@ def document_components(docs: DataFrame, id_column: str = "doc_id", text_column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group of linked documents: the smallest doc_id, and of rows repeated whole one.
+    """One document of each group of linked documents: the smallest doc_id, of rows that share it the one of smallest text hash, and of rows repeated whole one.
 
-    Documents of the empty set and rows without a doc_id stay.
+    Rows that share an id are judged each by its own text. Documents of the empty set and rows without a doc_id stay. Columns may have any names.
     """
-    near = document_components(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias("_id"))
-    near = near.agg(F.max(F.col("doc_id") != F.col("component_id")).alias("_gone"), F.count(F.lit(1)).alias("_rows")).where("_gone or _rows > 1")
-    marked = docs.join(near, docs["doc_id"] == near["_id"], "left").where("_gone is null or not _gone")
-    once, more = marked.where("_rows is null"), marked.where("_rows > 1")
-    return once.select(docs.columns).unionByName(more.select(docs.columns).dropDuplicates())
+    members, _ = ngram_jaccard_join(docs)
+    linked = members.where("component_key is not null and doc_id is not null")
+    first = linked.groupBy("component_key").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("first"))
+    same = linked.groupBy("component_key", "doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("rows")).join(first, "component_key")
+    same = same.select("doc_id", "k1", "k2", "rows", (F.struct("doc_id", "k1", "k2") != F.col("first")).alias("gone")).where("gone or rows > 1")
+    marked = boxed(docs).join(same, ["doc_id", "k1", "k2"], "left").where("gone is null or not gone")
+    once, more = marked.where("rows is null"), marked.where("rows > 1")
+    return once.select("row.*").unionByName(more.select("row.*").dropDuplicates())

@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by random projections, with a recall that is measured and not assumed.
 
 Where distances are all alike, triangle bounds close no cell and the exact join (``knn``) reads everything. Here each of
-several tables orders train and test rows together by a code of signs of random projections, so that rows on the same side of
-many random planes stand side by side. The order is cut into ranges, and a test row is compared with the train rows around it. A row
-is copied once for each table and compared with about ``width`` rows on either side, whatever the density: no bucket can
-grow hot, and rows with equal codes are split like any others.
+several tables gives every train and test row a key, the signs of random projections, and orders all rows by it, so that rows on the
+same side of many random planes stand side by side. The order is cut into cells of equal length, and a test row is compared with the train
+rows of its own cell and the two beside it. A train row is copied three times for each table and a cell has as many rows as any other,
+whatever the density: no bucket can grow hot, as rows with equal signs are ordered by a projection and then by a hash.
 
 Before the join, ``sample`` test rows are answered exactly, and tables are added until their answers have the wanted recall; if
 ``most`` tables don't reach it, all rows are answered by the exact join. Train rows that are equal as a whole count up to k times,
@@ -23,13 +23,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.operators.knn import _nearest, _stack, neighbors
-from tabwright.operators.scale import col
+from tabwright.operators.scale import col, running_totals
 from tabwright.session import checkpointed
 
-BITS = 48
+BITS, PLACE_BITS, SALT_BITS = 40, 12, 11
 SAMPLE = 200       # test rows whose exact answer is sought
 PIVOTS = 2_000     # train rows that set the planes' places
-WIDTH = 1_000      # train rows compared on either side at least
+WIDTH = 1_000      # rows of a cell at least
+CELLS = 500_000    # cells of all tables at most: their borders are broadcast, 8 bytes each
 TABLES, MOST = 4, 64
 FOUND = "id bigint, tid bigint, label string, d2 double"
 
@@ -40,71 +41,79 @@ def _usable(df: DataFrame, id_col: str, features: str, *more) -> DataFrame:
     return df.select(col(id_col).cast("bigint").alias("id"), *more, x.alias("x")).where(F.col("id").isNotNull() & (F.size("x") > 0) & real)
 
 
+def _matrix(table: pa.Table) -> np.ndarray:
+    return table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(table), -1)
+
+
 class Planes:
-    """Codes of one table: signs of projections, each cut at the median of the pivots."""
+    """Keys of one table: signs of projections cut at the median of the pivots, the place along the first one, and a hash of the row."""
 
     def __init__(self, pivots: np.ndarray, table: int, seed: int):
         rng = np.random.default_rng([seed, table])
         self.directions = rng.standard_normal((pivots.shape[1], BITS))
         self.cuts = np.median(pivots @ self.directions, axis=0)
+        self.places = np.quantile(pivots @ self.directions[:, 0], np.linspace(0, 1, (1 << PLACE_BITS) + 1)[1:-1])
 
-    def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The code, and the place along the first direction for rows of equal code."""
-        along = x @ self.directions - self.cuts
-        return (along > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)), along[:, 0]
+    def keys(self, x: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        along = x @ self.directions
+        code = (along > self.cuts) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+        place = np.searchsorted(self.places, along[:, 0])
+        return (((code << PLACE_BITS) | place) << SALT_BITS) | (salt & ((1 << SALT_BITS) - 1))
 
 
-def _ordered(rows: DataFrame, pivots: np.ndarray, tables: range, seed: int) -> DataFrame:
-    """(t, code, along, salt, id, label, train, x): every row once for each table, in ranges of the tables' orders."""
-    shared = rows.sparkSession.sparkContext.broadcast([Planes(pivots, t, seed) for t in tables])
+def _keyed(rows: DataFrame, planes: list[Planes], first: int, borders: dict[int, np.ndarray] | None) -> DataFrame:
+    """(t, key) of every row in each table, or with ``borders`` (t, cell, id, label, train, x)."""
+    shared = rows.sparkSession.sparkContext.broadcast((planes, borders))
+    row_schema = "t int, cell int, id bigint, label string, train boolean, x array<double>"
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes, borders = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            for t, planes in zip(tables, shared.value, strict=True):
-                code, along = planes.code(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(code), pa.array(along), *batch.columns], names=["t", "code", "along", "id", "label", "train", "x"])
-
-    placed = rows.select("id", "label", "train", "x").mapInArrow(hashed, "t int, code bigint, along double, id bigint, label string, train boolean, x array<double>")
-    order = ["t", "code", "along", "salt"]
-    return placed.withColumn("salt", F.xxhash64("id", "train")).repartitionByRange(*order).sortWithinPartitions(*order)
-
-
-def _compared(ordered: DataFrame, k: int, width: int) -> DataFrame:
-    """The k nearest train rows of each test row among those around it: its batch and ``width`` rows of it beyond, in each table."""
-
-    def answers(t: np.ndarray, pdf: pd.DataFrame, sides: list[pd.DataFrame]) -> pd.DataFrame | None:
-        asked = pdf[(pdf["t"] == t) & ~pdf["train"]]
-        known = pd.concat([p[(p["t"] == t) & p["train"]] for p in sides])
-        if not len(asked) or not len(known):
-            return None
-        ids, labels = known["id"].to_numpy(), known["label"].to_numpy()
-        parts = [(pos, d2) for _, pos, d2 in _nearest(_stack(asked["x"]), _stack(known["x"]), ids, k)]
+            salt = batch.column(4).to_numpy(zero_copy_only=False)
+            for t, one in enumerate(planes, first):
+                key = one.keys(x, salt)
+                table = pa.array(np.full(len(x), t, np.int32))
+                if borders is None:
+                    yield pa.record_batch({"t": table, "key": pa.array(key)})
+                else:
+                    cell = pa.array(np.searchsorted(borders[t], key, "right").astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([table, cell, *batch.columns[:4]], names=["t", "cell", "id", "label", "train", "x"])
+
+    named = rows.select("id", "label", "train", "x", F.xxhash64("id", "train").alias("salt"))
+    return named.mapInArrow(hashed, "t int, key bigint" if borders is None else row_schema)
+
+
+def _borders(keys: DataFrame, tables: range, length: int) -> dict[int, np.ndarray]:
+    """The keys at every ``length``-th place of each table's order."""
+    counts = keys.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"))
+    placed = running_totals(counts, ["t", "key"], {"below": F.col("n")})
+    cut = placed.where(F.floor((F.col("below") + F.col("n")) / length) > F.floor(F.col("below") / length)).select("t", "key").toPandas()  # CELLS rows at most
+    return {t: np.sort(cut.loc[cut["t"] == t, "key"].to_numpy(np.int64)) for t in tables}
+
+
+def _compared(train: DataFrame, test: DataFrame, pivots: np.ndarray, tables: range, seed: int, k: int, width: int) -> DataFrame:
+    """The k nearest train rows of each test row among those of its cell and the two beside it, in each table."""
+    planes = [Planes(pivots, t, seed) for t in tables]
+    keys = _keyed(train, planes, tables.start, None).unionByName(_keyed(test, planes, tables.start, None))
+    length = max(width, -(-(train.count() + test.count()) * len(tables) // CELLS))
+    borders = _borders(keys, tables, length)
+    asked = _keyed(test, planes, tables.start, borders).select("t", "cell", "id", "x")
+    beside = F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))
+    known = _keyed(train, planes, tables.start, borders).withColumn("cell", beside).select("t", "cell", "id", "label", "x")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.table({"id": pa.array([], pa.int64()), "tid": pa.array([], pa.int64()), "label": pa.array([], pa.string()), "d2": pa.array([], pa.float64())})
+        ids, train = right.column("id").to_numpy(), _matrix(right)
+        parts = [(pos, d2) for _, pos, d2 in _nearest(_matrix(left), train, ids, k)]
         where = np.concatenate([pos for pos, _ in parts])
-        return pd.DataFrame({"id": np.repeat(asked["id"].to_numpy(), [len(p) for p, _ in parts]), "tid": ids[where], "label": labels[where], "d2": np.concatenate([d for _, d in parts])})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """One batch behind, so that the next one's first rows are known."""
-        before = current = None
-        for following in batches:
-            if not len(following):
-                continue
-            if current is not None:
-                yield from done(before, current, following[following["train"]].head(width))
-                before = pd.concat([before, current[current["train"]]]).tail(width) if before is not None else current[current["train"]].tail(width)
-            current = following
-        if current is not None:
-            yield from done(before, current, None)
-
-    def done(before, current, after) -> Iterator[pd.DataFrame]:
-        sides = [p for p in (before, current, after) if p is not None]
-        for t in current.loc[~current["train"], "t"].unique():
-            if (found := answers(t, current, sides)) is not None:
-                yield found
+        asked = np.repeat(left.column("id").to_numpy(), [len(p) for p, _ in parts])
+        return pa.table({"id": asked, "tid": ids[where], "label": right.column("label").cast(pa.string()).take(pa.array(where)), "d2": np.concatenate([d for _, d in parts])})
 
-    return ordered.select("t", "id", "label", "train", "x").mapInPandas(run, FOUND)
+    return asked.groupBy("t", "cell").cogroup(known.groupBy("t", "cell")).applyInArrow(meet, FOUND)
 
 
 def _merged(found: DataFrame, k: int) -> DataFrame:
@@ -168,8 +177,8 @@ def approx_neighbors(
     exact = checkpointed(_exact_sample(t, asked, k))
 
     def search(rows: DataFrame, used: range) -> DataFrame:
-        both = t.select("id", "label", F.lit(True).alias("train"), "x").unionByName(rows.select("id", F.lit(None).cast("string").alias("label"), F.lit(False).alias("train"), "x"))
-        return _compared(_ordered(both, pivots, used, seed), k, width)
+        asked = rows.select("id", F.lit(None).cast("string").alias("label"), F.lit(False).alias("train"), "x")
+        return _compared(t.select("id", "label", F.lit(True).alias("train"), "x"), asked, pivots, used, seed, k, width)
 
     found, done, measured = None, 0, 0.0
     while done < most:

@@ -280,12 +280,16 @@ FEW_PAIRS = 200_000
 def with_both(pairs: DataFrame, table: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """``pairs`` (a, b and more) with the named columns of ``table`` for either, as a_* and b_*.
 
-    The pairs go to the table where their counted number allows it: then only the rows that they name are shuffled, not the table.
+    The pairs go to the table where their counted number allows it, so the columns of the side with more different keys reach their
+    pairs without a shuffle; these are then dealt once to the other side's rows, of which each named one is sent once and not with every pair.
     """
-    sent = F.broadcast(pairs) if pairs.count() <= FEW_PAIRS else pairs
-    left = sent.join(table.select(F.col(key).alias("a"), *[F.col(c).alias(f"a_{c}") for c in columns]), "a")
-    right = sent.select("a", "b").join(table.select(F.col(key).alias("b"), *[F.col(c).alias(f"b_{c}") for c in columns]), "b")
-    return left.join(right, ["a", "b"])
+    count, firsts, seconds = pairs.agg(F.count(F.lit(1)), F.countDistinct("a"), F.countDistinct("b")).first()
+    few, many = ("a", "b") if firsts <= seconds else ("b", "a")
+    small = count <= FEW_PAIRS
+    sent = F.broadcast(pairs) if small else pairs
+    named = pairs.select(F.col(few)).distinct()
+    side = lambda name: table.select(F.col(key).alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+    return sent.join(side(many), many).join(side(few).join(F.broadcast(named) if small else named, few, "left_semi"), few)
 
 
 # ---------------------------------------------------------------- connected components

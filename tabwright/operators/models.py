@@ -20,9 +20,12 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
+from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.util import DefaultParamsReader
+from pyspark.ml.tuning import CrossValidator
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,6 +182,37 @@ def quality(task: str, predicted: DataFrame) -> float:
     return regression_metrics(predicted, LABEL, "prediction", digits=None).first()["r2"]
 
 
+class ScoreEvaluator(Evaluator, DefaultParamsReadable, DefaultParamsWritable):
+    """Balanced accuracy or R2 of a prediction, for Spark's own tuning classes."""
+
+    task = Param(Params._dummy(), "task", "classification or regression", TypeConverters.toString)
+
+    def __init__(self, task: str = "classification"):
+        super().__init__()
+        self._set(task=task)
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        return float(quality(self.getOrDefault(self.task), dataset))
+
+    def isLargerBetter(self) -> bool:
+        return True
+
+
+def cross_validator(name: str, task: str, grid: Mapping[str, Sequence], facts: Facts, folds: int, fold_column: str = FOLD, parallelism: int = 4) -> CrossValidator:
+    """Spark's cross-validator over a catalogue model's settings and stored folds, scored by ``ScoreEvaluator``.
+
+    Penalties follow ``facts``, the whole table's, where ``grid_search`` takes those of each fold's training rows; neighbours, which are no
+    Spark estimator, and a setting that may fail without ending the search need ``grid_search``.
+    """
+    settings = combinations(grid)
+    base = estimator(name, task, settings[0], facts)
+    maps = []
+    for setting in settings:
+        one = estimator(name, task, setting, facts)
+        maps.append({base.getParam(p.name): one.getOrDefault(p) for p in one.params if one.isSet(p) and p.name not in ("featuresCol", "labelCol")})
+    return CrossValidator(estimator=base, estimatorParamMaps=maps, evaluator=ScoreEvaluator(task), numFolds=folds, foldCol=fold_column, parallelism=parallelism)
+
+
 def facts_of(df: DataFrame, task: str, classes: int) -> Facts:
     row = df.agg(F.count("*").alias("n"), F.stddev_pop(LABEL).alias("s")).first()
     return Facts(row["n"], row["s"] or 1.0, classes) if task == "regression" else Facts(row["n"], 1.0, classes)

@@ -109,13 +109,10 @@ def mutual_info(df: DataFrame, target: str, bins: int = 32, features: Sequence[s
     rows = numbers(kept, numeric, ["_y", *text])
     edges = exact_quantiles(rows, {c: [i / bins for i in range(1, bins)] for c in numeric})
 
-    # one small aggregate per feature: each reads its own two columns, and none multiplies the rows
-    joint = None
-    for c in names:
-        place = bucket(col(c), sorted({e for e in edges[c] if e is not None})) if c in numeric else col(c)
-        counts = rows.select("_y", place.alias("_bin")).groupBy("_y", "_bin").agg(F.count("*").alias("n"))
-        part = counts.select(F.lit(c).alias("feature"), F.coalesce(F.col("_bin").cast("string"), F.lit("nan")).alias("bin"), "_y", "n")
-        joint = part if joint is None else joint.unionByName(part)
+    # one pass for all features: the partial counts of a task have one row per bin and class
+    places = [(bucket(col(c), sorted({e for e in edges[c] if e is not None})) if c in numeric else col(c)).cast("string").alias(c) for c in names]
+    long = rows.select("_y", *places).unpivot(["_y"], [col(c) for c in names], "feature", "bin")
+    joint = checkpointed(long.groupBy("feature", F.coalesce("bin", F.lit("nan")).alias("bin"), "_y").agg(F.count("*").alias("n")))
     by_bin = joint.groupBy("feature", "bin").agg(F.sum("n").alias("n_bin"))
     by_class = joint.groupBy("feature", "_y").agg(F.sum("n").alias("n_class"))
     totals = joint.groupBy("feature").agg(F.sum("n").alias("total"))

@@ -143,6 +143,23 @@ add("ridge_grid_search", _ridge_search, f"""
     s AS (SELECT k, a, 1 - sum((y - my - slope * (x - mx)) ** 2) / (var_pop(y) * count(*)) AS r2 FROM f JOIN m ON fold = k GROUP BY k, a)
     SELECT a AS alpha, round(avg(r2), 6) AS cv_mean, round(stddev_pop(r2), 6) AS cv_std FROM s GROUP BY a ORDER BY avg(r2) DESC LIMIT 1""")
 
+
+def _cross_validated(spark, folder):
+    """Mean R2 of lines with and without an intercept over stored folds, by Spark's own cross-validator."""
+    rows = split.add_folds(table(spark, folder, "lineitem"), 3, LINE_KEY).select(F.col("l_extendedprice").alias(models.LABEL), "l_quantity", F.col("fold").alias(models.FOLD))
+    ready = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(rows).select("features", models.LABEL, models.FOLD).persist()
+    fitted = models.cross_validator("LinearRegression", "regression", {"fit_intercept": [True, False]}, models.facts_of(ready, "regression", 0), 3).fit(ready)
+    return spark.createDataFrame([(b, round(float(v), 6)) for b, v in zip((True, False), fitted.avgMetrics)], "fit_intercept boolean, cv_mean double")
+
+
+add("line_cross_validator", _cross_validated, f"""
+    WITH f AS (SELECT l_quantity AS x, l_extendedprice AS y, CAST(rn > round(n / 3) AS INTEGER) + CAST(rn > round(n * 2 / 3) AS INTEGER) AS fold
+               FROM (SELECT *, row_number() OVER (ORDER BY {FOLD_HASH}) AS rn, count(*) OVER () AS n FROM lineitem)),
+    m AS (SELECT k, b, CASE WHEN b THEN covar_pop(x, y) / var_pop(x) ELSE sum(x * y) / sum(x * x) END AS slope, CASE WHEN b THEN avg(y) - covar_pop(x, y) / var_pop(x) * avg(x) ELSE 0 END AS base
+          FROM f, range(3) k(k), (SELECT unnest([true, false]) AS b) WHERE fold <> k GROUP BY k, b),
+    s AS (SELECT k, b, 1 - sum((y - base - slope * x) ** 2) / (var_pop(y) * count(*)) AS r2 FROM f JOIN m ON fold = k GROUP BY k, b)
+    SELECT b AS fit_intercept, round(avg(r2), 6) AS cv_mean FROM s GROUP BY b""")
+
 SHORT = {
     "LogisticRegression": {"C": [1], "class_weight": ["balanced"]},
     "DecisionTree": {"max_depth": [3, 5], "min_samples_split": [2], "class_weight": ["balanced"]},

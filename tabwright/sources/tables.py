@@ -118,9 +118,10 @@ def stable_sample(df: DataFrame, key: Sequence[str], n: int, seed: int = 42, lim
     """
     if n <= 0:
         return df
-    hashed = F.concat(key_hash(key, seed, "sample"), F.to_json(fingerprint(df, df.columns)))
+    first, whole = key_hash(key, seed, "sample"), fingerprint(df, df.columns)
     if n <= limit:
-        return df.orderBy(hashed).limit(n)
+        return df.orderBy(first, whole).limit(n)
+    hashed = F.concat(first, F.to_json(whole))
     cut = hash_part(df, hashed, [lambda total: F.least(total, F.lit(n))], name="_part").where("_part = 0").drop("_part")
     if cut.count() <= n:
         return cut

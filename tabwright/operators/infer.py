@@ -14,7 +14,7 @@ from tabwright.functions.text import PLACEHOLDERS, clean_text, name_tokens, norm
 from tabwright.functions.units import CLOCK_SHAPE, DURATION_SHAPE
 from tabwright.operators.profile import per_column
 from tabwright.operators.scale import col, local_frame
-from tabwright.operators.valuecounts import distinct_counts, is_numeric, is_time, long_values
+from tabwright.operators.valuecounts import distinct_counts, is_numeric, is_time, long_values, value_count_table
 
 MONEY_SHAPE = r"^[$€£₹¥]\s*-?[0-9][0-9,]*(\.[0-9]+)?$"
 PERCENT_SHAPE = r"^-?[0-9][0-9,]*(\.[0-9]+)?\s*%$"
@@ -111,15 +111,18 @@ def _text_types(long: DataFrame, rules: str) -> DataFrame:
 
 
 def infer_kinds(
-    df: DataFrame, bool_ratio: float = 0.98, date_ratio: float = 0.9, number_ratio: float = 0.9, hinted_date_ratio: float = 0.5
+    df: DataFrame, bool_ratio: float = 0.98, date_ratio: float = 0.9, number_ratio: float = 0.9, hinted_date_ratio: float = 0.5, compose: bool = True,
 ) -> DataFrame:
-    """(column, kind): boolean, numeric, datetime or categorical, by type or by what the text reads as."""
+    """(column, kind): boolean, numeric, datetime or categorical, by type or by what the text reads as.
+
+    Text is composed and read as the cleaner does, each distinct value once.
+    """
     fixed, text = fixed_kinds(df)
     out = local_frame(df.sparkSession, fixed, "column string, kind string")
     if not text:
         return out
-    clean = normalized(long_values(df, text), ["value"], lower=False)
-    found = text_stats(clean, kind_stats(F.lit(1)))
+    clean = normalized(value_count_table(df, text), ["value"], lower=False, compose=compose)
+    found = text_stats(clean, kind_stats(F.col("n")))
     return out.unionByName(found.select("column", kind_rule(text, bool_ratio, date_ratio, number_ratio, hinted_date_ratio).alias("kind")))
 
 

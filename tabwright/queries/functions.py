@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabwright.functions import dates, numbers, text, units
-from tabwright.operators import cleaner
-from tabwright.queries.base import add, on, rounded, sql_of, view
+from tabwright.operators import cleaner, infer
+from tabwright.queries.base import add, on, rounded, sql_of, table, view
 
 SPACES = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+"
 CLEAN = "nullif(trim(regexp_replace(replace(regexp_replace({c}, '[\\x{{200B}}\\x{{200C}}\\x{{200D}}\\x{{FEFF}}]', '', 'g'), chr(65533), ''), '" + SPACES.replace("{", "{{").replace("}", "}}") + "', ' ', 'g')), '')"
@@ -21,6 +21,18 @@ def only(key, exprs):
 add("clean_text", on("documents", only("doc_id", lambda: dict(text=text.clean_text(F.col("text"))))), f"SELECT doc_id, {CLEAN.format(c='text')} AS text FROM documents")
 add("lower_text", on("conversations", lambda df: df.select("conv_id", "turn", text.clean_text(F.col("text"), lower=True).alias("text"))),
     f"SELECT conv_id, turn, lower({CLEAN.format(c='text')}) AS text FROM conversations")
+# digits as wide as the letters of East Asian text, which composition turns into plain ones
+WIDE = """SELECT o_orderkey, concat(translate(CAST(o_orderkey AS string), '0123456789', '０１２３４５６７８９'), '　㎏') AS wide FROM {orders}"""
+
+
+def _wide(spark, folder):
+    return spark.sql(WIDE, orders=table(spark, folder, "orders"))
+
+
+add("compose_text", lambda s, d: _wide(s, d).select("o_orderkey", text.clean_text(F.col("wide"), compose=True).alias("plain")), "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) || ' kg' AS plain FROM orders")
+add("infer_kinds_composed", lambda s, d: infer.infer_kinds(_wide(s, d)), """
+    SELECT 'o_orderkey' AS "column", 'numeric' AS kind UNION ALL
+    SELECT 'wide', CASE WHEN avg(CAST(TRY_CAST(o_orderkey AS DOUBLE) IS NOT NULL AS INTEGER)) >= 0.9 THEN 'numeric' ELSE 'categorical' END FROM orders""")
 add("null_placeholders", on("orders_text", only("o_orderkey", lambda: dict(price=text.null_placeholders(F.col("price"))))),
     f"SELECT o_orderkey, CASE WHEN lower(price) IN ({HOLDERS}) THEN NULL ELSE price END AS price FROM {sql_of('orders_text')}")
 add("canonical_json", on("events_json", only("event_id", lambda: dict(props=text.canonical_json(F.col("props"))))),

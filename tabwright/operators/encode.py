@@ -57,14 +57,18 @@ def robust_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 class TablePreparer(Estimator, DefaultParamsReadable, DefaultParamsWritable):
-    """Median imputation and robust scaling of numbers, most frequent value for text."""
+    """Median imputation and robust scaling of numbers, most frequent value for text.
+
+    ``prefix`` goes before the names of prepared columns, so that none can be called like a column that a model adds.
+    """
 
     keep = Param(Params._dummy(), "keep", "columns passed through untouched", TypeConverters.toListString)
+    prefix = Param(Params._dummy(), "prefix", "text before the names of prepared columns", TypeConverters.toString)
 
     @keyword_only
-    def __init__(self, *, keep=None):
+    def __init__(self, *, keep=None, prefix=None):
         super().__init__()
-        self._setDefault(keep=[])
+        self._setDefault(keep=[], prefix="")
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> TablePreparerModel:
@@ -77,6 +81,7 @@ class TablePreparer(Estimator, DefaultParamsReadable, DefaultParamsWritable):
             "medians": middle,
             "scales": scale_factors(filled, numeric) if numeric else {},
             "modes": {c: v if v is not None else "" for c, v in modes(dataset, text).items()},
+            "prefix": self.getOrDefault(self.prefix),
         }
         return TablePreparerModel(state=json.dumps(state))
 
@@ -96,13 +101,14 @@ class TablePreparerModel(Model, DefaultParamsReadable, DefaultParamsWritable):
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         s = self.fitted
+        name = s.get("prefix", "")
         out = []
         for c in dataset.columns:
             if c in s["medians"]:
                 centre, width = s["scales"][c]
-                out.append(((F.coalesce(num(c), F.lit(s["medians"][c])) - F.lit(centre)) / F.lit(width)).alias(c))
+                out.append(((F.coalesce(num(c), F.lit(s["medians"][c])) - F.lit(centre)) / F.lit(width)).alias(name + c))
             elif c in s["modes"]:
-                out.append(F.coalesce(col(c), F.lit(s["modes"][c])).alias(c))
+                out.append(F.coalesce(col(c), F.lit(s["modes"][c])).alias(name + c))
             else:
                 out.append(col(c))
         return dataset.select(*out)

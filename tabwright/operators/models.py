@@ -45,6 +45,7 @@ MAX_CLASSES = 10_000
 MAX_DEPTH = 30  # the deepest tree Spark grows; stands for "no limit"
 HEAVY = ["RandomForest", "GradientBoosting", "SVC"]
 LABEL, ROW, FOLD, WEIGHT, CLASS = "_label", "_id", "_fold", "_weight", "_class"
+FEATURE = "f__"  # before the names of prepared features
 
 # The searched settings of each model.
 GRIDS: dict[str, dict[str, dict[str, list]]] = {
@@ -442,8 +443,9 @@ def train(
 
     cleaner = RobustCleaner(carry=keep).fit(folded)
     clean = cleaner.transform(folded)
-    preparer = TablePreparer(keep=keep).fit(clean)
-    encoder = Pipeline(stages=vector_stages(cleaner.columns_of_kind("numeric"), cleaner.columns_of_kind("categorical"))).fit(preparer.transform(clean))
+    preparer = TablePreparer(keep=keep, prefix=FEATURE).fit(clean)
+    numeric, words = ([FEATURE + c for c in cleaner.columns_of_kind(kind)] for kind in ("numeric", "categorical"))
+    encoder = Pipeline(stages=vector_stages(numeric, words)).fit(preparer.transform(clean))
     preprocessing = PipelineModel([cleaner, preparer, *encoder.stages])
     ready = preprocessing.transform(folded).select(ROW, LABEL, FOLD, "features").persist()
     held_ready = preprocessing.transform(held).select(ROW, LABEL, "features").persist()

@@ -51,6 +51,16 @@ def _prepared(df, target):
 
 add("encode_features", on("doc_quality", lambda df: _prepared(df, "quality")[0].groupBy(F.size(vector_to_array("features")).alias("width")).agg(F.count("*").alias("n"))), f"""
     SELECT CAST(1 + count(DISTINCT lang) + count(DISTINCT source) AS INTEGER) AS width, count(*) AS n FROM {sql_of("doc_quality")}""")
+add("encode_vectors", on("doc_quality", lambda df: _prepared(df, "quality")[0].select(F.posexplode(vector_to_array("features")).alias("place", "v")).groupBy(
+    "place", F.round("v", 4).alias("value")).agg(F.count("*").alias("n"))), f"""
+    WITH t AS {sql_of("doc_quality")},
+    q AS (SELECT quantile_cont(n_chars, 0.25) AS a, quantile_cont(n_chars, 0.5) AS m, quantile_cont(n_chars, 0.75) AS b,
+                 (SELECT lang FROM t WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1) AS l, (SELECT source FROM t WHERE source IS NOT NULL GROUP BY source ORDER BY count(*) DESC, source LIMIT 1) AS s FROM t),
+    w AS (SELECT 'lang' AS f, lang AS word FROM t WHERE lang IS NOT NULL GROUP BY lang UNION ALL SELECT 'source', source FROM t WHERE source IS NOT NULL GROUP BY source),
+    p AS (SELECT f, word, CAST(row_number() OVER (ORDER BY f, word) AS INTEGER) AS place FROM w)
+    SELECT 0 AS place, round((coalesce(n_chars, m) - m) / (b - a), 4) AS value, count(*) AS n FROM t, q GROUP BY ALL
+    UNION ALL SELECT place, CASE WHEN word = CASE f WHEN 'lang' THEN coalesce(lang, l) ELSE coalesce(source, s) END THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, count(*) FROM t, q, p GROUP BY ALL"""
+)
 add("encode_target", on("lineitem", lambda df: models.labelled(df.select("l_returnflag", "l_quantity"), "l_returnflag", "classification")[0].groupBy(
     "l_returnflag", F.col(models.LABEL).alias("label")).agg(F.count("*").alias("n"))), """
     SELECT l_returnflag, CAST(dense_rank() OVER (ORDER BY l_returnflag) - 1 AS DOUBLE) AS label, count(*) AS n FROM lineitem GROUP BY l_returnflag""")

@@ -162,3 +162,11 @@ def test_trained_manifest_knows_its_categories(people, trained):
     assert contract.check_contract(people, trained.manifest).where("check = 'unseen_categories'").count() == 0
     moved = people.withColumn("city", F.when(F.col("age") > 40, "elsewhere").otherwise(F.col("city")))
     assert [r["subject"] for r in contract.check_contract(moved, trained.manifest).where("check = 'unseen_categories'").collect()] == ["city"]
+
+
+def test_features_called_like_the_columns_of_models(spark, people, tmp_path):
+    df = people.select(F.col("age").alias("features"), F.col("city").alias("prediction"), F.col("income").alias("probability"), F.col("age").alias("rawPrediction"), "bought")
+    run = models.train(df, "bought", "classification", cv=2, models=["DecisionTree", "KNeighbors"], grids=GRIDS)
+    assert not run.failures and run.leaderboard.count() == 2
+    rows = df.drop("prediction")
+    assert scoring.score(run, rows, "DecisionTree").where("prediction in ('yes', 'no')").count() == df.count()

@@ -180,3 +180,9 @@ def _profile_sql() -> str:
 add("profile", on("orders_missing", lambda df: profile.profile(df.select("o_totalprice", "o_orderpriority")).where(
     "stat NOT IN ('sum', 'variance')").withColumn("value", F.round("value", 3))), _profile_sql())
 add("profile_lineitem", on("lineitem", profile.profile))
+MOMENT_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+MOMENTS = {"rows": "count(*)", "n_null": "count(*) - count({c})", "n_distinct": "count(DISTINCT {c})", "n_zero": "count(*) FILTER (WHERE {c} = 0)", "n_negative": "count(*) FILTER (WHERE {c} < 0)",
+           "n_inf": "0 * count(*)", "mean": "avg({c})", "std": "stddev_samp({c})", "variance": "var_samp({c})", "sum": "sum({c})", "min": "min({c})", "max": "max({c})", "range": "max({c}) - min({c})",
+           "cv": "stddev_samp({c}) / avg({c})", "skewness": "skewness({c})", "p5": "quantile_cont({c}, 0.05)", "p50": "quantile_cont({c}, 0.5)", "p95": "quantile_cont({c}, 0.95)"}
+add("profile_moments", on("lineitem", lambda df: profile.profile(df.select(*MOMENT_COLUMNS)).where(F.col("stat").isin(list(MOMENTS))).select("column", "stat", F.round("value", 2).alias("value"))),
+    " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{k}' AS stat, round(CAST({e.format(c=c)} AS DOUBLE), 2) AS value FROM lineitem" for c in MOMENT_COLUMNS for k, e in MOMENTS.items()))

@@ -170,3 +170,22 @@ def test_features_called_like_the_columns_of_models(spark, people, tmp_path):
     assert not run.failures and run.leaderboard.count() == 2
     rows = df.drop("prediction")
     assert scoring.score(run, rows, "DecisionTree").where("prediction in ('yes', 'no')").count() == df.count()
+
+
+def test_rows_of_few_feature_combinations_can_be_trained(spark):
+    """Each of 40 combinations has hundreds of rows, so no row can be held out without its copies; whole combinations are."""
+    df = spark.range(20_000).selectExpr("id % 8 AS a", "id % 5 AS b", "CAST(3 * (id % 8) + id % 5 + (id % 97) / 1000.0 AS double) AS y")
+    run = models.train(df, "y", "regression", cv=2, models=["Ridge"], grids={"Ridge": {"alpha": [1]}})
+    assert run.manifest["held_out_by"] == "features" and run.manifest["features"] == ["a", "b"]
+    assert run.manifest["train_rows"] + run.manifest["test_rows"] == df.distinct().count() and run.manifest["test_rows"] > 0
+    assert run.leaderboard.first()["R2_Score"] > 0.9
+
+
+def test_rows_with_features_of_their_own_are_held_out_by_row(trained):
+    assert trained.manifest["held_out_by"] == "rows"
+
+
+def test_one_combination_of_features_cannot_be_split(spark):
+    df = spark.range(200).selectExpr("'x' AS a", "id AS y")
+    with pytest.raises(ValueError):
+        models.train(df, "y", "regression", cv=2, models=["Ridge"], grids={"Ridge": {"alpha": [1]}})

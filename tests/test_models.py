@@ -189,3 +189,21 @@ def test_one_combination_of_features_cannot_be_split(spark):
     df = spark.range(200).selectExpr("'x' AS a", "id AS y")
     with pytest.raises(ValueError):
         models.train(df, "y", "regression", cv=2, models=["Ridge"], grids={"Ridge": {"alpha": [1]}})
+
+
+def test_a_search_reads_its_table_once(spark):
+    """Folds, settings and the refit share one pass over what the table is made from."""
+    from pyspark.ml.feature import VectorAssembler
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    rows = spark.range(0, 3000, 1, 4).selectExpr("CAST(id % 50 AS double) AS x", "CAST(2 * (id % 50) + id % 7 AS double) AS _label", "CAST(id % 3 AS int) AS _fold")
+    ready = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows.mapInPandas(count, rows.schema)).select("features", models.LABEL, models.FOLD)
+    found = models.grid_search("Ridge", "regression", {"alpha": [1, 1e6]}, ready, 3, 0)
+    assert found.params == {"alpha": 1} and found.mean > 0.9
+    assert seen.value == 3000 and not ready.storageLevel.useMemory

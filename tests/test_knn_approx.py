@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabwright.operators import knn, knn_approx
 
@@ -75,3 +76,18 @@ def test_a_vector_that_fills_a_third_of_both_tables(spark):
     assert report["tables"] in (4, 8) and found.count() == 2400
     assert {r.neighbor_id for r in found.where("id % 3 = 2 and distance = 0").collect() if (r.id - 5000) % 3 == 0} <= {0, 3, 6, 9}
     assert recall(found, knn.neighbors(train, test, 4)) >= 0.93
+
+
+def test_the_sample_is_answered_as_the_join_answers_it(spark):
+    """Rows of a sample that travel to the train rows find what the join of blocks finds."""
+    x = np.random.default_rng(3).standard_normal((900, 8))
+    train = frame(spark, x[:800]).select("id", "label", F.lit(True).alias("train"), F.col("features").alias("x"))
+    test = frame(spark, x[800:], 5000).select("id", "label", F.lit(False).alias("train"), F.col("features").alias("x"))
+    planes = [knn_approx.Planes(x[:200], t, 42) for t in range(2)]
+    keys = knn_approx._keyed(train, planes, 0, None).unionByName(knn_approx._keyed(test, planes, 0, None))
+    borders = knn_approx._borders(keys, range(2), 20)
+    asked = test.select("id", "x", F.xxhash64("id", F.lit(False)).alias("salt")).toPandas()
+    sampled = knn_approx._sampled(train, asked, planes, 0, borders, 3)
+    joined = knn_approx._compared(train, test, planes, borders, 3)
+    rows = [sorted((r["id"], r["tid"], round(r["d2"], 9)) for r in knn_approx._merged(df, 3).collect()) for df in (sampled, joined)]
+    assert rows[0] == rows[1] and len(rows[0]) == 300

@@ -214,3 +214,40 @@ def test_lookup_in_salted_copies(spark):
         found = scale.lookup(rows, F.col("k"), side, "name", max_rows=limit)
         assert found.columns == ["id", "k", "name", "code"]
         assert sorted(((r.id, r.k, r.code) for r in found.collect()), key=str) == sorted(want, key=str)
+
+
+def test_knn_blocks_hold_many_cells():
+    assert knn._packed([3, 5, 8, 9], [4, 5, 30, 2], 10) == {3: (0, 1), 5: (0, 1), 8: (1, 3), 9: (4, 1)}
+
+
+def test_knn_sends_a_test_row_once_for_a_block(spark, monkeypatch):
+    """Points alike in all directions visit every cell; what is sent follows the blocks, not the 50 cells."""
+    rows = spark.range(600).selectExpr("id", "'a' AS label", "transform(sequence(1, 16), i -> CAST(xxhash64(id, i) % 1000 AS double)) AS features")
+    sent = []
+    monkeypatch.setattr(knn, "small_side", lambda df: sent.append(df.count()) or df)
+    near = knn.neighbors(rows.where("id % 5 > 0"), rows.where("id % 5 = 0"), 3, max_values=16, pivots=50, block_rows=200)
+    plain = knn.neighbors(rows.where("id % 5 > 0"), rows.where("id % 5 = 0"), 3)
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, plain.collect()))
+    assert sent == [3]  # three blocks of the 480 train rows, one chunk of test rows
+
+
+def test_a_cut_among_equal_hashes_ranks_each_hash_once(spark, monkeypatch):
+    plans = []
+    small = scale.small_side
+    monkeypatch.setattr(scale, "RANK_ROWS", 10)
+    monkeypatch.setattr(scale, "small_side", lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or small(df, *a))
+    df = spark.range(3000).selectExpr("CAST(id % 3 AS string) AS v")
+    part = scale.hash_part(df, scale.key_hash(["v"], 42, "sample"), [lambda n: F.least(n, F.lit(1500))])
+    assert sorted(r["count"] for r in part.where("part = 0").groupBy("v").count().collect()) == [1000, 1000]
+    cuts = plans[1]
+    ranked = cuts.index("Window [")
+    assert "count(1) AS _k" in cuts[ranked:]  # the window stands above the counts
+
+
+def test_ranges_of_a_running_total_are_bounded(spark, monkeypatch):
+    parts = []
+    kept = scale.checkpointed
+    monkeypatch.setattr(scale, "checkpointed", lambda df: parts.append(df.rdd.getNumPartitions()) or kept(df))
+    totals = scale.running_totals(spark.range(5000).toDF("v"), ["v"], {"place": F.lit(1)}, rank_rows=10)
+    assert totals.where("place <> v").count() == 0 and totals.count() == 5000
+    assert max(parts) <= scale.RANGES

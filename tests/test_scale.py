@@ -251,3 +251,22 @@ def test_ranges_of_a_running_total_are_bounded(spark, monkeypatch):
     totals = scale.running_totals(spark.range(5000).toDF("v"), ["v"], {"place": F.lit(1)}, rank_rows=10)
     assert totals.where("place <> v").count() == 0 and totals.count() == 5000
     assert max(parts) <= scale.RANGES
+
+
+def test_brackets_of_a_column_share_sketches_and_counts(spark, monkeypatch):
+    sketched = []
+    sketch = F.kll_sketch_agg_double
+    monkeypatch.setattr(scale.F, "kll_sketch_agg_double", lambda *a: sketched.append(a) or sketch(*a))
+    monkeypatch.setattr(scale, "_narrow", lambda df, brackets, one=scale._narrow: one(df, brackets) and False)  # the first round only
+    df = spark.range(20_000).selectExpr("CAST(pmod(xxhash64(id), 5000) AS double) / 8 - 100 AS a", "CASE WHEN id % 3 > 0 THEN CAST(id % 7 AS double) END AS b")
+    probs = [i / 32 for i in range(1, 32)]
+    got = scale.exact_quantiles(df, {"a": probs, "b": probs}, exact_rows=1000)
+    assert len(sketched) == 2
+    assert got == scale.exact_quantiles(df, {"a": probs, "b": probs})
+
+
+def test_counts_at_values(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(v,) for v in (-0.0, 0.0, 1.0, 2.0, 2.0, inf, None)], "c double")
+    got = scale._counts_at(df, {("c", 0.0), ("c", 2.0), ("c", 1.5), ("c", inf)})
+    assert got == {("c", 0.0): (0, 2), ("c", 1.5): (3, 3), ("c", 2.0): (3, 5), ("c", inf): (5, 6)}

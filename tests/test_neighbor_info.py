@@ -71,3 +71,14 @@ def test_select_classification(spark):
     codes = {v: i for i, v in enumerate(sorted(["lo", "hi", "nan"]))}
     assert scores["level"].mutual_info == pytest.approx(plain([(r[4], float(codes[r[3] or "nan"])) for r in rows]), abs=1e-9)
     assert scores["number"].chi2 is not None and out["matrix"].count() == 4
+
+
+def test_ranges_run_side_by_side(spark, monkeypatch):
+    """What one task would rank is dealt into ranges long before it is a million rows, and no text is sorted."""
+    seen = []
+    plain_totals = neighbor_info.running_totals
+    monkeypatch.setattr(neighbor_info, "running_totals", lambda df, order, totals, **more: seen.append((df, more["rank_rows"])) or plain_totals(df, order, totals, **more))
+    df = spark.range(400).select((F.col("id") % 2).cast("string").alias("y"), F.col("id").cast("double").alias("x"))
+    neighbor_info.neighbor_mutual_info(df, "y", ["x"]).collect()
+    assert len(seen) == 2
+    assert all(rows <= 100_000 and "string" not in dict(df.dtypes).values() for df, rows in seen)

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.llm.common import (
+    FEW_PAIRS,
     SPACES,
     bitmap,
     boxed,
@@ -192,7 +193,7 @@ def _link(bucket_rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame
     """Rounds of hubs until no bucket holds two classes with different best hubs; (links, roots of classes)."""
     spark = bucket_rows.sparkSession
     links = spark.createDataFrame([], "a long, b long, overlap long, union long, a_order int, b_order int")
-    roots = spark.createDataFrame([], "node long, root long")
+    roots, send = spark.createDataFrame([], "node long, root long"), F.broadcast
     prefixes = shared_table(bucket_rows.groupBy("class").agg(F.collect_list("token").alias("tokens"), F.first("n").alias("n")))
     waiting = _shared_tokens(bucket_rows.where("at <= n - floor((3 * n + 3) / 4)")).withColumn("root", F.col("class"))
     waiting = shared_table(waiting.join(prefixes.select("class", (-F.size("tokens")).alias("order")), "class"))
@@ -213,8 +214,9 @@ def _link(bucket_rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame
             if new.limit(1).count():
                 links = shared_table(links.unionByName(new))
                 roots = _nearest_hub(links)
+                send = F.broadcast if links.count() <= FEW_PAIRS else lambda df: df
         waiting = waiting.drop("root").join(hubs.select("token", F.col("hub_class").alias("class")), ["token", "class"], "left_anti")
-        waiting = waiting.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        waiting = waiting.join(send(roots.select(F.col("node").alias("class"), "root")), "class", "left").withColumn("root", F.coalesce("root", "class"))
         live = waiting.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
         waiting = checkpointed(waiting.join(live, "token", "left_semi"))
         release(spark)

@@ -34,6 +34,9 @@ UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHORTEST, LEAST = 7, 2
 #: A form is at least so many times as frequent.
 RATIO = 10
+#: Joins of distinct words are never left to Spark's estimate: it takes a compressed file for its rows, and rows of ``explode`` for those before it,
+#: and would collect in the driver what is many times larger.
+SHUFFLED = "merge"
 #: One of so many (document, run) pairs loses a letter before words are counted.
 THINNED = 31
 
@@ -78,7 +81,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     longer = words.select(F.col("word").alias("a"), F.col("n").alias("a_n"), F.explode(F.array(*chunks)).alias("c")).select("a", "a_n", "c.key", "c.end")
     other = words.select(F.col("word").alias("b"), F.col("n").alias("b_n"), F.explode(F.array(*grams)).alias("g")).select("b", "b_n", "g.key")
     a, b = F.length("a"), F.length("b")
-    met = longer.join(other, "key").where(((a == b) & (F.col("a") < F.col("b"))) | ((a == b + 1) & (F.substring("a", F.lit(1), F.col("end")) != F.substring("b", F.lit(1), F.col("end")))))
+    met = longer.join(other.hint(SHUFFLED), "key").where(((a == b) & (F.col("a") < F.col("b"))) | ((a == b + 1) & (F.substring("a", F.lit(1), F.col("end")) != F.substring("b", F.lit(1), F.col("end")))))
     return met.where(F.levenshtein("a", "b", 1) == 1).select("a", "a_n", "b", "b_n")
 
 
@@ -87,7 +90,7 @@ def roots(forms: DataFrame) -> DataFrame:
     step = shared_table(forms.select("word", F.col("form").alias("root")))
     while True:
         ahead = step.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = shared_table(step.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        moved = shared_table(step.join(ahead.hint(SHUFFLED), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         step = moved.select("word", "root")
         if moved.where("moved").limit(1).count() == 0:
             return step
@@ -100,9 +103,9 @@ def spelling_variants(docs: DataFrame, id_column: str = "doc_id", text_column: s
     ends = F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near"), F.col("b_n").alias("near_n")), F.struct(F.col("b").alias("word"), F.col("a").alias("near"), F.col("a_n").alias("near_n")))
     sides = pairs.select(F.explode(ends).alias("s")).select("s.*")
     best = sides.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("near"))).alias("best"))
-    known = words.join(best, "word", "left").withColumn("top_n", -F.col("best.less"))
+    known = words.join(best.hint(SHUFFLED), "word", "left").withColumn("top_n", -F.col("best.less"))
     good = F.col("top_n") >= ratio * F.col("n")
     known = shared_table(known.select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(good, F.col("best.near")).alias("form"), F.when(good, F.col("top_n")).alias("form_n")))
     release(docs.sparkSession)
     ends_at = roots(known.where("form is not null"))
-    return known.join(ends_at, "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
+    return known.join(ends_at.hint(SHUFFLED), "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
